@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from colloquy.llm.decontaminate import op10_decontaminate
+from colloquy.llm.recompress import op2_recompression
 from colloquy.llm.simhash import op1_simhash
+from colloquy.llm.tokens import op3_token_files, op4_token_counts
 
-QUERIES = {"op1_simhash": op1_simhash}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_recompression, op3_token_files, op4_token_counts, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
