@@ -26,6 +26,8 @@ from colloquy.llm.common import Hashes, mixed, sliced, table, window_hashes, wor
 WIDTH = 13
 PAIR_ROUNDS = 4
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Symbols are shuffled by their upper 48 bits: two that agree by chance only add windows to compare.
+SHORT = np.uint64(16)
 
 
 def parse(words: np.ndarray, starts: np.ndarray, width: int, rounds: int = PAIR_ROUNDS) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -40,53 +42,57 @@ def parse(words: np.ndarray, starts: np.ndarray, width: int, rounds: int = PAIR_
     # runs: their ends are seen by the neighbours' words; at a document's edge they can't be known from its words
     begin = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | edge[1:n]]))
     end = np.append(begin[1:], n)
-    name = mixed(words[begin] + mixed((end - begin).astype(np.uint64)))
-    lo = np.where(edge[begin], -(width + 1), begin - 1)
-    hi = np.where(edge[end], n + width + 1, end + 1)
+    name = words[begin] + mixed((end - begin).astype(np.uint64))
+    before, after = np.int32(-(width + 1)), np.int32(n + width + 1)
     first, last = edge[begin], edge[end]  # of its document
+    lo = np.where(first, before, (begin - 1).astype(np.int32))
+    hi = np.where(last, after, (end + 1).astype(np.int32))
     for level in range(1, rounds + 2):
-        fit = (hi - lo <= width) & (lo >= 0) & (hi <= n)
-        yield level, name[fit], lo[fit].astype(np.int32), hi[fit].astype(np.int32)
+        fit = np.flatnonzero(hi - lo <= width)
+        yield level, mixed(name[fit]), lo[fit], hi[fit]
         if level > rounds or len(name) < 2:
             return
-        left = (mixed(name + np.uint64(level)) >> np.uint64(40) & np.uint64(1)).astype(bool)
-        merge = np.append(left[:-1] & ~left[1:] & ~last[:-1], False)
-        gone = np.concatenate([[False], merge[:-1]])
+        left = mixed(name + np.uint64(level)) >> np.uint64(63) == 1
+        at = np.flatnonzero(left[:-1] & ~left[1:] & ~last[:-1])
         # a symbol that stays must see the neighbour with which it could have merged
-        right_lo, right_hi = np.append(lo[1:], n + width + 1), np.append(hi[1:], n + width + 1)
-        left_lo, left_hi = np.append(-(width + 1), lo[:-1]), np.append(-(width + 1), hi[:-1])
-        new_lo = np.where(left, np.minimum(lo, right_lo), np.minimum(lo, left_lo))
-        new_hi = np.where(left, np.maximum(hi, right_hi), np.maximum(hi, left_hi))
-        new_hi = np.where(left & last, n + width + 1, new_hi)
-        new_lo = np.where(~left & first, -(width + 1), new_lo)
-        at = np.flatnonzero(merge)
+        new_lo, new_hi = lo.copy(), hi.copy()
+        np.minimum(lo[1:], lo[:-1], out=new_lo[1:], where=~left[1:])
+        np.maximum(hi[:-1], hi[1:], out=new_hi[:-1], where=left[:-1])
+        new_hi[left & last] = after
+        new_lo[~left & first] = before
         new_lo[at], new_hi[at] = np.minimum(lo[at], lo[at + 1]), np.maximum(hi[at], hi[at + 1])
-        new = name.copy()
-        new[at] = mixed(name[at] * np.uint64(0xD6E8FEB86659FD93) + name[at + 1] + np.uint64(level))
-        first, last = first.copy(), last.copy()
+        name[at] = name[at] * np.uint64(0xD6E8FEB86659FD93) + mixed(name[at + 1] + np.uint64(level))
         last[at] = last[at + 1]
-        keep = ~gone
-        name, lo, hi, first, last = new[keep], new_lo[keep], new_hi[keep], first[keep], last[keep]
+        keep = np.ones(len(name), bool)
+        keep[at + 1] = False
+        name, lo, hi, first, last = name[keep], new_lo[keep], new_hi[keep], first[keep], last[keep]
+
+
+#: Words that are parsed at a time, so that the arrays stay in a core's cache; a longer document is parsed whole.
+PARSED_WORDS = 1 << 16
 
 
 def best_symbols(words: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     """For each position the best symbol that the window of width words from there determines; NONE where none begins."""
+    out = np.full(len(words), NONE)
+    cut = starts[np.flatnonzero(np.diff(starts // PARSED_WORDS, prepend=-1))] if len(starts) else starts
+    for a, b in zip(cut, np.append(cut[1:], len(words)), strict=True):
+        own = starts[np.searchsorted(starts, a) : np.searchsorted(starts, b)] - a
+        if b - a >= width:
+            out[a:b] = _best(words[a:b], own, width)
+    return out
+
+
+def _best(words: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     n = len(words)
-    if n < width:
-        return np.full(n, NONE)
-    by_length: dict[int, np.ndarray] = {}
+    ranked = np.full((width + 1, n), NONE)  # by length of the context and where it begins
+    flat = ranked.ravel()
     for level, name, lo, hi in parse(words, starts, width):
-        rank = name >> np.uint64(3) | np.uint64(7 - level) << np.uint64(61)
-        length = hi - lo
-        for c in np.unique(length):
-            at = length == c
-            own = by_length.setdefault(int(c), np.full(n, NONE))
-            np.minimum.at(own, lo[at], rank[at])
-    best = by_length[1]  # windows of c words, c growing: their symbols are those of both windows of c - 1, and those of c
+        np.minimum.at(flat, (hi - lo).astype(np.int64) * n + lo, name >> np.uint64(3) | np.uint64(7 - level) << np.uint64(61))
+    best = ranked[1]  # windows of c words, c growing: their symbols are those of both windows of c - 1, and those of c
     for c in range(2, width + 1):
         best = np.minimum(best[:-1], best[1:])
-        if c in by_length:
-            best = np.minimum(best, by_length[c][: len(best)])
+        np.minimum(best, ranked[c, : len(best)], out=best)
     best = np.append(best, np.full(width - 1, NONE))
     best[across(n, starts, width)] = NONE
     return best
@@ -117,26 +123,38 @@ class Batch:
 
 def _documents_by(values: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct values, the documents of each in ascending order, and where each value's begin."""
-    order = np.lexsort((docs, values))
+    order = np.argsort(values)
     values, docs = values[order], docs[order]
+    again = values[1:] == values[:-1]
+    some = np.flatnonzero(np.append(again, False) | np.concatenate([[False], again]))  # of values that occur again
+    docs[some] = docs[some[np.lexsort((docs[some], values[some]))]]
     new = np.ones(len(values), bool)
-    new[1:] = (values[1:] != values[:-1]) | (docs[1:] != docs[:-1])
+    new[1:] = ~again | (docs[1:] != docs[:-1])
     values, docs = values[new], docs[new]
     begin = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
     return values[begin], docs, np.append(begin, len(values))
 
 
+ROWS = "value long, doc long, more array<long>"
+
+
 def _rows(values: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
-    """value, docs: one row for each value, so that what many documents of a batch share is one row."""
+    """One row for each value, with its first document and any others, so that what many documents of a batch share is one row."""
     values, docs, begin = _documents_by(values, docs)
-    return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(docs, pa.int64()))], ["value", "docs"])
+    first = np.zeros(len(docs), bool)
+    first[begin[:-1]] = True
+    others = np.diff(begin) - 1
+    offsets = pa.array(np.concatenate([[0], np.cumsum(others)]), pa.int32())
+    more = pa.ListArray.from_arrays(offsets, pa.array(docs[~first], pa.int64()), mask=pa.array(others == 0))
+    return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(docs[first], pa.int64()), more], ["value", "doc", "more"])
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """value, docs: those values that occur in two documents or more, with the smallest of them."""
+    """value, first, doc_id: those values that occur in two documents or more, with the smallest of them."""
     by_value = Window.partitionBy("value")
-    seen = rows.withColumn("first", F.min(F.element_at("docs", 1)).over(by_value)).withColumn("last", F.max(F.element_at("docs", -1)).over(by_value))
-    return seen.where("first < last").select("value", "first", F.explode("docs").alias("doc_id"))
+    last = F.coalesce(F.element_at("more", -1), "doc")
+    seen = rows.withColumn("first", F.min("doc").over(by_value)).withColumn("last", F.max(last).over(by_value)).where("first < last")
+    return seen.select("value", "first", F.explode(F.concat(F.array("doc"), F.coalesce("more", F.array().cast("array<long>")))).alias("doc_id"))
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -156,27 +174,31 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 best = best_symbols(part.hashes, part.starts, width)
                 at = np.flatnonzero(best != NONE)
                 at = at[np.concatenate([[True], best[at[1:]] != best[at[:-1]]])] if len(at) else at
-                yield _rows(best[at], ids[a:b][part.owner()[at]])
+                yield _rows(best[at] >> SHORT, ids[a:b][part.owner()[at]])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Hashes()
         for batch in batches:
-            texts, ids = batch.column(1).to_pylist(), batch.column(0).to_numpy()
-            shared = batch.column(2)
+            batch = batch.filter(batch.column(2).is_valid())
+            texts, ids, shared = batch.column(1).to_pylist(), batch.column(0).to_numpy(), batch.column(2)
             for a, b in sliced(texts):
                 part = Batch(texts[a:b], cache)
                 best = best_symbols(part.hashes, part.starts, width)
                 wanted = np.zeros(len(best), bool)
                 for k in range(a, b):
                     own = slice(part.begins[k - a], part.begins[k - a + 1])
-                    wanted[own] = np.isin(best[own], shared[k].values.to_numpy().view(np.uint64))
+                    wanted[own] = np.isin(best[own] >> SHORT, shared[k].values.to_numpy().view(np.uint64))
                 at = np.flatnonzero(wanted & (best != NONE))
                 yield _rows(window_hashes(part.hashes, width)[at], ids[a:b][part.owner()[at]])
 
-    known = docs.where("doc_id is not null")
-    wanted = _shared(known.mapInArrow(symbols, "value long, docs array<long>")).groupBy("doc_id").agg(F.collect_set("value").alias("symbols"))
-    found = _shared(known.join(wanted, "doc_id").select("doc_id", "text", "symbols").mapInArrow(windows, "value long, docs array<long>"))
-    later = found.where("doc_id > first").groupBy("doc_id").agg(F.collect_set("value").alias("windows"))
+    def by_document(values: DataFrame, name: str) -> DataFrame:
+        """Dealt out first: a partial aggregate has nothing to combine here."""
+        return values.select("doc_id", "value").repartition("doc_id").groupBy("doc_id").agg(F.collect_list("value").alias(name))
+
+    # both joins keep all rows, so that their exchange of the texts is one
+    known = by_document(_shared(docs.where("doc_id is not null").mapInArrow(symbols, ROWS)), "symbols")
+    found = _shared(docs.join(known, "doc_id", "left").select("doc_id", "text", "symbols").mapInArrow(windows, ROWS))
+    later = by_document(found.where("doc_id > first"), "windows")
     return docs.join(later, "doc_id", "left").select("doc_id", "text", "windows")
 
 
