@@ -13,7 +13,7 @@ import re
 import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +22,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import shared_dir, table
+from colloquy.llm.common import shared_dir, sliced, table
 
 #: Documents from which the table of frequent pieces is taken; it only saves time, results don't depend on it.
 SAMPLE_DOCS = 2000
 #: Entries of that table, which bounds what is broadcast.
 FREQUENT_PIECES = 1 << 16
-#: Entries of a worker's cache before it is emptied.
-CACHE_PIECES = 400_000
+#: Entries of a generation of a worker's cache.
+CACHE_PIECES = 300_000
+#: Characters that are cut into pieces at a time.
+PIECE_SLICE = 1 << 20
 #: A piece beyond this length isn't cached.
 LONG_PIECE = 64
 
@@ -73,6 +75,23 @@ class Encoder:
         else:
             raise ValueError(f"no library for {path}")
 
+    def each(self, pieces: list[str]) -> Iterator[list[int]]:
+        """Ids of each piece. Many short ones are encoded as the lines of one text: a line feed is a token between them."""
+        joined = [x for x in pieces if x.strip(WHITE)]
+        found: dict[str, list[int]] = {}
+        line = self.whole("\n")
+        for k in range(0, len(joined), 1000) if len(line) == 1 else ():
+            some = joined[k : k + 1000]
+            parts: list[list[int]] = [[]]
+            for i in self.whole("\n".join(some)):
+                if i == line[0]:
+                    parts.append([])
+                else:
+                    parts[-1].append(i)
+            if len(parts) == len(some):
+                found.update(zip(some, parts, strict=True))
+        return (found[x] if x in found else self.whole(x) for x in pieces)
+
     def pieces(self, text: str) -> list[str] | None:
         """None: encode the text whole."""
         if not self.by_piece or self.apart.search(text):
@@ -80,20 +99,34 @@ class Encoder:
         return PIECES.findall(text)
 
 
-class Known(dict):
-    """Pieces to what is made of their ids; asks the library for a new one."""
+class Known:
+    """Pieces to what is made of their ids. Two generations of at most CACHE_PIECES pieces each, so that common ones stay."""
 
-    def __init__(self, encoder: Encoder, make) -> None:
-        super().__init__()
+    def __init__(self, encoder: Encoder, make: Callable) -> None:
         self.encoder, self.make = encoder, make
-
-    def __missing__(self, piece: str):
-        value = self.make(self.encoder.whole(piece))
-        if len(piece) <= LONG_PIECE:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[piece] = value
-        return value
+        self.young: dict = {}
+        self.old: dict = {}
+        self.long: list[str] = []
+
+    def learn(self, pieces: list[str]) -> dict:
+        """A table that has all these pieces."""
+        for piece in self.long:  # of the last call: not worth their room
+            self.young.pop(piece, None)
+        new = set(pieces).difference(self.young)
+        if new and self.young and len(self.young) + len(new) > CACHE_PIECES:
+            self.old, self.young = self.young, {}
+            new = set(pieces)
+        ask = []
+        for piece in new:
+            value = self.old.get(piece)
+            if value is None:
+                ask.append(piece)
+            else:
+                self.young[piece] = value
+        for piece, ids in zip(ask, self.encoder.each(ask), strict=True):
+            self.young[piece] = self.make(ids)
+        self.long = [x for x in ask if len(x) > LONG_PIECE]
+        return self.young
 
 
 #: One of each per worker process: they outlive a task.
@@ -136,19 +169,26 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
         encoder, cache = worker(path, "counts", len)
         first = common.value
         for batch in batches:
-            sizes, counts = [], []
-            for value in batch.column(1):
-                text = value.as_py() or ""
-                sizes.append(len(text.encode()))
-                pieces = encoder.pieces(text)
-                if pieces is None:
-                    counts.append(len(encoder.whole(text)))
-                else:
+            texts = batch.column(1).to_pylist()
+            for a, b in sliced(texts, PIECE_SLICE):
+                counts, open_rows, missed = [], [], []
+                for text in texts[a:b]:
+                    pieces = encoder.pieces(text or "")
+                    if pieces is None:
+                        counts.append(len(encoder.whole(text)))
+                        continue
                     found = list(map(first.get, pieces))
-                    missed = found.count(None)
-                    counts.append(sum(found) if not missed else sum(filter(None, found)) + sum(cache[p] for p, n in zip(pieces, found, strict=True) if n is None))
-            counts = np.array(counts, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(sizes, np.int64)), pa.array(counts), pa.array(counts > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+                    if None in found:
+                        rest = [p for p, n in zip(pieces, found, strict=True) if n is None]
+                        open_rows.append((len(counts), rest))
+                        missed += rest
+                        found = filter(None, found)
+                    counts.append(sum(found))
+                lengths = cache.learn(missed)
+                for i, rest in open_rows:
+                    counts[i] += sum(map(lengths.__getitem__, rest))
+                sizes, counts = np.array([len((x or "").encode()) for x in texts[a:b]], np.int64), np.array(counts, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(counts), pa.array(counts > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
@@ -186,15 +226,15 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 0)
             if out is None and batch.num_rows:
                 out = [store.open_output_stream(f"{x}.{own}") for x in names]
                 out[1].write(np.zeros(1, "<u8").tobytes())
-            ends = []
-            for value in batch.column(1):
-                text = value.as_py() or ""
-                pieces = encoder.pieces(text)
-                data = np.array(encoder.whole(text), dtype).tobytes() if pieces is None else b"".join(map(cache.__getitem__, pieces))
-                out[0].write(data)
-                out[0].write(end)
-                at += len(data) // width + 1
-                ends.append(at)
+            ends, texts = [], batch.column(1).to_pylist()
+            for a, b in sliced(texts, PIECE_SLICE):
+                cut = [encoder.pieces(x or "") for x in texts[a:b]]
+                known = cache.learn([p for pieces in cut for p in pieces or ()]).__getitem__
+                for text, pieces in zip(texts[a:b], cut, strict=True):
+                    data = np.array(encoder.whole(text), dtype).tobytes() if pieces is None else b"".join(map(known, pieces))
+                    out[0].write(data + end)
+                    at += len(data) // width + 1
+                    ends.append(at)
             if ends:
                 rows += len(ends)
                 out[1].write(np.array(ends, "<u8").tobytes())
