@@ -5,7 +5,7 @@ symbol and the round deals each symbol to the left or the right class, and a lef
 new symbol. Names are hashes of what is named, so all tasks give equal strings equal names without a shared dictionary.
 Each symbol carries its context: the words that are enough to parse it this way whatever surrounds them. A symbol whose
 context lies within a window of words stands in every occurrence of that window, so each window is known by the best symbol
-that it determines (highest level first, then least name). A window that occurs in two documents has the same best symbol
+that it determines (longest context first, then least name). A window that occurs in two documents has the same best symbol
 in both: symbols that occur in one document only rule out their windows, the windows of the others are compared by hashes
 over all their words.
 """
@@ -30,11 +30,11 @@ NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 SHORT = np.uint64(16)
 
 
-def parse(words: np.ndarray, starts: np.ndarray, width: int, rounds: int = PAIR_ROUNDS) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """words: hashes of the words of some documents, which begin at starts. Yields level, names, lo, hi of the symbols whose context [lo, hi) is within width words of one document."""
+def parse(words: np.ndarray, starts: np.ndarray, width: int, rounds: int = PAIR_ROUNDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """words: hashes of the words of some documents, which begin at starts. Yields names, lo, hi of the symbols of each level whose context [lo, hi) is within width words of one document."""
     n = len(words)
     index = np.arange(n, dtype=np.int32)
-    yield 0, mixed(words), index, index + 1
+    yield mixed(words), index, index + 1
     if n < 2:
         return
     edge = np.zeros(n + 1, bool)  # a document begins here, so nothing spans it
@@ -49,7 +49,7 @@ def parse(words: np.ndarray, starts: np.ndarray, width: int, rounds: int = PAIR_
     hi = np.where(last, after, (end + 1).astype(np.int32))
     for level in range(1, rounds + 2):
         fit = np.flatnonzero(hi - lo <= width)
-        yield level, mixed(name[fit]), lo[fit], hi[fit]
+        yield mixed(name[fit]), lo[fit], hi[fit]
         if level > rounds or len(name) < 2:
             return
         left = mixed(name + np.uint64(level)) >> np.uint64(63) == 1
@@ -68,6 +68,8 @@ def parse(words: np.ndarray, starts: np.ndarray, width: int, rounds: int = PAIR_
         name, lo, hi, first, last = name[keep], new_lo[keep], new_hi[keep], first[keep], last[keep]
 
 
+#: Symbols with contexts of this many words or more are equally good; beyond it they only become more.
+LONG = 8
 #: Words that are parsed at a time, so that the arrays stay in a core's cache; a longer document is parsed whole.
 PARSED_WORDS = 1 << 16
 
@@ -87,8 +89,8 @@ def _best(words: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     n = len(words)
     ranked = np.full((width + 1, n), NONE)  # by length of the context and where it begins
     flat = ranked.ravel()
-    for level, name, lo, hi in parse(words, starts, width):
-        np.minimum.at(flat, (hi - lo).astype(np.int64) * n + lo, name >> np.uint64(3) | np.uint64(7 - level) << np.uint64(61))
+    for name, lo, hi in parse(words, starts, width):
+        np.minimum.at(flat, (hi - lo).astype(np.int64) * n + lo, name >> np.uint64(4) | (LONG - np.minimum(LONG, hi - lo)).astype(np.uint64) << np.uint64(60))
     best = ranked[1]  # windows of c words, c growing: their symbols are those of both windows of c - 1, and those of c
     for c in range(2, width + 1):
         best = np.minimum(best[:-1], best[1:])
@@ -158,10 +160,10 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, text, windows: every row of docs with the hashes of those of its windows that also start in a smaller doc_id (null: none).
+    """doc_id, text, is_first, windows: every row of docs; is_first is false for a text that a smaller doc_id has too, windows are the hashes of those of another's windows that also start in a smaller doc_id (null: none).
 
     Two shuffles carry symbols and window hashes (a row per value and batch, so a passage that a third of the documents hold
-    is no hot row), and one deals the texts by doc_id; both later passes over the texts use the latter.
+    is no hot row), and one deals the texts by doc_id; all passes over the texts use the latter.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -195,11 +197,15 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         """Dealt out first: a partial aggregate has nothing to combine here."""
         return values.select("doc_id", "value").repartition("doc_id").groupBy("doc_id").agg(F.collect_list("value").alias(name))
 
-    # both joins keep all rows, so that their exchange of the texts is one
-    known = by_document(_shared(docs.where("doc_id is not null").mapInArrow(symbols, ROWS)), "symbols")
-    found = _shared(docs.join(known, "doc_id", "left").select("doc_id", "text", "symbols").mapInArrow(windows, ROWS))
+    # a text that a smaller document has too needs no search: all its windows stand there
+    firsts = docs.where("doc_id is not null").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct().withColumn("is_first", F.lit(True))
+    # all joins keep all rows, so that their exchange of the texts is one
+    marked = docs.join(firsts, "doc_id", "left").select("doc_id", "text", F.coalesce("is_first", F.col("doc_id").isNull()).alias("is_first"))
+    searched = marked.where("is_first and doc_id is not null")
+    known = by_document(_shared(searched.select("doc_id", "text").mapInArrow(symbols, ROWS)), "symbols")
+    found = _shared(searched.join(known, "doc_id", "left").select("doc_id", "text", "symbols").mapInArrow(windows, ROWS))
     later = by_document(found.where("doc_id > first"), "windows")
-    return docs.join(later, "doc_id", "left").select("doc_id", "text", "windows")
+    return marked.join(later, "doc_id", "left").select("doc_id", "text", "is_first", "windows")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -213,24 +219,24 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Hashes()
         for batch in batches:
-            texts, found = batch.column(1).to_pylist(), batch.column(2)
+            texts, first, found = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
             for a, b in sliced(texts):
-                part = Batch(texts[a:b], cache)
-                hashes = window_hashes(part.hashes, width)
-                out, removed = [], []
+                counts, removed, out = [], [], []
                 for k in range(a, b):
-                    begin, end = part.begins[k - a], part.begins[k - a + 1]
-                    words = part.words[begin:end]
-                    drop = np.zeros(end - begin, bool)
-                    if found[k].is_valid:
-                        own = hashes[begin : max(begin, end - width + 1)]
-                        hit = np.append(np.isin(own, found[k].values.to_numpy().view(np.uint64)), np.zeros(width, np.int64)).astype(np.int64)
-                        covered = np.cumsum(hit) - np.cumsum(np.concatenate([np.zeros(width, np.int64), hit[:-width]]))
-                        drop = covered[: len(drop)] > 0
-                        words = list(compress(words, ~drop))
-                    removed.append(int(drop.sum()))
+                    words = (texts[k] or "").encode().split()
+                    counts.append(len(words))
+                    if not first[k] and len(words) >= width:
+                        words = []
+                    elif found[k].is_valid:
+                        own = window_hashes(word_hashes(words, cache), width)
+                        hit = np.flatnonzero(np.isin(own, found[k].values.to_numpy().view(np.uint64)))
+                        edges = np.zeros(len(words) + 1, np.int64)
+                        np.add.at(edges, hit, 1)
+                        np.add.at(edges, hit + width, -1)
+                        words = list(compress(words, np.cumsum(edges[:-1]) == 0))
+                    removed.append(counts[-1] - len(words))
                     out.append(b" ".join(words))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(part.begins)), pa.array(removed, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     return repeated_spans(docs, width).mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept string")
 
