@@ -15,7 +15,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import checkpointed, table
@@ -260,3 +260,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's table: fingerprints of 3-word shingles as 16 hex digits, linked at 3 bits."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Of a corpus' near copies: fingerprints over two words link at seven bits if those over five words agree to about a similarity of 0.8.
+COPY = {"width": 2, "max_bits": 7, "check_width": 5, "check_bits": 14}
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, of which each group of near copies keeps the one with the smallest doc_id.
+
+    Near copies share about 0.8 of their five-word shingles or more. At that similarity the fingerprints over five words differ
+    in about 10 of 64 bits, which no covering code of use reaches, so candidates come from those over two words, of which
+    an edit touches fewer. Rows without a doc_id all stay; of rows with one doc_id the first by text stays.
+    """
+    found = near_duplicates(docs, **COPY)
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    order = Window.partitionBy("doc_id").orderBy("text")
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("copy_rank", F.row_number().over(order)).where("copy_rank = 1")
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
