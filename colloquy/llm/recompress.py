@@ -18,6 +18,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -170,6 +171,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Hashes()
         for batch in batches:
+            batch = batch.filter(batch.column(2))
             texts, ids = batch.column(1).to_pylist(), batch.column(0).to_numpy()
             for a, b in sliced(texts):
                 part = Batch(texts[a:b], cache)
@@ -181,8 +183,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Hashes()
         for batch in batches:
-            batch = batch.filter(batch.column(2).is_valid())
-            texts, ids, shared = batch.column(1).to_pylist(), batch.column(0).to_numpy(), batch.column(2)
+            batch = batch.filter(pc.and_(batch.column(2), batch.column(3).is_valid()))
+            texts, ids, shared = batch.column(1).to_pylist(), batch.column(0).to_numpy(), batch.column(3)
             for a, b in sliced(texts):
                 part = Batch(texts[a:b], cache)
                 best = best_symbols(part.hashes, part.starts, width)
@@ -199,13 +201,12 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     # a text that a smaller document has too needs no search: all its windows stand there
     firsts = docs.where("doc_id is not null").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct().withColumn("is_first", F.lit(True))
-    # all joins keep all rows, so that their exchange of the texts is one
-    marked = docs.join(firsts, "doc_id", "left").select("doc_id", "text", F.coalesce("is_first", F.col("doc_id").isNull()).alias("is_first"))
-    searched = marked.where("is_first and doc_id is not null")
-    known = by_document(_shared(searched.select("doc_id", "text").mapInArrow(symbols, ROWS)), "symbols")
-    found = _shared(searched.join(known, "doc_id", "left").select("doc_id", "text", "symbols").mapInArrow(windows, ROWS))
+    # all joins keep all rows and rows are left out in the tasks, so that their exchange of the texts is one
+    marked = docs.join(firsts, "doc_id", "left").select("doc_id", "text", F.coalesce("is_first", F.lit(False)).alias("is_first"))
+    known = by_document(_shared(marked.mapInArrow(symbols, ROWS)), "symbols")
+    found = _shared(marked.join(known, "doc_id", "left").select("doc_id", "text", "is_first", "symbols").mapInArrow(windows, ROWS))
     later = by_document(found.where("doc_id > first"), "windows")
-    return marked.join(later, "doc_id", "left").select("doc_id", "text", "is_first", "windows")
+    return marked.join(later, "doc_id", "left").select("doc_id", "text", (F.col("is_first") | F.col("doc_id").isNull()).alias("is_first"), "windows")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
