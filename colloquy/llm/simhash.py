@@ -140,6 +140,26 @@ class Cell:
             yield np.array(src, np.int64), np.array(dst, np.int64)
 
 
+def connected(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the links u - v with the least node that they lead to: the same links for the same group, wherever it is met."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    off = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[off], nodes[label[off]]
+
+
 def compare(max_bits: int, check_bits: int) -> Callable:
     """Rows of one partition, sorted by cell with homes first: the links of each cell, or a connecting part of them in a large one."""
 
@@ -203,9 +223,8 @@ def compare(max_bits: int, check_bits: int) -> Callable:
 
     def given(found: list) -> Iterator[pa.RecordBatch]:
         if sum(len(x) for x, _ in found):
-            u, v = (np.concatenate(x) for x in zip(*found, strict=True))
-            pair = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["src", "dst"])
+            member, least = connected(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(member), pa.array(least)], ["src", "dst"])
 
     return run
 
