@@ -21,6 +21,8 @@ from colloquy.llm.common import checkpointed, table
 BLOCK = 1024
 #: The longest vectors, which give each query its first bound (bounds what is broadcast).
 PILOT = 1024
+#: Blocks that one task takes for a block of queries.
+SLICE_BLOCKS = 16
 #: Leading coordinates of the rotated vectors, by turns.
 STEPS = (8, 16, 32)
 
@@ -91,6 +93,34 @@ class Pruned:
         return self.ids[alive[at]], scores[at]
 
 
+class Asked:
+    """A block of queries with the best candidates so far; candidates come in descending length, so bounds tighten as early as can be."""
+
+    def __init__(self, q: pa.StructArray, width: int, turn: np.ndarray, k: int) -> None:
+        self.ids, self.v, self.norms, self.bounds = q.field(0).to_numpy(), matrix(q.field(1), width), q.field(2).to_numpy(), q.field(3).to_numpy().copy()
+        self.turn, self.turned, self.width, self.k = turn, self.v @ turn, width, k
+        self.best = [(np.empty(0, np.int64), np.empty(0)) for _ in self.ids]
+
+    def meet(self, c: pa.StructArray, longest: float) -> None:
+        asking = np.flatnonzero(self.norms * longest * (1 + 1e-9) >= self.bounds)
+        if not len(asking):
+            return
+        block = Pruned(c.field(0).to_numpy(), matrix(c.field(1), self.width), self.turn)
+        for j in asking:
+            ids, scores = block.above(self.v[j], self.turned[j], self.ids[j], self.bounds[j], self.k)
+            if len(ids):
+                ids, scores = np.concatenate([self.best[j][0], ids]), np.concatenate([self.best[j][1], scores])
+                at = best(scores, ids, self.k)
+                self.best[j] = ids[at], scores[at]
+                if len(at) == self.k:
+                    self.bounds[j] = max(self.bounds[j], scores[at[-1]])
+
+    def found(self) -> pa.RecordBatch:
+        sizes = [len(x) for x, _ in self.best]
+        ids, scores = np.concatenate([x for x, _ in self.best]), np.concatenate([x for _, x in self.best])
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, sizes)), pa.array(ids), pa.array(scores.astype(np.int64))], ["query_id", "vec_id", "score"])
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score (long): for each row of queries (vec_id, v, norm) the k best of rows but itself, all if fewer.
 
@@ -130,23 +160,24 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     asked = -(-queries.count() // BLOCK)
     own = queries.select("vec_id", "v", "norm").distinct().mapInArrow(bounded, "vec_id long, v array<double>, norm double, bound double")
     own = own.withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(asked or 1)).cast("int")).groupBy("q_block").agg(F.collect_list(F.struct("vec_id", "v", "norm", "bound")).alias("q"))
-    met = candidates.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(max(0, asked - 1))))).join(own, "q_block")
+    # a block of queries meets the candidates in slices of SLICE_BLOCKS blocks, each in descending length
+    slices = -(-sum(-(-c // BLOCK) for c in sizes.values()) // SLICE_BLOCKS)
+    met = candidates.withColumn("slice", F.pmod(F.xxhash64("level", "share"), F.lit(slices))).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(max(0, asked - 1))))).join(own, "q_block")
+    met = met.select("c", "q", "longest", "q_block", "slice").repartition("q_block", "slice").sortWithinPartitions("q_block", "slice", F.desc("longest"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                c, q, longest = batch.column(0)[i].values, batch.column(1)[i].values, batch.column(2)[i].as_py()
-                ids, v = c.field(0).to_numpy(), matrix(c.field(1), width)
-                q_ids, qs, norms, bounds = q.field(0).to_numpy(), matrix(q.field(1), width), q.field(2).to_numpy(), q.field(3).to_numpy()
-                block, turned = Pruned(ids, v, turn.value), qs @ turn.value
-                out = []
-                for j in np.flatnonzero(norms * longest * (1 + 1e-9) >= bounds):
-                    found, scores = block.above(qs[j], turned[j], q_ids[j], bounds[j], k)
-                    out.append((np.full(len(found), q_ids[j]), found, scores.astype(np.int64)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
-
-    found = met.select("c", "q", "longest").mapInArrow(scored, "query_id long, vec_id long, score long")
+                if at != (batch.column(3)[i].as_py(), batch.column(4)[i].as_py()):
+                    if held is not None:
+                        yield held.found()
+                    at, held = (batch.column(3)[i].as_py(), batch.column(4)[i].as_py()), Asked(batch.column(1)[i].values, width, turn.value, k)
+                held.meet(batch.column(0)[i].values, batch.column(2)[i].as_py())
+        if held is not None:
+            yield held.found()
+
+    found = met.mapInArrow(scored, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
