@@ -7,6 +7,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
 def collapse(text: Column) -> Column:
@@ -69,13 +70,13 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def name_key(names: pd.Series) -> pd.Series:
     """NFKC, one space between words, case folded: no built-in function normalises."""
     return names.str.normalize("NFKC").str.split().str.join(" ").str.casefold()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching blocks of two texts, 1 for equal ones."""
     from difflib import SequenceMatcher
