@@ -37,7 +37,7 @@ LONG_PIECE = 64
 
 WHITE = " \t\n\r\x0b\x0c"
 PIECES = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-OTHER_WHITE = "[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
+OTHER_WHITE = [chr(x) for x in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
 
 
 class Encoder:
@@ -56,7 +56,7 @@ class Encoder:
             kind = described.get("pre_tokenizer") or {}
             self.by_piece = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not described.get("normalizer")
             added = [x["content"] for x in described.get("added_tokens", [])]
-            self.apart = re.compile("|".join([*map(re.escape, added), OTHER_WHITE]))
+            self.apart = [*added, *OTHER_WHITE]
         elif path.endswith(".model"):
             import sentencepiece
 
@@ -75,26 +75,25 @@ class Encoder:
         else:
             raise ValueError(f"no library for {path}")
 
-    def each(self, pieces: list[str]) -> Iterator[list[int]]:
-        """Ids of each piece. Many short ones are encoded as the lines of one text: a line feed is a token between them."""
-        joined = [x for x in pieces if x.strip(WHITE)]
-        found: dict[str, list[int]] = {}
+    def each(self, pieces: list[str], made: Callable) -> Iterator[tuple[list[str], list]]:
+        """Pieces and made(ids, starts, ends) of them. Many are encoded as the lines of one text: a line feed is a token between them."""
         line = self.whole("\n")
-        for k in range(0, len(joined), 1000) if len(line) == 1 else ():
-            some = joined[k : k + 1000]
-            parts: list[list[int]] = [[]]
-            for i in self.whole("\n".join(some)):
-                if i == line[0]:
-                    parts.append([])
-                else:
-                    parts[-1].append(i)
-            if len(parts) == len(some):
-                found.update(zip(some, parts, strict=True))
-        return (found[x] if x in found else self.whole(x) for x in pieces)
+        lines, rest = [x for x in pieces if x[-1] not in WHITE], [x for x in pieces if x[-1] in WHITE]
+        for k in range(0, len(lines), 2000):
+            some = lines[k : k + 2000]
+            ids = np.array(self.library.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids)
+            at = np.flatnonzero(ids == line[0]) if len(line) == 1 else ids
+            if len(at) == len(some) - 1:
+                yield some, made(ids, np.append(0, at + 1), np.append(at, len(ids)))
+            else:
+                rest += some
+        for x in rest:
+            ids = np.array(self.whole(x), np.int64)
+            yield [x], made(ids, np.array([0]), np.array([len(ids)]))
 
     def pieces(self, text: str) -> list[str] | None:
         """None: encode the text whole."""
-        if not self.by_piece or self.apart.search(text):
+        if not self.by_piece or any(map(text.__contains__, self.apart)):
             return None
         return PIECES.findall(text)
 
@@ -102,29 +101,25 @@ class Encoder:
 class Known:
     """Pieces to what is made of their ids. Two generations of at most CACHE_PIECES pieces each, so that common ones stay."""
 
-    def __init__(self, encoder: Encoder, make: Callable) -> None:
-        self.encoder, self.make = encoder, make
+    def __init__(self, encoder: Encoder, made: Callable) -> None:
+        self.encoder, self.made = encoder, made
         self.young: dict = {}
         self.old: dict = {}
         self.long: list[str] = []
 
-    def learn(self, pieces: list[str]) -> dict:
-        """A table that has all these pieces."""
+    def learn(self, cut: list[list[str]]) -> dict:
+        """A table that has the pieces of all these lists."""
         for piece in self.long:  # of the last call: not worth their room
             self.young.pop(piece, None)
-        new = set(pieces).difference(self.young)
+        new = set().union(*cut).difference(self.young)
         if new and self.young and len(self.young) + len(new) > CACHE_PIECES:
             self.old, self.young = self.young, {}
-            new = set(pieces)
-        ask = []
-        for piece in new:
-            value = self.old.get(piece)
-            if value is None:
-                ask.append(piece)
-            else:
-                self.young[piece] = value
-        for piece, ids in zip(ask, self.encoder.each(ask), strict=True):
-            self.young[piece] = self.make(ids)
+            new = set().union(*cut)
+        again = new.intersection(self.old)
+        self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        ask = list(new - again)
+        for some, values in self.encoder.each(ask, self.made):
+            self.young.update(zip(some, values, strict=True))
         self.long = [x for x in ask if len(x) > LONG_PIECE]
         return self.young
 
@@ -133,10 +128,25 @@ class Known:
 _workers: dict = {}
 
 
-def worker(path: str, kind: str, make) -> tuple[Encoder, Known]:
+def lengths(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[int]:
+    return (ends - starts).tolist()
+
+
+def packed(dtype: str) -> Callable:
+    """The ids of each piece as bytes."""
+    width = np.dtype(dtype).itemsize
+
+    def made(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        data = ids.astype(dtype).tobytes()
+        return [data[a:b] for a, b in zip((starts * width).tolist(), (ends * width).tolist(), strict=True)]
+
+    return made
+
+
+def worker(path: str, kind: str, made: Callable) -> tuple[Encoder, Known]:
     if (path, kind) not in _workers:
         encoder = Encoder(path)
-        _workers[path, kind] = encoder, Known(encoder, make)
+        _workers[path, kind] = encoder, Known(encoder, made)
     return _workers[path, kind]
 
 
@@ -166,7 +176,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     common = docs.sparkSession.sparkContext.broadcast(frequent_pieces(docs, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, cache = worker(path, "counts", len)
+        encoder, cache = worker(path, "counts", lengths)
         first = common.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -175,18 +185,18 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
                 for text in texts[a:b]:
                     pieces = encoder.pieces(text or "")
                     if pieces is None:
-                        counts.append(len(encoder.whole(text)))
+                        counts.append(len(encoder.whole(text or "")))
                         continue
                     found = list(map(first.get, pieces))
                     if None in found:
                         rest = [p for p, n in zip(pieces, found, strict=True) if n is None]
                         open_rows.append((len(counts), rest))
-                        missed += rest
+                        missed.append(rest)
                         found = filter(None, found)
                     counts.append(sum(found))
-                lengths = cache.learn(missed)
+                known = cache.learn(missed)
                 for i, rest in open_rows:
-                    counts[i] += sum(map(lengths.__getitem__, rest))
+                    counts[i] += sum(map(known.__getitem__, rest))
                 sizes, counts = np.array([len((x or "").encode()) for x in texts[a:b]], np.int64), np.array(counts, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(counts), pa.array(counts > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
@@ -215,7 +225,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 0)
     dtype = "<u2" if max(size - 1, end_id) < 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, cache = worker(path, "ids" + dtype, lambda ids: np.array(ids, dtype).tobytes())
+        encoder, cache = worker(path, "ids" + dtype, packed(dtype))
         width, end = np.dtype(dtype).itemsize, np.array([end_id], dtype).tobytes()
         part, own = TaskContext.get().partitionId(), uuid.uuid4().hex
         store, top = _local(folder)
@@ -229,9 +239,9 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 0)
             ends, texts = [], batch.column(1).to_pylist()
             for a, b in sliced(texts, PIECE_SLICE):
                 cut = [encoder.pieces(x or "") for x in texts[a:b]]
-                known = cache.learn([p for pieces in cut for p in pieces or ()]).__getitem__
+                known = cache.learn([pieces for pieces in cut if pieces]).__getitem__
                 for text, pieces in zip(texts[a:b], cut, strict=True):
-                    data = np.array(encoder.whole(text), dtype).tobytes() if pieces is None else b"".join(map(known, pieces))
+                    data = np.array(encoder.whole(text or ""), dtype).tobytes() if pieces is None else b"".join(map(known, pieces))
                     out[0].write(data + end)
                     at += len(data) // width + 1
                     ends.append(at)
