@@ -24,6 +24,8 @@ from colloquy.llm.components import connected_components
 SEED = 42
 #: Home fingerprints of an anchor that one task compares; more are dealt out, the others going to each share.
 HOME_BLOCK = 2048
+#: Ranges of a sketch: 128, the hashes' upper 7 bits.
+SKETCH = 128
 #: Cells with at most so many comparisons are handled together.
 SMALL_CELL = 512
 
@@ -46,8 +48,23 @@ def majority(words: list[bytes], width: int) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
+def sketch(words: list[bytes], width: int) -> bytes:
+    """Of each of SKETCH equal ranges of shingle hashes a byte of the least one, 0 where none falls in it."""
+    out = np.full(SKETCH, np.iinfo(np.uint64).max)
+    if words:
+        hashes = shingle_hashes(words, width)
+        np.minimum.at(out, (hashes >> np.uint64(57)).astype(np.int64), hashes << np.uint64(7))
+    return np.where(out == np.iinfo(np.uint64).max, 0, (out >> np.uint64(7)) % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of the shingle sets behind the sketches, a row each: the share of the ranges in use that agree."""
+    used = ((a != 0) | (b != 0)).sum(axis=1)
+    return ((a == b) & (a != 0)).sum(axis=1) / np.maximum(used, 1)
+
+
 def fingerprints(docs: DataFrame, width: int = 3, check_width: int = 0) -> DataFrame:
-    """doc_id, fp, check: fingerprints as signed longs; check is that over check_width words, or 0 where none is asked for."""
+    """doc_id, fp, check: fingerprints as signed longs; check is the sketch over check_width words, null where none is asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,10 +72,10 @@ def fingerprints(docs: DataFrame, width: int = 3, check_width: int = 0) -> DataF
             for text in batch.column(1):
                 words = (text.as_py() or "").encode().lower().split()
                 fps.append(majority(words, width))
-                checks.append(majority(words, check_width) if check_width else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(checks, np.uint64).view(np.int64))], ["doc_id", "fp", "check"])
+                checks.append(sketch(words, check_width) if check_width else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(checks, pa.binary())], ["doc_id", "fp", "check"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, check long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, check binary")
 
 
 class Anchors:
@@ -107,33 +124,45 @@ class Anchors:
         return np.concatenate(keys), np.concatenate(rows), np.concatenate(home_flags)
 
 
-def near(a: np.ndarray, b: np.ndarray, a_check: np.ndarray, b_check: np.ndarray, max_bits: int, check_bits: int) -> np.ndarray:
-    close = np.bitwise_count(a ^ b) <= max_bits
-    return close & (np.bitwise_count(a_check ^ b_check) <= check_bits) if check_bits < 64 else close
+def near(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray, max_bits: int, similarity: float) -> np.ndarray:
+    """Whether row i of a and row j of b (nodes, fingerprints, sketches) are different nodes that link."""
+    hit = (np.bitwise_count(a[1][i] ^ b[1][j]) <= max_bits) & (a[0][i] != b[0][j])
+    if similarity:
+        at = np.flatnonzero(hit)
+        hit[at] = alike(a[2][i[at]], b[2][j[at]]) >= similarity
+    return hit
+
+
+def sketches(column: pa.Array) -> np.ndarray:
+    """A row for each; no columns where there are none."""
+    return np.zeros((len(column), 0), np.uint8) if column.null_count else np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
 class Cell:
     """A large cell: homes are held, the others stream by; links that add no connection are left out."""
 
-    def __init__(self, max_bits: int, check_bits: int, rows: list[np.ndarray]) -> None:
-        self.nodes, self.fps, self.checks = rows
+    def __init__(self, max_bits: int, similarity: float, rows: list[np.ndarray]) -> None:
+        self.rows, self.nodes = rows, rows[0]
         self.root = np.arange(len(self.nodes))
-        self.limits = max_bits, check_bits
-
-    def links(self, nodes: np.ndarray, fps: np.ndarray, checks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        step = max(1, (1 << 20) // max(1, len(self.fps)))
-        for k in range(0, len(fps), step):
-            some = nodes[k : k + step]
-            same = self.nodes[:, None] == some[None, :]
-            hit = near(self.fps[:, None], fps[None, k : k + step], self.checks[:, None], checks[None, k : k + step], *self.limits) & ~same
+        self.limits = max_bits, similarity
+
+    def links(self, rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n = len(self.nodes)
+        step = max(1, (1 << 18) // max(1, n))
+        for k in range(0, len(rows[0]), step):
+            part = [x[k : k + step] for x in rows]
+            some = part[0]
+            i, j = np.repeat(np.arange(n), len(some)), np.tile(np.arange(len(some)), n)
+            hit = near(self.rows, part, i, j, *self.limits).reshape(n, len(some))
             matched = np.flatnonzero(hit.any(axis=0))
             if self.root.min() == self.root.max():  # the homes are connected, so one link for each of the others suffices
                 yield some[matched], np.full(len(matched), self.nodes[self.root[0]])
                 continue
+            hit |= self.nodes[:, None] == some[None, :]
             src, dst = [], []
-            for j in matched:
-                roots = np.unique(self.root[hit[:, j] | same[:, j]])
-                src += [some[j]] * len(roots)
+            for m in matched:
+                roots = np.unique(self.root[hit[:, m]])
+                src += [some[m]] * len(roots)
                 dst += list(self.nodes[roots])
                 if len(roots) > 1:
                     self.root[np.isin(self.root, roots)] = roots[0]
@@ -160,7 +189,7 @@ def connected(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[off], nodes[label[off]]
 
 
-def compare(max_bits: int, check_bits: int) -> Callable:
+def compare(max_bits: int, similarity: float) -> Callable:
     """Rows of one partition, sorted by cell with homes first: the links of each cell, or a connecting part of them in a large one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +199,9 @@ def compare(max_bits: int, check_bits: int) -> Callable:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            cols[3:5] = [x.view(np.uint64) for x in cols[3:5]]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 5)]
+            cols[3] = cols[3].view(np.uint64)
+            cols.insert(4, sketches(batch.column(4)))
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
                 held = None
@@ -181,16 +211,16 @@ def compare(max_bits: int, check_bits: int) -> Callable:
             starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
             first, last = 0, len(starts) - 1
             if open_cell is not None and (key[0], block[0]) == open_key:
-                out += open_cell.links(*(x[: ends[0]] for x in rows))
+                out += open_cell.links([x[: ends[0]] for x in rows])
                 first = 1
             if open_cell is not None and (not first or last):
                 open_cell = None
             if last >= first:  # the last cell may go on in the next batch
                 a = starts[last]
                 if ends[last] - a > 4 * HOME_BLOCK:
-                    open_cell, open_key = Cell(max_bits, check_bits, [x[a:][home[a:]] for x in rows]), (key[a], block[a])
+                    open_cell, open_key = Cell(max_bits, similarity, [x[a:][home[a:]] for x in rows]), (key[a], block[a])
                     if len(open_cell.nodes):
-                        out += open_cell.links(*(x[a:] for x in rows))
+                        out += open_cell.links([x[a:] for x in rows])
                 else:
                     held = [x[a:] for x in cols]
                 last -= 1
@@ -200,7 +230,7 @@ def compare(max_bits: int, check_bits: int) -> Callable:
 
     def cells(starts: np.ndarray, ends: np.ndarray, home: np.ndarray, rows: list[np.ndarray]) -> list:
         out: list = []
-        nodes, fps, checks = rows
+        nodes = rows[0]
         before = np.concatenate([[0], np.cumsum(home)])
         homes, sizes = before[ends] - before[starts], ends - starts
         useful = (homes > 0) & (sizes > 1)
@@ -208,17 +238,17 @@ def compare(max_bits: int, check_bits: int) -> Callable:
         s, n, h = starts[small], sizes[small], homes[small]
         if len(s):  # homes come first in a cell, so its pair p is home p // n with member p % n
             pairs = h * n
-            for part in np.array_split(np.arange(len(s)), int(pairs.sum() >> 20) + 1):
+            for part in np.array_split(np.arange(len(s)), int(pairs.sum() >> 18) + 1):
                 counts = pairs[part]
                 cell = np.repeat(part, counts)
                 p = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                 i, j = s[cell] + p // n[cell], s[cell] + p % n[cell]
-                hit = near(fps[i], fps[j], checks[i], checks[j], max_bits, check_bits) & (nodes[i] != nodes[j])
+                hit = near(rows, rows, i, j, max_bits, similarity)
                 out.append((nodes[i[hit]], nodes[j[hit]]))
         large = useful & ~small
         for a, b in zip(starts[large], ends[large], strict=True):
             own = home[a:b]
-            out += Cell(max_bits, check_bits, [x[a:b][own] for x in rows]).links(*(x[a:b] for x in rows))
+            out += Cell(max_bits, similarity, [x[a:b][own] for x in rows]).links([x[a:b] for x in rows])
         return out
 
     def given(found: list) -> Iterator[pa.RecordBatch]:
@@ -229,7 +259,7 @@ def compare(max_bits: int, check_bits: int) -> Callable:
     return run
 
 
-def links(points: DataFrame, max_bits: int, check_bits: int = 64) -> DataFrame:
+def links(points: DataFrame, max_bits: int, similarity: float = 0.0) -> DataFrame:
     """points: node (long), fp, check. Returns src, dst: enough links between nodes to connect all that are near each other."""
 
     def home_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,19 +278,23 @@ def links(points: DataFrame, max_bits: int, check_bits: int = 64) -> DataFrame:
 
     points = points.select("node", "fp", "check")
     hot = points.select("fp").mapInArrow(home_rows, "key long").groupBy("key").count().where(f"count > {HOME_BLOCK}").select("key", F.ceil(F.col("count") / HOME_BLOCK).cast("int").alias("blocks"))
-    rows = points.mapInArrow(replicas, "key long, node long, fp long, check long, home boolean").join(hot, "key", "left")
-    # a hot anchor's homes are dealt out; what is compared with them goes to each share
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("block", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    rows = rows.select("key", "block", "node", "fp", "check", (F.col("home") & (F.col("blocks").isNull() | (own == F.col("block")))).alias("home"))
-    return rows.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("home")).mapInArrow(compare(max_bits, check_bits), "src long, dst long")
-
-
-def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, check_width: int = 0, check_bits: int = 64) -> DataFrame:
+    hot = checkpointed(hot)
+    rows = points.mapInArrow(replicas, "key long, node long, fp long, check binary, home boolean")
+    if hot.isEmpty():
+        rows = rows.select("key", F.lit(0).alias("block"), "node", "fp", "check", "home")
+    else:  # a hot anchor's homes are dealt out; what is compared with them goes to each share
+        rows = rows.join(hot, "key", "left")
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        rows = rows.withColumn("block", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+        rows = rows.select("key", "block", "node", "fp", "check", (F.col("home") & (F.col("blocks").isNull() | (own == F.col("block")))).alias("home"))
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("home")).mapInArrow(compare(max_bits, similarity), "src long, dst long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, check_width: int = 0, similarity: float = 0.0) -> DataFrame:
     """doc_id, fp (signed long), component_id of every row of docs (doc_id, text; further columns are ignored).
 
     Texts are lower-cased (A-Z) and split at ASCII white space. Fingerprints over width words link at max_bits or fewer
-    differing bits and, with check_width, if those over check_width words differ in check_bits or fewer. A component is
+    differing bits and, with check_width, if sketches of the shingles of check_width words put their similarity at the given one or more. A component is
     what links reach, equal fingerprints included; its id is the smallest doc_id in it. A null or empty text has
     fingerprint 0 and is linked like any other. A row without doc_id keeps its row and component but names none; if no row of
     a component has a doc_id, component_id is null. Repeated rows each keep their row.
@@ -268,11 +302,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, check_wi
     fps = checkpointed(fingerprints(docs, width, check_width))
     points = fps.groupBy("fp", "check").agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64("fp", "check") if check_width else F.col("fp"))
     points = checkpointed(points)
-    found = connected_components(links(points, max_bits, check_bits))
+    found = connected_components(links(points, max_bits, similarity))
     placed = points.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    placed = checkpointed(placed.select("fp", "check", "component").join(named, "component").select("fp", "check", "component_id"))
-    return fps.join(placed, ["fp", "check"]).select("doc_id", "fp", "component_id")
+    key = ["fp", "check"] if check_width else ["fp"]
+    placed = checkpointed(placed.select(*key, "component").join(named, "component").select(*key, "component_id"))
+    return fps.join(placed, key).select("doc_id", "fp", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,16 +316,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of a corpus' near copies: fingerprints over two words link at seven bits if those over five words agree to about a similarity of 0.8.
-COPY = {"width": 2, "max_bits": 7, "check_width": 5, "check_bits": 14}
+#: Of a corpus' near copies: candidates by fingerprints over two words, checked by sketches over five; the sketch of a pair at 0.8 falls short of 0.77 one time in five, that of one at 0.7 reaches it one time in twenty-five.
+COPY = {"width": 2, "max_bits": 7, "check_width": 5, "similarity": 0.77}
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, of which each group of near copies keeps the one with the smallest doc_id.
 
-    Near copies share about 0.8 of their five-word shingles or more. At that similarity the fingerprints over five words differ
-    in about 10 of 64 bits, which no covering code of use reaches, so candidates come from those over two words, of which
-    an edit touches fewer. Rows without a doc_id all stay; of rows with one doc_id the first by text stays.
+    Near copies share 0.8 of their five-word shingles or more, by an estimate over 128 ranges of their hashes. At that similarity the
+    fingerprints over five words differ in about 10 of 64 bits, which no covering code of use reaches, so candidates come
+    from those over two words, of which an edit touches fewer. Rows without a doc_id all stay; of rows with one doc_id the first by text stays.
     """
     found = near_duplicates(docs, **COPY)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()

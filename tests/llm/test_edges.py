@@ -62,7 +62,7 @@ def test_simhash_hot_cells(spark, monkeypatch):
     fps |= {int(x) for x in rng.integers(0, 1 << 63, 200)}
     fps = np.array(sorted(fps), np.uint64)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
-    points = spark.createDataFrame([(int(np.int64(x.astype(np.int64))), int(np.int64(x.astype(np.int64))), 0) for x in fps], "node long, fp long, check long")
+    points = spark.createDataFrame([(int(np.int64(x.astype(np.int64))), int(np.int64(x.astype(np.int64))), None) for x in fps], "node long, fp long, check binary")
     for bits in (3, 7):
         edges = simhash.links(points, bits).collect()
         near = (np.bitwise_count(fps[:, None] ^ fps[None, :]) <= bits) & ~np.eye(len(fps), dtype=bool)
