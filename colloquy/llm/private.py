@@ -35,6 +35,8 @@ GAZETTEER = r"(?i)(?:password|passwd|pwd|passphrase|secret|token|api[ _-]?key|ap
 KEY_PREFIX = r"^(?:AKIA|ASIA|ghp_|gho_|sk-|sk_|pk_|xox[abpr]-|AIza)"
 
 SPAN = "array<struct<kind:int,s:int,e:int>>"
+#: Matches whose places are worked out in one go.
+PART = 128
 
 
 def matches(text: Column, pattern: str, guard: Column, made: Callable, initial: str) -> Column:
@@ -50,7 +52,14 @@ def matches(text: Column, pattern: str, guard: Column, made: Callable, initial:
         end = start + F.length(x["m"])
         return F.struct(end.alias("at"), made(acc["out"], x["m"], start, end, x["b"], x["a"]).alias("out"))
 
-    whole = F.aggregate(named, F.struct(F.lit(0).alias("at"), F.array().cast(initial).alias("out")), step, lambda acc: acc["out"])
+    # arrays are copied when they grow, so many matches are taken in parts, each of which starts where those before it end
+    def part(xs: Column, c: Column) -> Column:
+        before = F.aggregate(F.slice(xs, F.lit(1), c * PART), F.lit(0), lambda n, x: n + F.length(x["b"]) + F.length(x["m"]))
+        return F.aggregate(F.slice(xs, c * PART + 1, F.lit(PART)), F.struct(before.alias("at"), F.array().cast(initial).alias("out")), step, lambda acc: acc["out"])
+
+    parts = lambda xs: F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.size(xs) / PART).cast("int")), lambda c: part(xs, c)))
+    # an array of one stands for a name: the matches are found once
+    whole = F.element_at(F.transform(F.array(named), parts), 1)
     return F.when(guard, whole).otherwise(F.array().cast(initial))
 
 
