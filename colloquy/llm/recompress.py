@@ -177,8 +177,10 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 part = Batch(texts[a:b], cache)
                 best = best_symbols(part.hashes, part.starts, width)
                 at = np.flatnonzero(best != NONE)
-                at = at[np.concatenate([[True], best[at[1:]] != best[at[:-1]]])] if len(at) else at
-                yield _rows(best[at] >> SHORT, ids[a:b][part.owner()[at]])
+                own = part.owner()[at]
+                new = np.ones(len(at), bool)  # a run of one symbol needs one row in each document that it reaches into
+                new[1:] = (best[at[1:]] != best[at[:-1]]) | (own[1:] != own[:-1])
+                yield _rows(best[at[new]] >> SHORT, ids[a:b][own[new]])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Hashes()

@@ -103,6 +103,16 @@ def test_recompression(odd):
     assert (10, 300, 0, ("le " * 300).strip()) in got
 
 
+def test_recompression_adjacent_repeats(spark):
+    """Neighbours in one partition whose windows all have one best symbol: each must be known as its owner."""
+    rows = [(1, "spam " * 40), (2, "spam " * 60), (3, "a line again " * 20), (4, "a line again " * 30 + "x")]
+    docs, partitions = spark.createDataFrame(rows, "doc_id long, text string"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    got = {r.doc_id: (r.n_removed, r.kept) for r in recompress.remove_repeats(docs).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert got == {1: (0, " ".join(["spam"] * 40)), 2: (60, ""), 3: (0, " ".join(["a line again"] * 20)), 4: (90, "x")}
+
+
 def test_token_files_round_trip(spark, odd, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
