@@ -64,7 +64,8 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, check_width: int = 0) -> DataFrame:
-    """doc_id, fp, check: fingerprints as signed longs; check is the sketch over check_width words, null where none is asked for."""
+    """doc_id, fp, check and node, if docs has it: fingerprints as signed longs; check is the sketch over check_width words, null where none is asked for."""
+    more = [c for c in ("node",) if c in docs.columns and check_width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,9 +74,9 @@ def fingerprints(docs: DataFrame, width: int = 3, check_width: int = 0) -> DataF
                 words = (text.as_py() or "").encode().lower().split()
                 fps.append(majority(words, width))
                 checks.append(sketch(words, check_width) if check_width else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(checks, pa.binary())], ["doc_id", "fp", "check"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(checks, pa.binary()), *(batch.column(2 + k) for k in range(len(more)))], ["doc_id", "fp", "check", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, check binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).mapInArrow(run, "doc_id long, fp long, check binary" + "".join(f", {c} long" for c in more))
 
 
 class Anchors:
@@ -125,11 +126,13 @@ class Anchors:
 
 
 def near(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray, max_bits: int, similarity: float) -> np.ndarray:
-    """Whether row i of a and row j of b (nodes, fingerprints, sketches) are different nodes that link."""
+    """Whether row i of a and row j of b (nodes, fingerprints, sketches) are different nodes that link; what follows a sketch names its part, and links within a part are left out."""
     hit = (np.bitwise_count(a[1][i] ^ b[1][j]) <= max_bits) & (a[0][i] != b[0][j])
     if similarity:
         at = np.flatnonzero(hit)
-        hit[at] = alike(a[2][i[at]], b[2][j[at]]) >= similarity
+        at = at[(a[2][i[at], SKETCH:] != b[2][j[at], SKETCH:]).any(axis=1)] if a[2].shape[1] > SKETCH else at
+        hit[:] = False
+        hit[at] = alike(a[2][i[at], :SKETCH], b[2][j[at], :SKETCH]) >= similarity
     return hit
 
 
@@ -139,10 +142,10 @@ def sketches(column: pa.Array) -> np.ndarray:
 
 
 class Cell:
-    """A large cell: homes are held, the others stream by; links that add no connection are left out."""
+    """A large cell: homes are held, the others stream by; links that add no connection are left out unless every one is asked for."""
 
-    def __init__(self, max_bits: int, similarity: float, rows: list[np.ndarray]) -> None:
-        self.rows, self.nodes = rows, rows[0]
+    def __init__(self, max_bits: int, similarity: float, every: bool, rows: list[np.ndarray]) -> None:
+        self.rows, self.nodes, self.every = rows, rows[0], every
         self.root = np.arange(len(self.nodes))
         self.limits = max_bits, similarity
 
@@ -154,6 +157,10 @@ class Cell:
             some = part[0]
             i, j = np.repeat(np.arange(n), len(some)), np.tile(np.arange(len(some)), n)
             hit = near(self.rows, part, i, j, *self.limits).reshape(n, len(some))
+            if self.every:
+                i, j = np.nonzero(hit)
+                yield some[j], self.nodes[i]
+                continue
             matched = np.flatnonzero(hit.any(axis=0))
             if self.root.min() == self.root.max():  # the homes are connected, so one link for each of the others suffices
                 yield some[matched], np.full(len(matched), self.nodes[self.root[0]])
@@ -189,8 +196,8 @@ def connected(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[off], nodes[label[off]]
 
 
-def compare(max_bits: int, similarity: float) -> Callable:
-    """Rows of one partition, sorted by cell with homes first: the links of each cell, or a connecting part of them in a large one."""
+def compare(max_bits: int, similarity: float, every: bool = False) -> Callable:
+    """Rows of one partition, sorted by cell with homes first: links that connect what those of each cell do, or every one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -218,7 +225,7 @@ def compare(max_bits: int, similarity: float) -> Callable:
             if last >= first:  # the last cell may go on in the next batch
                 a = starts[last]
                 if ends[last] - a > 4 * HOME_BLOCK:
-                    open_cell, open_key = Cell(max_bits, similarity, [x[a:][home[a:]] for x in rows]), (key[a], block[a])
+                    open_cell, open_key = Cell(max_bits, similarity, every, [x[a:][home[a:]] for x in rows]), (key[a], block[a])
                     if len(open_cell.nodes):
                         out += open_cell.links([x[a:] for x in rows])
                 else:
@@ -248,19 +255,20 @@ def compare(max_bits: int, similarity: float) -> Callable:
         large = useful & ~small
         for a, b in zip(starts[large], ends[large], strict=True):
             own = home[a:b]
-            out += Cell(max_bits, similarity, [x[a:b][own] for x in rows]).links([x[a:b] for x in rows])
+            out += Cell(max_bits, similarity, every, [x[a:b][own] for x in rows]).links([x[a:b] for x in rows])
         return out
 
     def given(found: list) -> Iterator[pa.RecordBatch]:
         if sum(len(x) for x, _ in found):
-            member, least = connected(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+            member, least = (np.maximum(u, v), np.minimum(u, v)) if every else connected(u, v)
             yield pa.RecordBatch.from_arrays([pa.array(member), pa.array(least)], ["src", "dst"])
 
     return run
 
 
-def links(points: DataFrame, max_bits: int, similarity: float = 0.0) -> DataFrame:
-    """points: node (long), fp, check. Returns src, dst: enough links between nodes to connect all that are near each other."""
+def links(points: DataFrame, max_bits: int, similarity: float = 0.0, every: bool = False) -> DataFrame:
+    """points: node (long), fp, check. Returns src, dst: enough links between nodes to connect all that are near each other, or every link, some of them repeated."""
 
     def home_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(max_bits)
@@ -287,7 +295,7 @@ def links(points: DataFrame, max_bits: int, similarity: float = 0.0) -> DataFram
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         rows = rows.withColumn("block", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
         rows = rows.select("key", "block", "node", "fp", "check", (F.col("home") & (F.col("blocks").isNull() | (own == F.col("block")))).alias("home"))
-    return rows.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("home")).mapInArrow(compare(max_bits, similarity), "src long, dst long")
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("home")).mapInArrow(compare(max_bits, similarity, every), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, check_width: int = 0, similarity: float = 0.0) -> DataFrame:
@@ -316,18 +324,68 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of a corpus' near copies: candidates by fingerprints over two words, checked by sketches over five; the sketch of a pair at 0.8 falls short of 0.77 one time in five, that of one at 0.7 reaches it one time in twenty-five.
-COPY = {"width": 2, "max_bits": 7, "check_width": 5, "similarity": 0.77}
+#: Near copies share this many hundredths of their five-word shingles or more.
+COPY_WIDTH, COPY_SHARE = 5, 80
+#: Candidates: fingerprints over two words, and a sketch that only leaves out what is far off (0.8 looks like 0.65 once in some 10 000 pairs).
+CANDIDATE = {"max_bits": 7, "similarity": 0.65}
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """texts: node, text. Returns node, shingles: the distinct hashes of its shingles of COPY_WIDTH words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = np.unique(shingle_hashes((text.as_py() or "").encode().lower().split(), COPY_WIDTH)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(found))], ["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
+
+def exact_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """src, dst: those of the pairs whose shingle sets have a Jaccard similarity of COPY_SHARE hundredths or more."""
+    pairs = pairs.where("src != dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
+    both = pairs.join(sets.select(F.col("node").alias("src"), F.col("shingles").alias("x")), "src").join(sets.select(F.col("node").alias("dst"), F.col("shingles").alias("y")), "dst")
+    both = both.withColumn("common", F.size(F.array_intersect("x", "y")).cast("long")).withColumn("all", F.size("x") + F.size("y") - F.col("common"))
+    return checkpointed(both.where(100 * F.col("common") >= COPY_SHARE * F.col("all")).select("src", "dst"))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, component_id of every row of docs: components of exact_links over all candidates.
+
+    The nodes are the distinct texts; those without words are one. Candidates come as a connecting part of them, which is checked
+    first. Where a rejected link leaves a group of candidates in several parts, all its candidates between parts are checked.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("node"))
+    without = F.col("check") == F.lit(bytes(SKETCH))
+    fps = checkpointed(fingerprints(rows, 2, COPY_WIDTH).withColumn("node", F.when(without, F.lit(0)).otherwise(F.col("node"))))
+    points = checkpointed(fps.groupBy("node", "fp", "check").agg(F.min("doc_id").alias("first")))
+    candidates = checkpointed(links(points, **CANDIDATE).distinct())
+    wanted = candidates.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    sets = checkpointed(shingle_sets(rows.groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node", "left_semi")))
+    found = exact_links(candidates, sets)
+    parts = connected_components(candidates).join(connected_components(found).withColumnRenamed("component", "part"), "node", "left").select("node", "component", F.coalesce("part", "node").alias("part"))
+    parts = checkpointed(parts)
+    several = parts.groupBy("component").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("component")
+    again = points.join(parts.join(several, "component").select("node", "part"), "node")
+    again = checkpointed(again.select("node", "fp", F.concat("check", F.unhex(F.lpad(F.hex("part"), 16, "0"))).alias("check")))
+    if not again.isEmpty():
+        found = found.unionByName(exact_links(links(again, **CANDIDATE, every=True), sets))
+    placed = points.join(connected_components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = placed.groupBy("component").agg(F.min("first").alias("component_id"))
+    placed = checkpointed(placed.select("node", "component").join(named, "component").select("node", "component_id"))
+    return fps.join(placed, "node").select("doc_id", "component_id")
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, of which each group of near copies keeps the one with the smallest doc_id.
 
-    Near copies share 0.8 of their five-word shingles or more, by an estimate over 128 ranges of their hashes. At that similarity the
-    fingerprints over five words differ in about 10 of 64 bits, which no covering code of use reaches, so candidates come
-    from those over two words, of which an edit touches fewer. Rows without a doc_id all stay; of rows with one doc_id the first by text stays.
+    Near copies share 0.8 of their five-word shingles or more, counted exactly. At that similarity the fingerprints over five
+    words differ in about 10 of 64 bits, which no covering code of use reaches, so candidates come from those over two words,
+    of which an edit touches fewer. Rows without a doc_id all stay; of rows with one doc_id the first by text stays.
     """
-    found = near_duplicates(docs, **COPY)
+    found = near_copies(docs)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     order = Window.partitionBy("doc_id").orderBy("text")
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("copy_rank", F.row_number().over(order)).where("copy_rank = 1")
