@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from colloquy.llm.common import Hashes, checkpointed, sliced, table, window_hashes, word_hashes
 
@@ -24,6 +25,10 @@ def folded(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(FOLD).split()
 
 
+def text_digest(text: str | None) -> bytes:
+    return hashlib.blake2b((text or "").encode(), digest_size=16).digest()
+
+
 class Windows:
     """Windows of the items by hash, with their words, so that a hit can be verified."""
 
@@ -103,7 +108,7 @@ def _marked(docs: DataFrame, windows: DataFrame, number: int) -> DataFrame:
                 for text in texts[a:b]:
                     words = folded(text)
                     hit, own = hit_words(words, word_hashes(words, cache), wanted)
-                    digests.append(hashlib.blake2b((text or "").encode(), digest_size=16).digest())
+                    digests.append(text_digest(text))
                     counts.append(len(words)), hits.append(np.flatnonzero(hit).astype(np.int32)), items.append(sorted(own))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "digest", "n_words", "hit", "items"])
 
@@ -121,8 +126,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -
     found = checkpointed(item_windows(benchmark.where("item_id is not null"), width))
     slices = max(1, -(-found.count() // BROADCAST_WINDOWS))
     if slices > 1:
-        bad = contamination(docs, benchmark, width).where(is_contaminated()).select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+        return _clean_in_passes(docs, found, slices)
     shared = spark.sparkContext.broadcast([(x.item_id, bytes(x.words).split(b" ")) for x in found.toLocalIterator()])
     column = docs.columns.index("text")
 
@@ -139,6 +143,25 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -
     return docs.mapInArrow(run, docs.schema)
 
 
+def _clean_in_passes(docs: DataFrame, found: DataFrame, slices: int) -> DataFrame:
+    """The verdict depends on the text alone, so rows are known by its digest, whatever their doc_id."""
+    texts = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = [_marked(texts, found.where(F.pmod(F.xxhash64("words"), F.lit(slices)) == k), k).where(F.size("hit") > 0).select("digest", "n_words", "hit") for k in range(slices)]
+    merged = marked[0]
+    for more in marked[1:]:
+        merged = merged.unionByName(more)
+    hits = merged.groupBy("digest", "n_words").agg(F.size(F.array_distinct(F.flatten(F.collect_set("hit")))).alias("n_hit"))
+    column, name = docs.columns.index("text"), "digest of the text"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.array([text_digest(x.as_py()) for x in batch.column(column)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, own], [*batch.schema.names, name])
+
+    bad = hits.where(is_contaminated()).select(F.col("digest").alias(name))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, BinaryType())])).join(bad, name, "left_anti").select(*docs.columns)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.transform("items", lambda x: x.cast("string")))

@@ -193,6 +193,16 @@ def test_contamination(odd, bench, monkeypatch):
     assert marks() == once  # in several passes
 
 
+def test_clean_documents_in_passes(spark, odd, bench, monkeypatch):
+    """A large benchmark changes no verdict: rows without a doc_id go, clean rows stay beside a contaminated one of their doc_id."""
+    kept = lambda: sorted(map(repr, decontaminate.clean_documents(odd, bench).collect()))
+    once = kept()
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 5)
+    assert kept() == once
+    rows = [(r.doc_id, r.text) for r in decontaminate.clean_documents(odd, bench).collect()]
+    assert (None, SAME) not in rows and (6, "other words") in rows and (6, SAME) not in rows
+
+
 def test_mixing(odd):
     got = mixing.mix(odd).collect()
     for source in (None, "s"):
