@@ -6,6 +6,8 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,11 +41,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def sliced(texts: list, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold about limit characters; a longer text stands alone."""
+def sliced(texts: list | pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about limit characters (of an Arrow array: bytes); a longer text stands alone."""
     start = held = 0
-    for i, text in enumerate(texts):
-        size = len(text or "")
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist() if isinstance(texts, pa.Array) else [len(x or "") for x in texts]
+    for i, size in enumerate(sizes):
         if held and held + size > limit:
             yield start, i
             start, held = i, 0

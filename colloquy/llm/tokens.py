@@ -1,8 +1,9 @@
 """Token ids as flat files, and token counts, with vocabularies of public tokenizers.
 
-A byte-level BPE never merges across its pre-tokens, and a pre-token never holds white space behind a letter. So a text can
-be cut before each run of white space (ASCII texts' usual one space) and the pieces encoded one by one, each distinct piece
-once per worker. Texts that hold the string of an added token, or white space beyond ASCII, are encoded whole.
+A byte-level BPE never merges across its pre-tokens, and a pre-token never holds a space behind another character. So a text
+whose white space holds no two spaces in a row (and no space between other white space) can be cut at each space, and the
+words encoded with the space before them, each distinct word once per worker. Texts that hold the string of an added token,
+white space beyond ASCII or such runs of white space are encoded whole.
 """
 
 from __future__ import annotations
@@ -12,41 +13,55 @@ import os
 import re
 import uuid
 import zlib
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import shared_dir, sliced, table
 
-#: Documents from which the table of frequent pieces is taken; it only saves time, results don't depend on it.
-SAMPLE_DOCS = 2000
-#: Entries of that table, which bounds what is broadcast.
-FREQUENT_PIECES = 1 << 16
+#: Entries of the table of frequent words, which bounds what is broadcast.
+FREQUENT_WORDS = 1 << 16
+#: Words that one task proposes for that table.
+PROPOSED_WORDS = 1 << 13
 #: Entries of a generation of a worker's cache.
-CACHE_PIECES = 300_000
-#: Characters that are cut into pieces at a time.
-PIECE_SLICE = 1 << 20
-#: A piece beyond this length isn't cached.
-LONG_PIECE = 64
+CACHE_WORDS = 400_000
+#: Characters that are encoded at a time.
+WORD_SLICE = 4 << 20
+#: Bytes of text for one part of the files; small tables have more parts, FEW_PARTS for each core at most.
+PART_BYTES, FEW_PARTS, LEAST_PART_BYTES = 128 << 20, 6, 2 << 20
+#: Documents that are read from the files at a time.
+READ_DOCS = 4096
+#: A word beyond this length isn't cached.
+LONG_WORD = 64
 
 WHITE = " \t\n\r\x0b\x0c"
 PIECES = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-OTHER_WHITE = [chr(x) for x in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
+#: Letters of Latin scripts, then marks: two pre-tokens.
+SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
+OTHER_WHITE = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
+APART = OTHER_WHITE + r"|  |[\t\n\r\x0b\x0c] [\t\n\r\x0b\x0c]"
+
+
+def bytes_as_letters() -> dict[int, str]:
+    """A byte-level vocabulary writes each byte as a character: printable ones as they are, the others from 256 on. Text decoded as Latin-1 is translated by this."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)}
 
 
 class Encoder:
     """Ids of texts by a tokenizers .json file, a sentencepiece .model or a .tiktoken file. whole() is the library's own encoding."""
 
     def __init__(self, path: str) -> None:
-        self.by_piece = False
+        self.by_word = False
         if path.endswith(".json"):
-            from tokenizers import Tokenizer
+            from tokenizers import Tokenizer, pre_tokenizers
 
             self.library = Tokenizer.from_file(path)
             self.library.no_truncation()
@@ -54,9 +69,18 @@ class Encoder:
             self.whole = lambda text: self.library.encode(text, add_special_tokens=False).ids
             described = json.loads(self.library.to_str())
             kind = described.get("pre_tokenizer") or {}
-            self.by_piece = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not described.get("normalizer")
+            self.by_word = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not described.get("normalizer")
             added = [x["content"] for x in described.get("added_tokens", [])]
-            self.apart = [*added, *OTHER_WHITE]
+            self.apart = "|".join([APART, *(re.sub(r"(\W)", r"\\\1", x) for x in added)])
+            if self.by_word:  # the same vocabulary for texts that are pre-tokens already, one to a line, with bytes written as letters
+                self.letters = bytes_as_letters()
+                self.line = self.letters[10]
+                self.split = Tokenizer.from_file(path)
+                self.split.no_truncation()
+                self.split.no_padding()
+                self.split.pre_tokenizer = pre_tokenizers.Split(self.line, "isolated")
+                self.line_id = self.split.token_to_id(self.line)
+                self.by_word = self.line_id is not None
         elif path.endswith(".model"):
             import sentencepiece
 
@@ -75,137 +99,230 @@ class Encoder:
         else:
             raise ValueError(f"no library for {path}")
 
-    def each(self, pieces: list[str], made: Callable) -> Iterator[tuple[list[str], list]]:
-        """Pieces and made(ids, starts, ends) of them. Many are encoded as the lines of one text: a line feed is a token between them."""
-        line = self.whole("\n")
-        lines, rest = [x for x in pieces if x[-1] not in WHITE], [x for x in pieces if x[-1] in WHITE]
-        for k in range(0, len(lines), 2000):
-            some = lines[k : k + 2000]
-            ids = np.array(self.library.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids)
-            at = np.flatnonzero(ids == line[0]) if len(line) == 1 else ids
-            if len(at) == len(some) - 1:
-                yield some, made(ids, np.append(0, at + 1), np.append(at, len(ids)))
-            else:
-                rest += some
-        for x in rest:
-            ids = np.array(self.whole(x), np.int64)
-            yield [x], made(ids, np.array([0]), np.array([len(ids)]))
+    def pre_tokens(self, pieces: list[str]) -> Iterator[bytes]:
+        """Ids (packed, 32 bits) of pieces of which each is one pre-token; many are encoded as the lines of one text."""
+        for k in range(0, len(pieces), 2000):
+            some = pieces[k : k + 2000]
+            text = "\n".join(some).encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.split.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(ids == self.line_id)
+            if len(at) != len(some) - 1:
+                raise ValueError("a pre-token holds a line feed")
+            data = ids.tobytes()
+            yield from map(data.__getitem__, map(slice, (4 * np.append(0, at + 1)).tolist(), (4 * np.append(at, len(ids))).tolist()))
+
 
-    def pieces(self, text: str) -> list[str] | None:
-        """None: encode the text whole."""
-        if not self.by_piece or any(map(text.__contains__, self.apart)):
-            return None
-        return PIECES.findall(text)
+def pack(ids: list[int]) -> bytes:
+    return np.array(ids, np.uint32).tobytes()
 
 
 class Known:
-    """Pieces to what is made of their ids. Two generations of at most CACHE_PIECES pieces each, so that common ones stay."""
-
-    def __init__(self, encoder: Encoder, made: Callable) -> None:
-        self.encoder, self.made = encoder, made
-        self.young: dict = {}
-        self.old: dict = {}
-        self.long: list[str] = []
-
-    def learn(self, cut: list[list[str]]) -> dict:
-        """A table that has the pieces of all these lists."""
-        for piece in self.long:  # of the last call: not worth their room
-            self.young.pop(piece, None)
-        new = set().union(*cut).difference(self.young)
-        if new and self.young and len(self.young) + len(new) > CACHE_PIECES:
+    """Words to their packed ids. Two generations, so that common ones stay; packed ids, as the collector of garbage would visit lists again and again."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        self.encoder = encoder
+        self.young: dict[str, bytes] = {}  # of words with a space before them, then pieces without one
+        self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, each with a space before it."""
+        if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
-            new = set().union(*cut)
-        again = new.intersection(self.old)
-        self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
-        ask = list(new - again)
-        for some, values in self.encoder.each(ask, self.made):
-            self.young.update(zip(some, values, strict=True))
-        self.long = [x for x in ask if len(x) > LONG_PIECE]
-        return self.young
+        out = list(map(self.young.get, words))
+        new = [i for i, x in enumerate(out) if x is None]
+        if self.old and new:
+            again = list(map(self.old.get, [words[i] for i in new]))
+            for i, x in zip(new, again, strict=True):
+                if x is not None:
+                    out[i] = self.young[words[i]] = x
+            new = [i for i, x in zip(new, again, strict=True) if x is None]
+        ask: dict[str, bytes] = {}
+        marked = []
+        for i in new:
+            simple = SIMPLE.fullmatch(words[i])
+            if simple is None:
+                out[i] = b"".join(map(self.piece, PIECES.findall(" " + words[i])))
+            elif simple[2]:
+                marked.append((i, *simple.groups()))
+            else:
+                ask[words[i]] = b""
+        for _, word, _ in marked:
+            if word not in self.young:
+                ask[word] = self.old.get(word, b"")
+        open_words = [x for x, y in ask.items() if not y]
+        ask |= zip(open_words, self.encoder.pre_tokens([" " + x for x in open_words]), strict=True)
+        for i, word, marks in marked:
+            out[i] = (ask.get(word) or self.young[word]) + self.piece(marks)
+        for i in new:
+            if out[i] is None:
+                out[i] = ask[words[i]]
+            elif len(words[i]) <= LONG_WORD:
+                self.young[words[i]] = out[i]
+        self.young |= ask if all(len(x) <= LONG_WORD for x in ask) else {k: x for k, x in ask.items() if len(k) <= LONG_WORD}
+        return out
+
+    def piece(self, text: str) -> bytes:
+        """Ids of a text by the library, kept if it is short."""
+        found = self.pieces.get(text)
+        if found is None:
+            found = pack(self.encoder.whole(text))
+            if len(text) <= LONG_WORD:
+                if len(self.pieces) > CACHE_WORDS:
+                    self.pieces.clear()
+                self.pieces[text] = found
+        return found
 
 
 #: One of each per worker process: they outlive a task.
 _workers: dict = {}
 
 
-def lengths(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[int]:
-    return (ends - starts).tolist()
+def worker(path: str) -> tuple[Encoder, Known]:
+    if path not in _workers:
+        encoder = Encoder(path)
+        _workers[path] = encoder, Known(encoder)
+    return _workers[path]
 
 
-def packed(dtype: str) -> Callable:
-    """The ids of each piece as bytes."""
-    width = np.dtype(dtype).itemsize
+def lists(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each has, and all of them in a row."""
+    return np.fromiter(map(len, rows), np.int64, len(rows)) // 4, np.frombuffer(b"".join(rows), np.uint32)
 
-    def made(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
-        data = ids.astype(dtype).tobytes()
-        return [data[a:b] for a, b in zip((starts * width).tolist(), (ends * width).tolist(), strict=True)]
 
-    return made
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words at single spaces, and where each text's begin."""
+    cut = pc.split_pattern(texts, " ")
+    return cut.flatten(), np.diff(cut.offsets.to_numpy()).cumsum() - np.diff(cut.offsets.to_numpy())
 
 
-def worker(path: str, kind: str, made: Callable) -> tuple[Encoder, Known]:
-    if (path, kind) not in _workers:
-        encoder = Encoder(path)
-        _workers[path, kind] = encoder, Known(encoder, made)
-    return _workers[path, kind]
+class Frequent:
+    """The broadcast tier: frequent words and the ids of each (with a space before it)."""
+
+    def __init__(self, words: list[str], ids: list[bytes]) -> None:
+        self.words = words
+        self.sizes, self.ids = lists(ids)
+        self.set: pa.Array | None = None
+
+    def __getstate__(self) -> tuple:
+        return self.words, self.sizes, self.ids
+
+    def __setstate__(self, state: tuple) -> None:
+        self.words, self.sizes, self.ids = state
+        self.set = None
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Each word's place in the table, -1 where it has none."""
+        if self.set is None:
+            self.set = pa.array(self.words, pa.string())
+        return pc.fill_null(pc.index_in(words, value_set=self.set), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def encoded(texts: pa.Array, frequent: Frequent, encoder: Encoder, known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts without null that can be cut at spaces: place of each word in the table, ids' sizes and ids of that table, and how many ids each text has."""
+    words, begin = words_of(texts)
+    place = frequent.find(words)
+    n = len(frequent.sizes)
+    place[begin] = n  # a text's first word has no space before it: these come next in the table, in order
+    missing = np.flatnonzero(place < 0)
+    coded = words.take(pa.array(missing)).dictionary_encode()
+    firsts = words.take(pa.array(begin)).to_pylist()
+    sizes, ids = lists([b"".join(map(known.piece, PIECES.findall(x))) for x in firsts] + known.ids(coded.dictionary.to_pylist()))
+    place[begin] += np.arange(len(begin))
+    place[missing] = n + len(begin) + coded.indices.to_numpy()
+    sizes, ids = np.concatenate([frequent.sizes, sizes]), np.concatenate([frequent.ids, ids])
+    return place, sizes, ids, np.add.reduceat(sizes[place], begin) if len(begin) else np.empty(0, np.int64)
+
+
+def frequent_words(docs: DataFrame, path: str) -> tuple[Frequent, int]:
+    """The commonest words of all documents, and the bytes of all texts. A task proposes its PROPOSED_WORDS commonest words, so no word list is shuffled whole; which ones are chosen affects speed alone."""
+    encoder, size = Encoder(path), F.sum(F.octet_length("text")).alias("size")
+    if not encoder.by_word:
+        return Frequent([], []), docs.agg(size).first().size or 0
+
+    def proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.StructArray] = []
+
+        def best(most: int) -> list[pa.Array]:
+            both = pa.table([pa.concat_arrays([x.field(0) for x in held]), pa.concat_arrays([x.field(1) for x in held])], ["word", "n"]).group_by("word").aggregate([("n", "sum")]).combine_chunks()
+            top = pc.select_k_unstable(both, most, [("n_sum", "descending")])
+            rows = both.take(top)
+            return [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in rows.columns]
+
+        for batch in batches:
+            texts = batch.column(0)
+            for a, b in sliced(texts, WORD_SLICE):
+                words, _ = words_of(texts.slice(a, b - a))
+                held.append(words.value_counts())
+                if len(held) > 8:  # many more than are proposed are kept in between
+                    held = [pa.StructArray.from_arrays(best(8 * PROPOSED_WORDS), ["values", "counts"])]
+        if held:
+            yield pa.RecordBatch.from_arrays(best(PROPOSED_WORDS), ["word", "n"])
+
+    observed = Observation()
+    found = docs.select("text").observe(observed, size).mapInArrow(proposed, "word string, n long").where(F.length("word") <= LONG_WORD).groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS)
+    words = [x.word for x in found.collect()]
+    return Frequent(words, Known(encoder).ids(words)), observed.get["size"] or 0
 
 
 # Counts
 
 
-def frequent_pieces(docs: DataFrame, path: str) -> dict[str, int]:
-    """Token counts of the commonest pieces of a bounded sample of documents; empty if the tokenizer doesn't work by piece."""
-    encoder = Encoder(path)
-    rows = docs.count()
-    if not encoder.by_piece or not rows:
-        return {}
-    sample = docs.select(F.substring(F.col("text").cast("string"), 1, 20_000).alias("text")).sample(fraction=min(1.0, SAMPLE_DOCS / rows), seed=4).limit(2 * SAMPLE_DOCS)
-    counted: Counter = Counter()
-    for row in sample.toLocalIterator():
-        counted.update(x for x in PIECES.findall(row.text or "") if len(x) <= LONG_PIECE)
-    return {piece: len(encoder.whole(piece)) for piece, n in counted.most_common(FREQUENT_PIECES) if n > 1}
+def cuttable(texts: pa.Array, encoder: Encoder) -> np.ndarray:
+    """Which texts can be cut at spaces."""
+    return ~pc.match_substring_regex(texts, encoder.apart).to_numpy(zero_copy_only=False) if encoder.by_word else np.zeros(len(texts), bool)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row; a null text is empty.
 
-    Two tiers on the map side: a broadcast table of the commonest pieces (at most FREQUENT_PIECES, found in a bounded sample,
-    so it only affects speed), then a bounded cache in each worker that asks the library. Nothing is shuffled.
+    Two tiers on the map side: a broadcast table of the commonest words of all documents (FREQUENT_WORDS at most), then a
+    bounded cache in each worker that asks the library. No words are shuffled but those proposed for the table.
     """
-    docs = docs.select("doc_id", "text")
-    common = docs.sparkSession.sparkContext.broadcast(frequent_pieces(docs, path))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    common = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, path)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, cache = worker(path, "counts", lengths)
-        first = common.value
+        encoder, known = worker(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in sliced(texts, PIECE_SLICE):
-                counts, open_rows, missed = [], [], []
-                for text in texts[a:b]:
-                    pieces = encoder.pieces(text or "")
-                    if pieces is None:
-                        counts.append(len(encoder.whole(text or "")))
-                        continue
-                    found = list(map(first.get, pieces))
-                    if None in found:
-                        rest = [p for p, n in zip(pieces, found, strict=True) if n is None]
-                        open_rows.append((len(counts), rest))
-                        missed.append(rest)
-                        found = filter(None, found)
-                    counts.append(sum(found))
-                known = cache.learn(missed)
-                for i, rest in open_rows:
-                    counts[i] += sum(map(known.__getitem__, rest))
-                sizes, counts = np.array([len((x or "").encode()) for x in texts[a:b]], np.int64), np.array(counts, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(counts), pa.array(counts > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+            texts = batch.column(1)
+            for a, b in sliced(texts, WORD_SLICE):
+                own = texts.slice(a, b - a)
+                counts, apart = np.zeros(b - a, np.int64), ~cuttable(own, encoder)
+                at = np.flatnonzero(~apart)
+                counts[at] = encoded(own.take(pa.array(at)), common.value, encoder, known)[3]
+                for k in np.flatnonzero(apart):
+                    counts[k] = len(encoder.whole(own[k].as_py()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pc.binary_length(own.cast(pa.large_binary())).cast(pa.int64()), pa.array(counts), pa.array(counts > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+
+    return docs.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 # Files
 
 
+def _with_ends(texts: pa.Array, frequent: Frequent, encoder: Encoder, known: Known, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of some texts, each followed by end_id, and how many each has, its end included."""
+    apart = ~cuttable(texts, encoder)
+    whole = [encoder.whole(texts[int(k)].as_py()) for k in np.flatnonzero(apart)]
+    place, sizes, ids, some = encoded(texts.take(pa.array(np.flatnonzero(~apart))), frequent, encoder, known)
+    counts = np.zeros(len(texts), np.int64)
+    counts[~apart], counts[apart] = some + 1, [len(x) + 1 for x in whole]
+    # ids of each word in turn: the table's entries, one after the other
+    own, begin = sizes[place], np.cumsum(sizes) - sizes
+    flat = ids[np.repeat(begin[place] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
+    out = np.full(counts.sum(), end_id, np.uint32)
+    ends = np.cumsum(counts)
+    inner = np.ones(len(out), bool)
+    inner[ends - 1] = False
+    if len(whole):
+        for k, x in zip(np.flatnonzero(apart), whole, strict=True):
+            out[ends[k] - len(x) - 1 : ends[k] - 1] = x
+            inner[ends[k] - len(x) - 1 : ends[k] - 1] = False
+    out[inner] = flat
+    return out, counts
+
+
 def _local(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
 
@@ -220,13 +337,18 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 0)
     writes under a name of its own and renames at its end, so a repeated task leaves the same files. manifest.json lists the
     entries. A null text is empty: end_id alone. An empty table has no parts.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    context = docs.sparkSession.sparkContext
+    frequent, n_bytes = frequent_words(docs, path)
+    common = context.broadcast(frequent)
+    few = min(FEW_PARTS * context.defaultParallelism, -(-n_bytes // LEAST_PART_BYTES))
+    count = max(1, few, -(-n_bytes // PART_BYTES))
     encoder = Encoder(path)
     size = encoder.library.get_vocab_size() if path.endswith(".json") else encoder.library.vocab_size() if path.endswith(".model") else encoder.library.n_vocab
     dtype = "<u2" if max(size - 1, end_id) < 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, cache = worker(path, "ids" + dtype, packed(dtype))
-        width, end = np.dtype(dtype).itemsize, np.array([end_id], dtype).tobytes()
+        encoder, known = worker(path)
         part, own = TaskContext.get().partitionId(), uuid.uuid4().hex
         store, top = _local(folder)
         store.create_dir(top)
@@ -236,18 +358,12 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 0)
             if out is None and batch.num_rows:
                 out = [store.open_output_stream(f"{x}.{own}") for x in names]
                 out[1].write(np.zeros(1, "<u8").tobytes())
-            ends, texts = [], batch.column(1).to_pylist()
-            for a, b in sliced(texts, PIECE_SLICE):
-                cut = [encoder.pieces(x or "") for x in texts[a:b]]
-                known = cache.learn([pieces for pieces in cut if pieces]).__getitem__
-                for text, pieces in zip(texts[a:b], cut, strict=True):
-                    data = np.array(encoder.whole(text or ""), dtype).tobytes() if pieces is None else b"".join(map(known, pieces))
-                    out[0].write(data + end)
-                    at += len(data) // width + 1
-                    ends.append(at)
-            if ends:
-                rows += len(ends)
-                out[1].write(np.array(ends, "<u8").tobytes())
+            for a, b in sliced(batch.column(1), WORD_SLICE):
+                ids, counts = _with_ends(batch.column(1).slice(a, b - a), common.value, encoder, known, end_id)
+                out[0].write(ids.astype(dtype).tobytes())
+                out[1].write((at + np.cumsum(counts)).astype("<u8").tobytes())
+                at, rows = at + len(ids), rows + len(counts)
+            if batch.num_rows:
                 out[2].write(batch.column(0).fill_null(0).to_numpy().astype("<i8").tobytes())
                 out[3].write(batch.column(0).is_valid().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes())
         if out is not None:
@@ -256,7 +372,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 0)
                 store.move(f"{name}.{own}", name)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([rows]), pa.array([at])], ["part", "rows", "ids"])
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.repartitionByRange(count, "doc_id").sortWithinPartitions("doc_id", "text")
     parts = sorted(ordered.mapInArrow(run, "part int, rows long, ids long").collect())  # a row for each file
     bases = np.concatenate([[0], np.cumsum([x.ids for x in parts])]).astype(int)
     entries = [{"part": x.part, "rows": x.rows, "ids": x.ids, "base": int(base), "dtype": dtype} for x, base in zip(parts, bases[:-1], strict=True)]
@@ -267,12 +383,19 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 0)
     return entries
 
 
-def mapped(store: fs.FileSystem, name: str, dtype: str) -> np.ndarray:
-    """A memory-mapped file, or in a store without local files its contents."""
-    if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(name, dtype, "r") if os.path.getsize(name) else np.empty(0, dtype)
-    with store.open_input_file(name) as data:
-        return np.frombuffer(data.read(), dtype)
+class Flat:
+    """A flat file of numbers: memory-mapped, or in a store without local files read by ranges."""
+
+    def __init__(self, store: fs.FileSystem, name: str, dtype: str) -> None:
+        self.dtype, self.local = np.dtype(dtype), isinstance(store, fs.LocalFileSystem)
+        if self.local:
+            self.data = np.memmap(name, dtype, "r") if os.path.getsize(name) else np.empty(0, dtype)
+        else:
+            self.data = store.open_input_file(name)
+
+    def __call__(self, a: int, b: int) -> np.ndarray:
+        width = self.dtype.itemsize
+        return self.data[a:b] if self.local else np.frombuffer(self.data.read_at((b - a) * width, a * width), self.dtype)
 
 
 def read_token_files(spark: SparkSession, folder: str, entries: list[dict]) -> DataFrame:
@@ -285,15 +408,16 @@ def read_token_files(spark: SparkSession, folder: str, entries: list[dict]) -> D
         store, top = _local(folder)
         for entry in (x for batch in batches for x in batch.to_pylist()):
             name = f"{top}/part-{entry['part']:07d}"
-            ids, offsets = mapped(store, f"{name}.ids", entry["dtype"]), mapped(store, f"{name}.offsets", "<u8")
-            docs, valid = mapped(store, f"{name}.docs", "<i8"), mapped(store, f"{name}.valid", "u1")
-            for k in range(0, len(docs), 4096):
-                at = offsets[k : k + 4097].astype(np.int64)
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-                own = pa.array(docs[k : k + 4096], pa.int64(), mask=valid[k : k + 4096] == 0)
+            ids, offsets = Flat(store, f"{name}.ids", entry["dtype"]), Flat(store, f"{name}.offsets", "<u8")
+            docs, valid = Flat(store, f"{name}.docs", "<i8"), Flat(store, f"{name}.valid", "u1")
+            for k in range(0, entry["rows"], READ_DOCS):
+                end = min(k + READ_DOCS, entry["rows"])
+                at = offsets(k, end + 1).astype(np.int64)
+                crc = [zlib.crc32(ids(a, b).astype("<u4").tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                own = pa.array(docs(k, end), pa.int64(), mask=valid(k, end) == 0)
                 yield pa.RecordBatch.from_arrays([own, pa.array(at[:-1] + entry["base"]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = spark.createDataFrame([(x["part"], x["base"], x["dtype"]) for x in entries], "part int, base long, dtype string")
+    rows = spark.createDataFrame([(x["part"], x["rows"], x["base"], x["dtype"]) for x in entries], "part int, rows long, base long, dtype string")
     return rows.repartition(min(len(entries), 4096), "part").mapInArrow(run, schema)
 
 

@@ -169,18 +169,26 @@ def test_counts_as_the_library(odd, name):
     assert sorted(r.n_tokens for r in tokens.token_counts(odd, path).collect()) == sorted(len(whole(r.text or "")) for r in odd.collect())
 
 
-def test_pieces_as_the_library():
+def test_words_as_the_library(monkeypatch):
     import random
 
     import public_tokenizers
+    import pyarrow as pa
 
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 200)  # generations change often
     encoder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    known, common = tokens.Known(encoder), ["a", "Bc", "", "a!", "\n"]
+    frequent = tokens.Frequent(common, tokens.Known(encoder).ids(common))
     rng = random.Random(1)
-    for _ in range(3000):
-        text = "".join(rng.choice([" ", "  ", "\n", "\t", "a", "Bc", "'s", "!", "12", "é", "日", "\xa0", "\x1c", "<|endoftext|>", "\r\n"]) for _ in range(rng.randint(0, 12)))
-        pieces = encoder.pieces(text)
-        known = tokens.Known(encoder, tokens.packed("<u4")).learn([pieces or []])
-        assert (encoder.whole(text) if pieces is None else [i for p in pieces for i in np.frombuffer(known[p], "<u4").tolist()]) == encoder.whole(text)
+    parts = [" ", " ", " ", "  ", "\n", "\t", "a", "Bc", "'s", "!", "12", "é", "日", "\xa0", "\x1c", "<|endoftext|>", "\r\n", "ǅ", "x" * 70]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(6000)]
+    for k in range(0, len(texts), 250):
+        some = texts[k : k + 250]
+        ids, counts = tokens._with_ends(pa.array(some), frequent, encoder, known, 0)
+        ends = counts.cumsum()
+        for text, n, end in zip(some, counts, ends, strict=True):
+            assert ids[end - n : end].tolist() == [*encoder.whole(text), 0], text
+    assert tokens.cuttable(pa.array(texts), encoder).sum() > 500
 
 
 def test_contamination(odd, bench, monkeypatch):
