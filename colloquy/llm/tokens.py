@@ -2,7 +2,7 @@
 
 A byte-level BPE never merges across its pre-tokens, and a pre-token never holds a space behind another character. So a text
 whose white space holds no two spaces in a row (and no space between other white space) can be cut at each space, and the
-words encoded with the space before them, each distinct word once per worker. Texts that hold the string of an added token,
+words encoded with the space before them, each distinct word once per worker. Line feeds between words are cuts too. Texts that hold the string of an added token,
 white space beyond ASCII or such runs of white space are encoded whole.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import shared_dir, sliced, table
@@ -30,7 +30,7 @@ FREQUENT_WORDS = 1 << 16
 #: Words that one task proposes for that table.
 PROPOSED_WORDS = 1 << 13
 #: Entries of a generation of a worker's cache.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 350_000
 #: Characters that are encoded at a time.
 WORD_SLICE = 4 << 20
 #: Bytes of text for one part of the files; small tables have more parts, FEW_PARTS for each core at most.
@@ -43,9 +43,12 @@ LONG_WORD = 64
 WHITE = " \t\n\r\x0b\x0c"
 PIECES = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Letters of Latin scripts, then marks: two pre-tokens.
-SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
+SIMPLE = re.compile(r"(\x01?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
 OTHER_WHITE = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
-APART = OTHER_WHITE + r"|  |[\t\n\r\x0b\x0c] [\t\n\r\x0b\x0c]"
+#: A line feed between two words is written as a space and this, so that it is a cut too.
+LINE = "\x01"
+APART = OTHER_WHITE + r"|\x01|  |[\t\n\r\x0b\x0c] [\t\n\r\x0b\x0c]"
+KEPT_LINES = r"\n[ \t\n\r\x0b\x0c]|[ \t\n\r\x0b\x0c]\n"
 
 
 def bytes_as_letters() -> dict[int, str]:
@@ -126,62 +129,98 @@ class Known:
         self.pieces: dict[str, bytes] = {}
 
     def ids(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words, each with a space before it."""
+        """Ids of distinct words, each with a space before it, or a line feed where it begins with LINE."""
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
-        out = list(map(self.young.get, words))
+        young, line = self.young, self.piece("\n")
+        out = list(map(young.get, words))
         new = [i for i, x in enumerate(out) if x is None]
         if self.old and new:
             again = list(map(self.old.get, [words[i] for i in new]))
             for i, x in zip(new, again, strict=True):
                 if x is not None:
-                    out[i] = self.young[words[i]] = x
+                    out[i] = young[words[i]] = x
             new = [i for i, x in zip(new, again, strict=True) if x is None]
-        ask: dict[str, bytes] = {}
-        marked = []
+        # letters are asked for as one pre-token, under the key of the word of these letters alone
+        ask, marked, full, long = set(), [], SIMPLE.fullmatch, []
         for i in new:
-            simple = SIMPLE.fullmatch(words[i])
+            word = words[i]
+            simple = full(word)
             if simple is None:
-                out[i] = b"".join(map(self.piece, PIECES.findall(" " + words[i])))
-            elif simple[2]:
-                marked.append((i, *simple.groups()))
-            else:
-                ask[words[i]] = b""
-        for _, word, _ in marked:
-            if word not in self.young:
-                ask[word] = self.old.get(word, b"")
-        open_words = [x for x, y in ask.items() if not y]
-        ask |= zip(open_words, self.encoder.pre_tokens([" " + x for x in open_words]), strict=True)
-        for i, word, marks in marked:
-            out[i] = (ask.get(word) or self.young[word]) + self.piece(marks)
+                out[i] = line + b"".join(map(self.piece, PIECES.findall(word[1:]))) if word[:1] == LINE else b"".join(map(self.piece, PIECES.findall(" " + word)))
+                if len(word) <= LONG_WORD:
+                    young[word] = out[i]
+                continue
+            if simple.end(1) < len(word):
+                marked.append(i)
+                letters = simple[1]
+                if letters in young:
+                    continue
+                if letters in self.old:
+                    young[letters] = self.old[letters]
+                    continue
+                word = letters
+            ask.add(word)
+            if len(word) > LONG_WORD:
+                long.append(word)
+        asked = list(ask)
+        found = self.encoder.pre_tokens([" " + x if x[0] != LINE else x[1:] for x in asked])
+        young.update((x, y if x[0] != LINE else line + y) for x, y in zip(asked, found, strict=True))
+        for i in marked:
+            word = words[i]
+            letters = full(word)[1]
+            out[i] = young[letters] + self.piece(word[len(letters) :])
+            if len(word) <= LONG_WORD:
+                young[word] = out[i]
         for i in new:
             if out[i] is None:
-                out[i] = ask[words[i]]
-            elif len(words[i]) <= LONG_WORD:
-                self.young[words[i]] = out[i]
-        self.young |= ask if all(len(x) <= LONG_WORD for x in ask) else {k: x for k, x in ask.items() if len(k) <= LONG_WORD}
+                out[i] = young[words[i]]
+        for word in long:
+            young.pop(word, None)
         return out
 
+    def first(self, word: str) -> bytes:
+        """Ids of a text's first word."""
+        return b"".join(map(self.piece, PIECES.findall(word.replace(LINE, "\n"))))
+
     def piece(self, text: str) -> bytes:
         """Ids of a text by the library, kept if it is short."""
         found = self.pieces.get(text)
         if found is None:
             found = pack(self.encoder.whole(text))
             if len(text) <= LONG_WORD:
-                if len(self.pieces) > CACHE_WORDS:
+                if len(self.pieces) > CACHE_WORDS // 8:
                     self.pieces.clear()
                 self.pieces[text] = found
         return found
 
 
-#: One of each per worker process: they outlive a task.
-_workers: dict = {}
+class Worker:
+    """What outlives a task: encoder, cache, and a table of frequent words of the first texts seen, where none is broadcast."""
+
+    def __init__(self, path: str) -> None:
+        self.encoder = Encoder(path)
+        self.known = Known(self.encoder)
+        self.frequent: Frequent | None = None
+
+    def table(self, texts: pa.Array) -> Frequent:
+        if self.frequent is None:
+            counts = words_of(texts)[0].value_counts()
+            words = counts.field(0).take(pc.array_sort_indices(counts.field(1), order="descending")[: FREQUENT_WORDS // 2]).to_pylist()
+            words = [x for x in words if len(x) <= LONG_WORD]
+            made = Frequent(words, self.known.ids(words))
+            if pc.sum(pc.binary_length(texts)).as_py() < WORD_SLICE // 4:
+                return made
+            self.frequent = made
+        return self.frequent
 
 
-def worker(path: str) -> tuple[Encoder, Known]:
+_workers: dict[str, Worker] = {}
+
+
+def worker(path: str) -> Worker:
     if path not in _workers:
-        encoder = Encoder(path)
-        _workers[path] = encoder, Known(encoder)
+        _workers[path] = Worker(path)
     return _workers[path]
 
 
@@ -191,9 +230,11 @@ def lists(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Words at single spaces, and where each text's begin."""
-    cut = pc.split_pattern(texts, " ")
-    return cut.flatten(), np.diff(cut.offsets.to_numpy()).cumsum() - np.diff(cut.offsets.to_numpy())
+    """Words at single spaces and line feeds, and where each text's begin."""
+    kept = pc.match_substring_regex(texts, KEPT_LINES)
+    cut = pc.split_pattern(pc.if_else(kept, texts, pc.replace_substring(texts, "\n", " " + LINE)), " ")
+    sizes = np.diff(cut.offsets.to_numpy())
+    return cut.flatten(), np.cumsum(sizes) - sizes
 
 
 class Frequent:
@@ -218,7 +259,7 @@ class Frequent:
         return pc.fill_null(pc.index_in(words, value_set=self.set), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def encoded(texts: pa.Array, frequent: Frequent, encoder: Encoder, known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def encoded(texts: pa.Array, frequent: Frequent, known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts without null that can be cut at spaces: place of each word in the table, ids' sizes and ids of that table, and how many ids each text has."""
     words, begin = words_of(texts)
     place = frequent.find(words)
@@ -227,18 +268,18 @@ def encoded(texts: pa.Array, frequent: Frequent, encoder: Encoder, known: Known)
     missing = np.flatnonzero(place < 0)
     coded = words.take(pa.array(missing)).dictionary_encode()
     firsts = words.take(pa.array(begin)).to_pylist()
-    sizes, ids = lists([b"".join(map(known.piece, PIECES.findall(x))) for x in firsts] + known.ids(coded.dictionary.to_pylist()))
+    sizes, ids = lists([known.first(x) for x in firsts] + known.ids(coded.dictionary.to_pylist()))
     place[begin] += np.arange(len(begin))
     place[missing] = n + len(begin) + coded.indices.to_numpy()
     sizes, ids = np.concatenate([frequent.sizes, sizes]), np.concatenate([frequent.ids, ids])
     return place, sizes, ids, np.add.reduceat(sizes[place], begin) if len(begin) else np.empty(0, np.int64)
 
 
-def frequent_words(docs: DataFrame, path: str) -> tuple[Frequent, int]:
-    """The commonest words of all documents, and the bytes of all texts. A task proposes its PROPOSED_WORDS commonest words, so no word list is shuffled whole; which ones are chosen affects speed alone."""
-    encoder, size = Encoder(path), F.sum(F.octet_length("text")).alias("size")
+def frequent_words(docs: DataFrame, path: str) -> Frequent:
+    """The commonest words of all documents. A task proposes its PROPOSED_WORDS commonest words, so no word list is shuffled whole; which ones are chosen affects speed alone."""
+    encoder = Encoder(path)
     if not encoder.by_word:
-        return Frequent([], []), docs.agg(size).first().size or 0
+        return Frequent([], [])
 
     def proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.StructArray] = []
@@ -259,10 +300,9 @@ def frequent_words(docs: DataFrame, path: str) -> tuple[Frequent, int]:
         if held:
             yield pa.RecordBatch.from_arrays(best(PROPOSED_WORDS), ["word", "n"])
 
-    observed = Observation()
-    found = docs.select("text").observe(observed, size).mapInArrow(proposed, "word string, n long").where(F.length("word") <= LONG_WORD).groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS)
+    found = docs.select("text").mapInArrow(proposed, "word string, n long").where(F.length("word") <= LONG_WORD).groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS)
     words = [x.word for x in found.collect()]
-    return Frequent(words, Known(encoder).ids(words)), observed.get["size"] or 0
+    return Frequent(words, Known(encoder).ids(words))
 
 
 # Counts
@@ -280,17 +320,17 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     bounded cache in each worker that asks the library. No words are shuffled but those proposed for the table.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    common = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, path)[0])
+    common = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, known = worker(path)
+        encoder, known = worker(path).encoder, worker(path).known
         for batch in batches:
             texts = batch.column(1)
             for a, b in sliced(texts, WORD_SLICE):
                 own = texts.slice(a, b - a)
                 counts, apart = np.zeros(b - a, np.int64), ~cuttable(own, encoder)
                 at = np.flatnonzero(~apart)
-                counts[at] = encoded(own.take(pa.array(at)), common.value, encoder, known)[3]
+                counts[at] = encoded(own.take(pa.array(at)), common.value, known)[3]
                 for k in np.flatnonzero(apart):
                     counts[k] = len(encoder.whole(own[k].as_py()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pc.binary_length(own.cast(pa.large_binary())).cast(pa.int64()), pa.array(counts), pa.array(counts > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
@@ -301,16 +341,18 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
 # Files
 
 
-def _with_ends(texts: pa.Array, frequent: Frequent, encoder: Encoder, known: Known, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+def _with_ends(texts: pa.Array, own: Worker, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of some texts, each followed by end_id, and how many each has, its end included."""
+    encoder = own.encoder
     apart = ~cuttable(texts, encoder)
     whole = [encoder.whole(texts[int(k)].as_py()) for k in np.flatnonzero(apart)]
-    place, sizes, ids, some = encoded(texts.take(pa.array(np.flatnonzero(~apart))), frequent, encoder, known)
+    cut = texts.take(pa.array(np.flatnonzero(~apart)))
+    place, sizes, ids, some = encoded(cut, own.table(cut), own.known)
     counts = np.zeros(len(texts), np.int64)
     counts[~apart], counts[apart] = some + 1, [len(x) + 1 for x in whole]
     # ids of each word in turn: the table's entries, one after the other
-    own, begin = sizes[place], np.cumsum(sizes) - sizes
-    flat = ids[np.repeat(begin[place] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
+    each, begin = sizes[place], np.cumsum(sizes) - sizes
+    flat = ids[np.repeat(begin[place] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
     out = np.full(counts.sum(), end_id, np.uint32)
     ends = np.cumsum(counts)
     inner = np.ones(len(out), bool)
@@ -339,8 +381,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 0)
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     context = docs.sparkSession.sparkContext
-    frequent, n_bytes = frequent_words(docs, path)
-    common = context.broadcast(frequent)
+    n_bytes = docs.agg(F.sum(F.octet_length("text")).alias("size")).first().size or 0
     few = min(FEW_PARTS * context.defaultParallelism, -(-n_bytes // LEAST_PART_BYTES))
     count = max(1, few, -(-n_bytes // PART_BYTES))
     encoder = Encoder(path)
@@ -348,7 +389,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 0)
     dtype = "<u2" if max(size - 1, end_id) < 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, known = worker(path)
+        own_worker = worker(path)
         part, own = TaskContext.get().partitionId(), uuid.uuid4().hex
         store, top = _local(folder)
         store.create_dir(top)
@@ -359,7 +400,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 0)
                 out = [store.open_output_stream(f"{x}.{own}") for x in names]
                 out[1].write(np.zeros(1, "<u8").tobytes())
             for a, b in sliced(batch.column(1), WORD_SLICE):
-                ids, counts = _with_ends(batch.column(1).slice(a, b - a), common.value, encoder, known, end_id)
+                ids, counts = _with_ends(batch.column(1).slice(a, b - a), own_worker, end_id)
                 out[0].write(ids.astype(dtype).tobytes())
                 out[1].write((at + np.cumsum(counts)).astype("<u8").tobytes())
                 at, rows = at + len(ids), rows + len(counts)
