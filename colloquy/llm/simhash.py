@@ -24,8 +24,6 @@ from colloquy.llm.components import connected_components
 SEED = 42
 #: Home fingerprints of an anchor that one task compares; more are dealt out, the others going to each share.
 HOME_BLOCK = 2048
-#: Ranges of a sketch: 128, the hashes' upper 7 bits.
-SKETCH = 128
 #: Cells with at most so many comparisons are handled together.
 SMALL_CELL = 512
 
@@ -38,45 +36,28 @@ def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
 
 
 def majority(words: list[bytes], width: int) -> int:
-    """The fingerprint: a bit is set where over half of the shingle hashes have it; 0 without words."""
-    if not words:
-        return 0
-    hashes = shingle_hashes(words, width).astype(">u8")
+    """The fingerprint of the shingles, repeats included; 0 without words."""
+    return majority_of(shingle_hashes(words, width)) if words else 0
+
+
+def majority_of(hashes: np.ndarray) -> int:
+    """A bit is set where over half of the hashes have it."""
+    hashes = hashes.astype(">u8")
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 15):
         counts += np.unpackbits(hashes[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
-def sketch(words: list[bytes], width: int) -> bytes:
-    """Of each of SKETCH equal ranges of shingle hashes a byte of the least one, 0 where none falls in it."""
-    out = np.full(SKETCH, np.iinfo(np.uint64).max)
-    if words:
-        hashes = shingle_hashes(words, width)
-        np.minimum.at(out, (hashes >> np.uint64(57)).astype(np.int64), hashes << np.uint64(7))
-    return np.where(out == np.iinfo(np.uint64).max, 0, (out >> np.uint64(7)) % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
-
-
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of the shingle sets behind the sketches, a row each: the share of the ranges in use that agree."""
-    used = ((a != 0) | (b != 0)).sum(axis=1)
-    return ((a == b) & (a != 0)).sum(axis=1) / np.maximum(used, 1)
-
-
-def fingerprints(docs: DataFrame, width: int = 3, check_width: int = 0) -> DataFrame:
-    """doc_id, fp, check and node, if docs has it: fingerprints as signed longs; check is the sketch over check_width words, null where none is asked for."""
-    more = [c for c in ("node",) if c in docs.columns and check_width]
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """doc_id, fp of every row of docs (doc_id, text): fingerprints as signed longs. Null and empty texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, checks = [], []
-            for text in batch.column(1):
-                words = (text.as_py() or "").encode().lower().split()
-                fps.append(majority(words, width))
-                checks.append(sketch(words, check_width) if check_width else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(checks, pa.binary()), *(batch.column(2 + k) for k in range(len(more)))], ["doc_id", "fp", "check", *more])
+            fps = [majority((text.as_py() or "").encode().lower().split(), width) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).mapInArrow(run, "doc_id long, fp long, check binary" + "".join(f", {c} long" for c in more))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 class Anchors:
@@ -125,29 +106,17 @@ class Anchors:
         return np.concatenate(keys), np.concatenate(rows), np.concatenate(home_flags)
 
 
-def near(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray, max_bits: int, similarity: float) -> np.ndarray:
-    """Whether row i of a and row j of b (nodes, fingerprints, sketches) are different nodes that link; what follows a sketch names its part, and links within a part are left out."""
-    hit = (np.bitwise_count(a[1][i] ^ b[1][j]) <= max_bits) & (a[0][i] != b[0][j])
-    if similarity:
-        at = np.flatnonzero(hit)
-        at = at[(a[2][i[at], SKETCH:] != b[2][j[at], SKETCH:]).any(axis=1)] if a[2].shape[1] > SKETCH else at
-        hit[:] = False
-        hit[at] = alike(a[2][i[at], :SKETCH], b[2][j[at], :SKETCH]) >= similarity
-    return hit
-
-
-def sketches(column: pa.Array) -> np.ndarray:
-    """A row for each; no columns where there are none."""
-    return np.zeros((len(column), 0), np.uint8) if column.null_count else np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+def near(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray, max_bits: int) -> np.ndarray:
+    """Whether row i of a and row j of b (nodes, fingerprints) are different nodes within max_bits."""
+    return (np.bitwise_count(a[1][i] ^ b[1][j]) <= max_bits) & (a[0][i] != b[0][j])
 
 
 class Cell:
-    """A large cell: homes are held, the others stream by; links that add no connection are left out unless every one is asked for."""
+    """A large cell: homes are held, the others stream by; links that add no connection are left out."""
 
-    def __init__(self, max_bits: int, similarity: float, every: bool, rows: list[np.ndarray]) -> None:
-        self.rows, self.nodes, self.every = rows, rows[0], every
+    def __init__(self, max_bits: int, rows: list[np.ndarray]) -> None:
+        self.rows, self.nodes, self.max_bits = rows, rows[0], max_bits
         self.root = np.arange(len(self.nodes))
-        self.limits = max_bits, similarity
 
     def links(self, rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n = len(self.nodes)
@@ -156,11 +125,7 @@ class Cell:
             part = [x[k : k + step] for x in rows]
             some = part[0]
             i, j = np.repeat(np.arange(n), len(some)), np.tile(np.arange(len(some)), n)
-            hit = near(self.rows, part, i, j, *self.limits).reshape(n, len(some))
-            if self.every:
-                i, j = np.nonzero(hit)
-                yield some[j], self.nodes[i]
-                continue
+            hit = near(self.rows, part, i, j, self.max_bits).reshape(n, len(some))
             matched = np.flatnonzero(hit.any(axis=0))
             if self.root.min() == self.root.max():  # the homes are connected, so one link for each of the others suffices
                 yield some[matched], np.full(len(matched), self.nodes[self.root[0]])
@@ -196,8 +161,8 @@ def connected(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[off], nodes[label[off]]
 
 
-def compare(max_bits: int, similarity: float, every: bool = False) -> Callable:
-    """Rows of one partition, sorted by cell with homes first: links that connect what those of each cell do, or every one of them."""
+def compare(max_bits: int) -> Callable:
+    """Rows of one partition, sorted by cell with homes first: links that connect what those of each cell do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -206,13 +171,12 @@ def compare(max_bits: int, similarity: float, every: bool = False) -> Callable:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 5)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             cols[3] = cols[3].view(np.uint64)
-            cols.insert(4, sketches(batch.column(4)))
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
                 held = None
-            key, block, home, *rows = cols[0], cols[1], cols[5], *cols[2:5]
+            key, block, home, *rows = cols[0], cols[1], cols[4], *cols[2:4]
             out: list = []
             edge = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
             starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
@@ -225,7 +189,7 @@ def compare(max_bits: int, similarity: float, every: bool = False) -> Callable:
             if last >= first:  # the last cell may go on in the next batch
                 a = starts[last]
                 if ends[last] - a > 4 * HOME_BLOCK:
-                    open_cell, open_key = Cell(max_bits, similarity, every, [x[a:][home[a:]] for x in rows]), (key[a], block[a])
+                    open_cell, open_key = Cell(max_bits, [x[a:][home[a:]] for x in rows]), (key[a], block[a])
                     if len(open_cell.nodes):
                         out += open_cell.links([x[a:] for x in rows])
                 else:
@@ -233,7 +197,7 @@ def compare(max_bits: int, similarity: float, every: bool = False) -> Callable:
                 last -= 1
             yield from given(out + cells(starts[first : last + 1], ends[first : last + 1], home, rows))
         if held is not None:
-            yield from given(cells(np.array([0]), np.array([len(held[0])]), held[5], held[2:5]))
+            yield from given(cells(np.array([0]), np.array([len(held[0])]), held[4], held[2:4]))
 
     def cells(starts: np.ndarray, ends: np.ndarray, home: np.ndarray, rows: list[np.ndarray]) -> list:
         out: list = []
@@ -250,25 +214,25 @@ def compare(max_bits: int, similarity: float, every: bool = False) -> Callable:
                 cell = np.repeat(part, counts)
                 p = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                 i, j = s[cell] + p // n[cell], s[cell] + p % n[cell]
-                hit = near(rows, rows, i, j, max_bits, similarity)
+                hit = near(rows, rows, i, j, max_bits)
                 out.append((nodes[i[hit]], nodes[j[hit]]))
         large = useful & ~small
         for a, b in zip(starts[large], ends[large], strict=True):
             own = home[a:b]
-            out += Cell(max_bits, similarity, every, [x[a:b][own] for x in rows]).links([x[a:b] for x in rows])
+            out += Cell(max_bits, [x[a:b][own] for x in rows]).links([x[a:b] for x in rows])
         return out
 
     def given(found: list) -> Iterator[pa.RecordBatch]:
         if sum(len(x) for x, _ in found):
             u, v = (np.concatenate(x) for x in zip(*found, strict=True))
-            member, least = (np.maximum(u, v), np.minimum(u, v)) if every else connected(u, v)
+            member, least = connected(u, v)
             yield pa.RecordBatch.from_arrays([pa.array(member), pa.array(least)], ["src", "dst"])
 
     return run
 
 
-def links(points: DataFrame, max_bits: int, similarity: float = 0.0, every: bool = False) -> DataFrame:
-    """points: node (long), fp, check. Returns src, dst: enough links between nodes to connect all that are near each other, or every link, some of them repeated."""
+def links(points: DataFrame, max_bits: int) -> DataFrame:
+    """points: node (long), fp. Returns src, dst: enough links between nodes to connect all that are near each other, some of them repeated."""
 
     def home_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(max_bits)
@@ -282,40 +246,38 @@ def links(points: DataFrame, max_bits: int, similarity: float = 0.0, every: bool
             keys, rows, home = anchors.reachable(batch.column(1).to_numpy().view(np.uint64))
             for k in range(0, len(keys), 1 << 16):
                 at = pa.array(rows[k : k + (1 << 16)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)]), *(batch.column(i).take(at) for i in range(3)), pa.array(home[k : k + (1 << 16)])], ["key", "node", "fp", "check", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)]), *(batch.column(i).take(at) for i in range(2)), pa.array(home[k : k + (1 << 16)])], ["key", "node", "fp", "home"])
 
-    points = points.select("node", "fp", "check")
+    points = points.select("node", "fp")
     hot = points.select("fp").mapInArrow(home_rows, "key long").groupBy("key").count().where(f"count > {HOME_BLOCK}").select("key", F.ceil(F.col("count") / HOME_BLOCK).cast("int").alias("blocks"))
     hot = checkpointed(hot)
-    rows = points.mapInArrow(replicas, "key long, node long, fp long, check binary, home boolean")
+    rows = points.mapInArrow(replicas, "key long, node long, fp long, home boolean")
     if hot.isEmpty():
-        rows = rows.select("key", F.lit(0).alias("block"), "node", "fp", "check", "home")
+        rows = rows.select("key", F.lit(0).alias("block"), "node", "fp", "home")
     else:  # a hot anchor's homes are dealt out; what is compared with them goes to each share
         rows = rows.join(hot, "key", "left")
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         rows = rows.withColumn("block", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-        rows = rows.select("key", "block", "node", "fp", "check", (F.col("home") & (F.col("blocks").isNull() | (own == F.col("block")))).alias("home"))
-    return rows.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("home")).mapInArrow(compare(max_bits, similarity, every), "src long, dst long")
+        rows = rows.select("key", "block", "node", "fp", (F.col("home") & (F.col("blocks").isNull() | (own == F.col("block")))).alias("home"))
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("home")).mapInArrow(compare(max_bits), "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, check_width: int = 0, similarity: float = 0.0) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3) -> DataFrame:
     """doc_id, fp (signed long), component_id of every row of docs (doc_id, text; further columns are ignored).
 
     Texts are lower-cased (A-Z) and split at ASCII white space. Fingerprints over width words link at max_bits or fewer
-    differing bits and, with check_width, if sketches of the shingles of check_width words put their similarity at the given one or more. A component is
-    what links reach, equal fingerprints included; its id is the smallest doc_id in it. A null or empty text has
-    fingerprint 0 and is linked like any other. A row without doc_id keeps its row and component but names none; if no row of
-    a component has a doc_id, component_id is null. Repeated rows each keep their row.
+    differing bits. A component is what links reach, equal fingerprints included; its id is the smallest doc_id in it. A null
+    or empty text has fingerprint 0 and is linked like any other. A row without doc_id keeps its row and component but names
+    none; if no row of a component has a doc_id, component_id is null. Repeated rows each keep their row; an empty table
+    gives none.
     """
-    fps = checkpointed(fingerprints(docs, width, check_width))
-    points = fps.groupBy("fp", "check").agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64("fp", "check") if check_width else F.col("fp"))
-    points = checkpointed(points)
-    found = connected_components(links(points, max_bits, similarity))
+    fps = checkpointed(fingerprints(docs, width))
+    points = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", F.col("fp")))
+    found = connected_components(links(points, max_bits))
     placed = points.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    key = ["fp", "check"] if check_width else ["fp"]
-    placed = checkpointed(placed.select(*key, "component").join(named, "component").select(*key, "component_id"))
-    return fps.join(placed, key).select("doc_id", "fp", "component_id")
+    placed = checkpointed(placed.select("fp", "component").join(named, "component").select("fp", "component_id"))
+    return fps.join(placed, "fp").select("doc_id", "fp", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,67 +288,178 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Near copies share this many hundredths of their five-word shingles or more.
 COPY_WIDTH, COPY_SHARE = 5, 80
-#: Candidates: fingerprints over two words, and a sketch that only leaves out what is far off (0.8 looks like 0.65 once in some 10 000 pairs).
-CANDIDATE = {"max_bits": 7, "similarity": 0.65}
+#: Two texts are candidates if their fingerprints over distinct words or those over distinct pairs of words differ in so many bits or fewer.
+CANDIDATE_WIDTHS, CANDIDATE_BITS = (1, 2), 7
+#: Texts, and words of them, that stand in one block of a group of candidates.
+BLOCK_TEXTS, BLOCK_WORDS = 512, 1 << 19
+#: Bits of the broadcast filter of candidates (8 MB); where they are many it lets more texts through, which a join then leaves out.
+FILTER_BITS = 1 << 26
+
+
+def text_node(text: F.Column) -> F.Column:
+    """What stands for a text: its XXH64; all texts without words are 0."""
+    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
 
 
-def shingle_sets(texts: DataFrame) -> DataFrame:
-    """texts: node, text. Returns node, shingles: the distinct hashes of its shingles of COPY_WIDTH words."""
+def candidate_prints(rows: DataFrame) -> DataFrame:
+    """rows: doc_id, node, text. Returns doc_id, node, words, fp0, fp1: the fingerprints over distinct shingles of CANDIDATE_WIDTHS words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = np.unique(shingle_hashes((text.as_py() or "").encode().lower().split(), COPY_WIDTH)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(found))], ["node", "shingles"])
+            sizes, fps = [], []
+            for text in batch.column(2):
+                words = (text.as_py() or "").encode().lower().split()
+                sizes.append(len(words))
+                for width in CANDIDATE_WIDTHS:
+                    shingles = set(words) if width == 1 else set(map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))) or {b" ".join(words)}
+                    fps.append(majority_of(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))) if words else 0)
+            both = np.array(fps, np.uint64).view(np.int64).reshape(-1, len(CANDIDATE_WIDTHS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["doc_id", "node", "words", "fp0", "fp1"])
+
+    return rows.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node long, words long, fp0 long, fp1 long")
 
-    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
+def node_filter(nodes: DataFrame) -> np.ndarray:
+    """A bit for each residue of the nodes modulo FILTER_BITS; its size is fixed."""
+    bit = F.pmod("node", F.lit(FILTER_BITS)) + 1
+    rows = nodes.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in rows.toLocalIterator():
+        at = (row.bucket - 1) * 4096
+        out[at : at + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
+    return out
 
-def exact_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """src, dst: those of the pairs whose shingle sets have a Jaccard similarity of COPY_SHARE hundredths or more."""
-    pairs = pairs.where("src != dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
-    both = pairs.join(sets.select(F.col("node").alias("src"), F.col("shingles").alias("x")), "src").join(sets.select(F.col("node").alias("dst"), F.col("shingles").alias("y")), "dst")
-    both = both.withColumn("common", F.size(F.array_intersect("x", "y")).cast("long")).withColumn("all", F.size("x") + F.size("y") - F.col("common"))
-    return checkpointed(both.where(100 * F.col("common") >= COPY_SHARE * F.col("all")).select("src", "dst"))
+
+def shingle_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows: node, text. Returns node, shingles for the wanted nodes and perhaps some more: the distinct hashes of a text's shingles of COPY_WIDTH words, ascending."""
+    bits = rows.sparkSession.sparkContext.broadcast(node_filter(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column(0).to_numpy()
+            at = nodes % FILTER_BITS
+            keep = np.flatnonzero((bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+            keep = keep[np.unique(nodes[keep], return_index=True)[1]]  # copies in a batch once
+            for k in keep:
+                found = np.unique(shingle_hashes((batch.column(1)[int(k)].as_py() or "").encode().lower().split(), COPY_WIDTH)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[k : k + 1]), pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(found))], ["node", "shingles"])
+
+    return rows.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
+
+def exact_links(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what exact similarity connects among texts of two blocks (side False or True; one block: all False).
+
+    Compared are candidates of different sides, or all of one; pairs that links connect already are left out. fps: a row for each text.
+    """
+    n, one = len(nodes), not side.any()
+    root, found = np.arange(n), []
+    lengths = np.fromiter(map(len, sets), np.int64, n)
+    coded = offsets = present = None
+    for i in np.flatnonzero(~side):
+        others = np.arange(i + 1, n) if one else np.flatnonzero(side)
+        others = others[(np.bitwise_count(fps[others] ^ fps[i]) <= CANDIDATE_BITS).any(axis=1) & (root[others] != root[i])]
+        least, most = np.minimum(lengths[others], lengths[i]), np.maximum(lengths[others], lengths[i])
+        others = others[100 * least >= COPY_SHARE * most]
+        if not len(others):
+            continue
+        if n == 2:
+            common = np.array([len(np.intersect1d(sets[0], sets[1], assume_unique=True))])
+        else:
+            if coded is None:  # shingles as small numbers
+                distinct, coded = np.unique(np.concatenate(sets), return_inverse=True)
+                offsets, present = np.cumsum(lengths) - lengths, np.zeros(len(distinct), bool)
+            own = coded[offsets[i] : offsets[i] + lengths[i]]
+            present[own] = True
+            sizes = lengths[others]
+            begin = np.cumsum(sizes) - sizes
+            met = present[coded[np.repeat(offsets[others] - begin, sizes) + np.arange(sizes.sum())]]
+            common = np.add.reduceat(met.astype(np.int64), begin)
+            present[own] = False
+        alike = others[100 * common >= COPY_SHARE * (lengths[others] + lengths[i] - common)]
+        for j in alike:
+            if root[j] != root[i]:
+                found.append((int(nodes[i]), int(nodes[j])))
+                root[root == root[j]] = root[i]
+    return found
+
+
+def verified(groups: DataFrame) -> DataFrame:
+    """groups: component, low, high (two blocks of it), block, node, fp0, fp1, shingles. Returns src, dst: links by exact similarity."""
+
+    def links_of(rows: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        whole = pa.Table.from_batches(rows)
+        nodes, first = np.unique(whole.column("node").to_numpy(), return_index=True)
+        if len(nodes) < 2:
+            return []
+        whole = whole.take(pa.array(first)).combine_chunks()
+        fps = np.column_stack([whole.column(c).to_numpy().view(np.uint64) for c in ("fp0", "fp1")])
+        shingles = whole.column("shingles").combine_chunks()
+        flat, at = shingles.flatten().to_numpy(), np.concatenate([[0], np.cumsum(shingles.value_lengths().to_numpy())])
+        side = (whole.column("block").to_numpy() == whole.column("high")[0].as_py()) & (whole.column("low")[0] != whole.column("high")[0])
+        return exact_links(nodes, fps, [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], side)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            keys = np.column_stack([batch.column(k).to_numpy() for k in range(3)])
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)] if len(keys) else [0]
+            found: list = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and key != tuple(keys[a]):
+                    found += links_of(held)
+                    held = []
+                key = tuple(keys[a])
+                held.append(batch.slice(a, b - a))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["src", "dst"])
+        if held and (found := links_of(held)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["src", "dst"])
+
+    columns = ["component", "low", "high", "block", "node", "fp0", "fp1", "shingles"]
+    return groups.select(*columns).repartition("component", "low", "high").sortWithinPartitions("component", "low", "high").mapInArrow(run, "src long, dst long")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, component_id of every row of docs: components of exact_links over all candidates.
+    """node, first (its smallest doc_id), component of each distinct text of docs (doc_id, text): what pairs of a Jaccard similarity of COPY_SHARE hundredths or more connect.
 
-    The nodes are the distinct texts; those without words are one. Candidates come as a connecting part of them, which is checked
-    first. Where a rejected link leaves a group of candidates in several parts, all its candidates between parts are checked.
+    Fingerprints only find groups of candidates; within a group candidates are compared by their whole sets of shingles. A
+    group is cut into blocks of bounded size and each two blocks meet in one task, so that neither pairs nor sets pile up.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("node"))
-    without = F.col("check") == F.lit(bytes(SKETCH))
-    fps = checkpointed(fingerprints(rows, 2, COPY_WIDTH).withColumn("node", F.when(without, F.lit(0)).otherwise(F.col("node"))))
-    points = checkpointed(fps.groupBy("node", "fp", "check").agg(F.min("doc_id").alias("first")))
-    candidates = checkpointed(links(points, **CANDIDATE).distinct())
-    wanted = candidates.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    sets = checkpointed(shingle_sets(rows.groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node", "left_semi")))
-    found = exact_links(candidates, sets)
-    parts = connected_components(candidates).join(connected_components(found).withColumnRenamed("component", "part"), "node", "left").select("node", "component", F.coalesce("part", "node").alias("part"))
-    parts = checkpointed(parts)
-    several = parts.groupBy("component").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("component")
-    again = points.join(parts.join(several, "component").select("node", "part"), "node")
-    again = checkpointed(again.select("node", "fp", F.concat("check", F.unhex(F.lpad(F.hex("part"), 16, "0"))).alias("check")))
-    if not again.isEmpty():
-        found = found.unionByName(exact_links(links(again, **CANDIDATE, every=True), sets))
-    placed = points.join(connected_components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    placed = checkpointed(placed.select("node", "component").join(named, "component").select("node", "component_id"))
-    return fps.join(placed, "node").select("doc_id", "component_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_node(text).alias("node"), text.alias("text"))
+    prints = candidate_prints(rows)
+    points = checkpointed(prints.groupBy("node", "words", "fp0", "fp1").agg(F.min("doc_id").alias("first")))
+    met = [links(points.select("node", F.col(f"fp{k}").alias("fp")), CANDIDATE_BITS) for k in range(len(CANDIDATE_WIDTHS))]
+    parts = connected_components(met[0].unionByName(met[1]))
+    groups = checkpointed(points.where("words > 0").join(parts, "node").select("node", "words", "fp0", "fp1", "component"))
+    blocks = F.greatest(F.ceil(F.sum("words") / BLOCK_WORDS), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int")
+    sizes = groups.groupBy("component").agg(blocks.alias("blocks"))
+    groups = groups.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sets = shingle_sets(rows, groups.select("node")).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    held = groups.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    found = verified(held.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")))
+    placed = points.join(connected_components(checkpointed(found)), "node", "left")
+    return placed.select("node", "first", F.coalesce("component", "node").alias("component"))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, of which each group of near copies keeps the one with the smallest doc_id.
-
-    Near copies share 0.8 of their five-word shingles or more, counted exactly. At that similarity the fingerprints over five
-    words differ in about 10 of 64 bits, which no covering code of use reaches, so candidates come from those over two words,
-    of which an edit touches fewer. Rows without a doc_id all stay; of rows with one doc_id the first by text stays.
+    """The rows of docs, with all their columns, of which each group of near copies keeps one: that with the smallest doc_id.
+
+    Near copies share 0.8 of their five-word shingles or more, counted exactly; groups are what such pairs connect. At that
+    similarity the fingerprints over five words differ in about 10 of 64 bits, which no covering code of use reaches, so
+    candidates come from those over distinct words and over distinct pairs of words, of which an edit touches fewer. Null,
+    empty and white texts are copies of each other. A row without a doc_id stands behind those with one; where no row of a
+    group has one, one row stays. Rows with one doc_id and different texts are judged each on its own text; of equal ones the
+    first by their other columns stays. An empty table gives no rows.
     """
     found = near_copies(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy("text")
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("copy_rank", F.row_number().over(order)).where("copy_rank = 1")
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    best = F.min_by(F.struct("first", "node"), F.struct(F.col("first").isNull(), "first", "node")).alias("best")
+    kept = found.groupBy("component").agg(best).select(F.col("best.node").alias("near_node"), F.col("best.first").alias("near_first"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    marked = docs.withColumn("near_node", text_node(text)).withColumn("near_first", F.col("doc_id").cast("long"))
+    same = (marked.near_node == kept.near_node) & marked.near_first.eqNullSafe(kept.near_first)
+    order = Window.partitionBy("near_node", "near_first").orderBy(F.to_json(F.struct(*(F.col(c).cast("string") for c in docs.columns if c != "text"))), "text")
+    one = marked.join(kept, same, "left_semi").withColumn("near_rank", F.row_number().over(order)).where("near_rank = 1")
+    return one.select(*docs.columns)
