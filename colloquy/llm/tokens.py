@@ -30,9 +30,9 @@ FREQUENT_WORDS = 1 << 16
 #: Words that one task proposes for that table.
 PROPOSED_WORDS = 1 << 13
 #: Entries of a generation of a worker's cache.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 200_000
 #: Characters that are encoded at a time.
-WORD_SLICE = 4 << 20
+WORD_SLICE = 2 << 20
 #: Bytes of text for one part of the files; small tables have more parts, FEW_PARTS for each core at most.
 PART_BYTES, FEW_PARTS, LEAST_PART_BYTES = 128 << 20, 6, 2 << 20
 #: Documents that are read from the files at a time.
@@ -70,17 +70,14 @@ class Encoder:
             self.library.no_truncation()
             self.library.no_padding()
             self.whole = lambda text: self.library.encode(text, add_special_tokens=False).ids
-            described = json.loads(self.library.to_str())
-            kind = described.get("pre_tokenizer") or {}
-            self.by_word = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not described.get("normalizer")
-            added = [x["content"] for x in described.get("added_tokens", [])]
+            kind = self.library.pre_tokenizer
+            self.by_word = isinstance(kind, pre_tokenizers.ByteLevel) and kind.use_regex and not kind.add_prefix_space and self.library.normalizer is None
+            added = [x.content for x in self.library.get_added_tokens_decoder().values()]
             self.apart = "|".join([APART, *(re.sub(r"(\W)", r"\\\1", x) for x in added)])
-            if self.by_word:  # the same vocabulary for texts that are pre-tokens already, one to a line, with bytes written as letters
+            if self.by_word:  # the same model for texts that are pre-tokens already, one to a line, with bytes written as letters
                 self.letters = bytes_as_letters()
                 self.line = self.letters[10]
-                self.split = Tokenizer.from_file(path)
-                self.split.no_truncation()
-                self.split.no_padding()
+                self.split = Tokenizer(self.library.model)
                 self.split.pre_tokenizer = pre_tokenizers.Split(self.line, "isolated")
                 self.line_id = self.split.token_to_id(self.line)
                 self.by_word = self.line_id is not None
