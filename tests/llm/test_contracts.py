@@ -157,27 +157,84 @@ def test_op7(spark, sf, docs):
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words[i]), rel=1e-9)
     out = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    want = backed_off({i: ws[:-1] for i, ws in words.items()}, held, 3)
+    assert all(r.score == pytest.approx(want[i], rel=1e-9) for i, r in got.items())
+
+
+def backed_off(words, held, order):
+    """log10 probabilities of the texts by plain recursion over counted n-grams; None stands for an end."""
+    from colloquy.llm.language_model import PRIOR_TOKENS, STATE_COUNT
+
+    grams = [collections.Counter() for _ in range(order + 1)]
+    texts = {i: [None, *ws, None] for i, ws in words.items()}
+    for i, ws in texts.items():
+        if not held[i]:
+            for k in range(1, order + 1):
+                grams[k].update(tuple(ws[p - k + 1 : p + 1]) for p in range(1, len(ws)) if p - k + 1 >= 0)
+    total, vocabulary = sum(grams[1].values()), len(grams[1])
+
+    def chance(history, word):
+        lower = chance(history[1:], word) if history else None
+        if lower is None:
+            return (grams[1][(word,)] + 1) / (total + vocabulary + 1)
+        passed, prior = grams[len(history)][history], PRIOR_TOKENS[len(history) + 1]
+        return (grams[len(history) + 1][(*history, word)] + prior * lower) / (passed + prior) if passed >= (STATE_COUNT if len(history) > 1 else 1) else lower
+
+    return {i: sum(math.log10(chance(tuple(ws[max(0, p - order + 1) : p]), ws[p])) for p in range(1, len(ws))) for i, ws in texts.items()}
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_op7_orders(spark, monkeypatch, order):
+    """Scores of the automaton are those of the recursion, with many groups, parts of the hashes and runs."""
+    from colloquy.llm import language_model as L
+
+    monkeypatch.setattr(L, "GROUP_BYTES", 3000)
+    monkeypatch.setattr(L, "PART_BYTES", 1500)
+    monkeypatch.setattr(L, "RUN", 7)
+    rng = np.random.default_rng(4)
+    words = {k: [f"w{int(x)}" for x in rng.zipf(1.4, rng.integers(0, 60)) % 97] for k in range(150)}
+    words[150] = words[3] * 20
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in words}
+    docs = spark.createDataFrame([(i, " ".join(ws)) for i, ws in words.items()], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in L.score_documents(docs, order).collect()}
+    want = backed_off(words, held, order)
+    assert got == {i: pytest.approx(x, rel=1e-9) for i, x in want.items()}
 
 
 def test_op7_states_sum_to_one():
-    from colloquy.llm.language_model import STATE, Automaton, pair_key
-
-    words = np.array([11, 22, 33], np.uint64)
-    counts = {11: 50, 22: 30, 33: 20}
-    arcs = {(11, 22): 18, (11, 11): 7, (22, 33): 4}
-    states = np.array([11, 22], np.uint64)
-    keys = {np.uint64(w): n for w, n in counts.items()}
-    for (a, b), n in arcs.items():
-        keys[pair_key(np.array([a], np.uint64), np.array([b], np.uint64))[0]] = n
-    keys[np.uint64(11) ^ STATE], keys[np.uint64(22) ^ STATE] = 25, 0
-    order = sorted(keys)
-    a = Automaton(np.array(order, np.uint64), np.array([keys[k] for k in order]), states, 100, 3, 10.0)
-    for before in (11, 22, 33):
+    """From any history the chances of all known tokens, of the end and of an unknown one sum to 1."""
+    import pyarrow as pa
+
+    from colloquy.llm.language_model import PRIOR_TOKENS, Automaton, Grams, are_states
+
+    train = ("a b a c a b b c d a b a " * 9).split()
+    for history in ("", "a", "b a", "c a", "zz", "a zz"):
         total = 0.0
-        for w in (*words, np.uint64(99)):
-            _, _, weight = a.traverse(np.array([before, w], np.uint64), np.array([2]))
-            total += 10 ** weight[1]
-        assert total == pytest.approx(1.0)
+        texts = [" ".join(train)] + [f"{history} {w}".strip() for w in ("a", "b", "c", "d", "unknown")] + [history]
+        grams, first = Grams(pa.array(texts)), np.arange(len(texts)) == 0
+        grams.add(2)
+        grams.add(3, are_states(2, grams.counts(first)[2]))
+        counts = grams.counts(first)
+        scores = Automaton(grams, counts, len(train) + 1, 5, PRIOR_TOKENS).traverse()
+        whole = Automaton(grams, counts, len(train) + 1, 5, PRIOR_TOKENS)
+        for k in range(1, len(texts)):
+            last = grams.ends[k] if k == len(texts) - 1 else grams.ends[k] - 1
+            # the last token's own weight: the text up to it less the text up to the one before
+            full = score_to(whole, grams, k, last) - score_to(whole, grams, k, last - 1)
+            total += 10**full
+        assert total == pytest.approx(1.0) and len(scores) == len(texts)
+
+
+def score_to(automaton, grams, k, last):
+    """Score of text k up to a token."""
+    import copy
+
+    cut = copy.copy(automaton)
+    start = grams.ends[k] - grams.sizes[k] + 1
+    if last < start:
+        return 0.0
+    cut.ends, cut.sizes = np.array([last]), np.array([last - start + 1])
+    return cut.traverse()[0]
 
 
 def test_op8(spark, sf):
