@@ -173,19 +173,21 @@ def _is_training() -> F.Column:
 
 
 def packed(keys: np.ndarray) -> bytes:
-    """Ascending hashes: the first one, then the steps in six bytes each if that is enough."""
+    """Ascending hashes: the first one, how many steps need more than six bytes, which and their upper bytes, then six bytes of each step."""
     steps = np.diff(keys)
-    if len(steps) and steps.max() >= np.uint64(1) << np.uint64(48):
-        return keys.tobytes()
-    return keys[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    wide = np.flatnonzero(steps >> np.uint64(48))
+    upper = (steps[wide] >> np.uint64(48)).astype(np.uint16)
+    return keys[:1].tobytes() + np.uint32(len(wide)).tobytes() + wide.astype(np.uint32).tobytes() + upper.tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
 def unpacked(data: bytes, n: int) -> np.ndarray:
-    if len(data) == 8 * n:
-        return np.frombuffer(data, np.uint64)
+    count = int(np.frombuffer(data, np.uint32, 1, 8)[0])
+    wide, upper = np.frombuffer(data, np.uint32, count, 12), np.frombuffer(data, np.uint16, count, 12 + 4 * count)
     steps = np.zeros((n - 1, 8), np.uint8)
-    steps[:, :6] = np.frombuffer(data, np.uint8, offset=8).reshape(-1, 6)
-    return np.cumsum(np.append(np.frombuffer(data, np.uint64, 1), steps.view(np.uint64).ravel()))
+    steps[:, :6] = np.frombuffer(data, np.uint8, 6 * (n - 1), 12 + 6 * count).reshape(-1, 6)
+    steps = steps.view(np.uint64).ravel()
+    steps[wide] |= upper.astype(np.uint64) << np.uint64(48)
+    return np.cumsum(np.append(np.frombuffer(data, np.uint64, 1), steps))
 
 
 def narrow(counts: np.ndarray) -> bytes:
@@ -209,6 +211,39 @@ def asks(keys: dict[int, np.ndarray], counts: dict[int, np.ndarray], group: int,
     return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["part", "order", "group", "size", "keys", "counts"])
 
 
+DEALT = "group int, doc_id array<long>, train array<boolean>, sizes array<int>, texts binary"
+
+
+def dealt_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """group, doc_id, train, text: a row for each group that a batch has documents of, with their texts compressed as one."""
+    for batch in batches:
+        order = np.argsort(batch.column(0).to_numpy(), kind="stable")
+        batch = batch.take(pa.array(order))
+        group, texts = batch.column(0).to_numpy(), batch.column(3)
+        begin = np.flatnonzero(np.diff(group, prepend=-1))
+        bounds, lengths = np.append(begin, len(group)), pc.binary_length(texts)
+        at = np.concatenate([[0], np.cumsum(lengths.to_numpy())])
+        data = texts.cast(pa.binary()).buffers()[2] if at[-1] else pa.py_buffer(b"")
+        first = int(np.frombuffer(texts.buffers()[1], np.int32, 1, 4 * texts.offset)[0]) if len(texts) else 0
+        blobs = [pa.compress(data.slice(first + int(at[a]), int(at[b] - at[a])), "zstd", asbytes=True) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        offsets = pa.array(bounds, pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(group[begin]), *(pa.ListArray.from_arrays(offsets, x) for x in (batch.column(1), batch.column(2), lengths)), pa.array(blobs, pa.binary())], ["group", "doc_id", "train", "sizes", "texts"])
+
+
+class Documents:
+    """The documents of a group, from its rows."""
+
+    def __init__(self, group: pa.Table) -> None:
+        self.doc_id = pa.concat_arrays([x.flatten() for x in group.column("doc_id").chunks])
+        self.train = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in group.column("train").chunks])
+        texts = []
+        for sizes, data in zip(group.column("sizes"), group.column("texts"), strict=True):
+            ends = np.concatenate([[0], np.cumsum(sizes.values.to_numpy())]).astype(np.int32)
+            blob = pa.decompress(data.as_py(), int(ends[-1]), "zstd") if ends[-1] else pa.py_buffer(b"")
+            texts.append(pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.tobytes()), blob))
+        self.texts = pa.concat_arrays(texts)
+
+
 ASKS = "part long, order int, group int, size int, keys binary, counts binary"
 
 
@@ -248,11 +283,12 @@ def score_documents(docs: DataFrame, order: int = ORDER, priors: dict[int, float
     total, vocabulary = found.total, found.vocabulary
     n_bytes = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first().bytes or 0
     groups, bits = max(1, -(-n_bytes // GROUP_BYTES)), max(0, (n_bytes // PART_BYTES).bit_length())
-    dealt = docs.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
+    group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("group")
+    dealt = docs.select(group, "doc_id", "train", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(dealt_out, DEALT)
 
-    def counted(group: pa.Table, found: pa.Table, most: int) -> tuple[Grams, dict[int, np.ndarray]]:
+    def counted(documents: Documents, found: pa.Table, most: int) -> tuple[Grams, dict[int, np.ndarray]]:
         """The n-grams of a group up to an order, and their counts as far as they are found."""
-        grams, counts = Grams(group.column("text").combine_chunks()), {}
+        grams, counts = Grams(documents.texts), {}
         found = found.sort_by([("order", "ascending"), ("part", "ascending")])
         columns = [found.column(c).to_pylist() for c in ("order", "size", "counts")]
         for k in range(1, most + 1):
@@ -263,25 +299,27 @@ def score_documents(docs: DataFrame, order: int = ORDER, priors: dict[int, float
         return grams, counts
 
     def asked(key: tuple, group: pa.Table) -> pa.Table:
-        grams = Grams(group.column("text").combine_chunks())
+        documents = Documents(group)
+        grams = Grams(documents.texts)
         if order > 1:
             grams.add(2)
-        return asks(grams.keys, grams.counts(group.column("train").to_numpy()), key[0].as_py(), bits)
+        return asks(grams.keys, grams.counts(documents.train), key[0].as_py(), bits)
 
     def asked_more(k: int) -> Callable:
         def run(key: tuple, group: pa.Table, found: pa.Table) -> pa.Table:
-            grams, _ = counted(group, found, k)
-            return asks({k: grams.keys[k]}, grams.counts(group.column("train").to_numpy()), key[0].as_py(), bits)
+            documents = Documents(group)
+            grams, _ = counted(documents, found, k)
+            return asks({k: grams.keys[k]}, grams.counts(documents.train), key[0].as_py(), bits)
 
         return run
 
     def scored(key: tuple, group: pa.Table, found: pa.Table) -> pa.Table:
-        train = group.column("train").to_numpy()
-        grams, counts = counted(group, found, order)
+        documents = Documents(group)
+        grams, counts = counted(documents, found, order)
         automaton = Automaton(grams, counts, total, vocabulary, priors)
         begin = grams.starts
         known, base = np.add.reduceat((counts[1][grams.at[1]] > 0).astype(np.int64), begin), np.add.reduceat(automaton.arc[1][grams.at[1]], begin)
-        return pa.table([group.column("doc_id").combine_chunks(), pa.array(~train), pa.array(grams.sizes), pa.array(known), pa.array(np.full(len(begin), total)), pa.array(base), pa.array(automaton.traverse())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table([documents.doc_id, pa.array(~documents.train), pa.array(grams.sizes), pa.array(known), pa.array(np.full(len(begin), total)), pa.array(base), pa.array(automaton.traverse())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     summed = lambda rows: rows.groupBy("part", "order").applyInArrow(answers, "part long, order int, group int, size int, counts binary")
     sums = summed(dealt.groupBy("group").applyInArrow(asked, ASKS))
