@@ -211,6 +211,14 @@ def asks(keys: dict[int, np.ndarray], counts: dict[int, np.ndarray], group: int,
     return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["part", "order", "group", "size", "keys", "counts"])
 
 
+def totals(rows: pa.Table) -> pa.Table:
+    """Of one part of the words: how often they stand in training, and how many there are."""
+    sizes = rows.column("size").to_pylist()
+    keys = [unpacked(x, n) for x, n in zip(rows.column("keys").to_pylist(), sizes, strict=True)]
+    total = sum(int(widened(x, n).sum()) for x, n in zip(rows.column("counts").to_pylist(), sizes, strict=True))
+    return pa.table({"total": [total], "vocabulary": [len(np.unique(np.concatenate(keys)))]})
+
+
 DEALT = "group int, doc_id array<long>, train array<boolean>, sizes array<int>, texts binary"
 
 
@@ -272,17 +280,18 @@ def score_documents(docs: DataFrame, order: int = ORDER, priors: dict[int, float
     priors = PRIOR_TOKENS | (priors or {})
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _is_training().alias("train"))
 
+    n_bytes = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first().bytes or 0
+    groups, bits = max(1, -(-n_bytes // GROUP_BYTES)), max(0, (n_bytes // PART_BYTES).bit_length())
+
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in sliced(batch.column(0)):
                 tokens = Tokens(batch.column(0).slice(a, b - a))
-                yield pa.RecordBatch.from_arrays([pa.array(tokens.words.view(np.int64)), pa.array(np.bincount(tokens.at, minlength=len(tokens.words)))], ["key", "n"])
+                yield from asks({1: tokens.words}, {1: np.bincount(tokens.at, minlength=len(tokens.words))}, 0, bits).to_batches()
 
-    words = docs.where("train").select("text").mapInArrow(words_of, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    found = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("vocabulary")).first()
+    words = docs.where("train").select("text").mapInArrow(words_of, ASKS).groupBy("part").applyInArrow(totals, "total long, vocabulary long")
+    found = words.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("vocabulary"), F.lit(0)).alias("vocabulary")).first()
     total, vocabulary = found.total, found.vocabulary
-    n_bytes = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first().bytes or 0
-    groups, bits = max(1, -(-n_bytes // GROUP_BYTES)), max(0, (n_bytes // PART_BYTES).bit_length())
     group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("group")
     dealt = docs.select(group, "doc_id", "train", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(dealt_out, DEALT)
 
