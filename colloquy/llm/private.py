@@ -53,11 +53,20 @@ def matches(text: Column, pattern: str, guard: Column, made: Callable, initial:
         return F.struct(end.alias("at"), made(acc["out"], x["m"], start, end, x["b"], x["a"]).alias("out"))
 
     # arrays are copied when they grow, so many matches are taken in parts, each of which starts where those before it end
-    def part(xs: Column, c: Column) -> Column:
-        before = F.aggregate(F.slice(xs, F.lit(1), c * PART), F.lit(0), lambda n, x: n + F.length(x["b"]) + F.length(x["m"]))
-        return F.aggregate(F.slice(xs, c * PART + 1, F.lit(PART)), F.struct(before.alias("at"), F.array().cast(initial).alias("out")), step, lambda acc: acc["out"])
+    def part(xs: Column, before: Column) -> Column:
+        return F.aggregate(xs, F.struct(before.alias("at"), F.array().cast(initial).alias("out")), step, lambda acc: acc["out"])
+
+    length = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x["b"]) + F.length(x["m"]))
+    cut = lambda xs: F.transform(F.sequence(F.lit(0), F.floor(F.size(xs) / PART).cast("int")), lambda c: F.slice(xs, c * PART + 1, F.lit(PART)))
+
+    def parts(xs: Column) -> Column:
+        """The lengths of the parts are summed once each; only their totals are summed again for each part."""
+        sizes = lambda ps: F.transform(ps, length)
+        places = lambda ps, ns: F.transform(ps, lambda p, i: part(p, F.aggregate(F.slice(ns, F.lit(1), i), F.lit(0), lambda n, x: n + x)))
+        # an array of one stands for a name again
+        held = F.transform(F.array(cut(xs)), lambda ps: F.struct(ps.alias("ps"), sizes(ps).alias("ns")))
+        return F.flatten(F.element_at(F.transform(held, lambda h: places(h["ps"], h["ns"])), 1))
 
-    parts = lambda xs: F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.size(xs) / PART).cast("int")), lambda c: part(xs, c)))
     # an array of one stands for a name: the matches are found once
     whole = F.element_at(F.transform(F.array(named), parts), 1)
     return F.when(guard, whole).otherwise(F.array().cast(initial))
@@ -103,7 +112,7 @@ CANDIDATES = "array<struct<s:int,e:int,m:string,b:string,a:string>>"
 
 def candidates(text: Column) -> Column:
     """Tokens of at least 6 characters that hold a digit, with what stands around them."""
-    row = lambda m, s, e, b, a: F.struct(s.alias("s"), e.alias("e"), F.substring(m, 1, 64).alias("m"), F.substring(b, -BEFORE, BEFORE).alias("b"), F.substring(a, 1, AFTER).alias("a"))
+    row = lambda m, s, e, b, a: F.struct(s.alias("s"), e.alias("e"), m.alias("m"), F.substring(b, -BEFORE, BEFORE).alias("b"), F.substring(a, 1, AFTER).alias("a"))
     return matches(text, CANDIDATE, text.rlike("[0-9]"), lambda out, m, s, e, b, a: F.when(F.length(m) >= 6, F.concat(out, F.array(row(m, s, e, b, a)).cast(CANDIDATES))).otherwise(out), CANDIDATES)
 
 
