@@ -104,10 +104,11 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
     """
     sized = docs.withColumn("mix_size", word_count(F.col("text")))
     decided = decide(sized.select("doc_id", "source", F.col("mix_size").alias("size")), weights, share, most, seed)
-    # rows with one doc_id and size are alike for the decision; number them on both sides
-    rank = lambda: F.row_number().over(Window.partitionBy("doc_id", "source", "mix_size").orderBy(F.lit(1)))
+    # rows with one doc_id and size are alike for the decision; both sides are numbered in an order that reruns keep
+    rank = lambda *by: F.row_number().over(Window.partitionBy("doc_id", "source", "mix_size").orderBy(*by))
     decided = decided.select("doc_id", "source", F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("copies").alias("mix_copies"))
-    a, b = sized.withColumn("mix_rank", rank()), decided.withColumn("mix_rank", rank())
+    content = F.xxhash64(*(F.col(c).cast("string") for c in docs.columns))
+    a, b = sized.withColumn("mix_content", content).withColumn("mix_rank", rank("mix_content")), decided.withColumn("mix_rank", rank("mix_copies"))
     same = a.doc_id.eqNullSafe(b.doc_id) & a.source.eqNullSafe(b.source) & (a.mix_size == b.mix_size) & (a.mix_rank == b.mix_rank)
     return a.join(b, same).select(*(a[c] for c in docs.columns), a.mix_size, b.mix_source_size, b.mix_target, b.mix_copies)
 
