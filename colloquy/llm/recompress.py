@@ -247,3 +247,15 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def op2_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13),
+n AS (SELECT doc_id, p, array_to_string(w[p : p + 12], ' ') AS win FROM k),
+f AS (SELECT win, min(doc_id) AS first FROM n GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS pos FROM n JOIN f USING (win) WHERE n.doc_id > f.first),
+r AS (SELECT doc_id, count(*) AS n_removed, list(pos) AS gone FROM h GROUP BY 1),
+x AS (SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(r.n_removed, 0)::BIGINT AS n_removed, CASE WHEN r.gone IS NULL THEN d.w ELSE list_transform(list_filter(range(1, len(d.w) + 1), lambda i: NOT list_contains(r.gone, i)), lambda i: d.w[i]) END AS kept FROM d LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM x
+"""
