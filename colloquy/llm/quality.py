@@ -75,7 +75,7 @@ class Slots(dict):
     """Word to the slots of its own feature and of its shape's."""
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) >= CACHE_ENTRIES // 4:
+        if len(self) >= CACHE_ENTRIES // 8:
             self.clear()
         mask = (1 << BITS) - 1
         value = self[word] = (xxhash.xxh64_intdigest(word.lower(), 1) & mask, xxhash.xxh64_intdigest(shape(word), 2) & mask)

@@ -30,7 +30,7 @@ FREQUENT_WORDS = 1 << 16
 #: Words that one task proposes for that table.
 PROPOSED_WORDS = 1 << 13
 #: Entries of a generation of a worker's cache.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 #: Characters that are encoded at a time.
 WORD_SLICE = 2 << 20
 #: Bytes of text for one part of the files; small tables have more parts, FEW_PARTS for each core at most.
@@ -408,6 +408,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 0)
             for stream, name in zip(out, names, strict=True):
                 stream.close()
                 store.move(f"{name}.{own}", name)
+        pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([rows]), pa.array([at])], ["part", "rows", "ids"])
 
     ordered = docs.repartitionByRange(count, "doc_id").sortWithinPartitions("doc_id", "text")
