@@ -25,15 +25,36 @@ def _number(hexadecimal: Column) -> Column:
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
+def fingerprint(tokens: Column) -> Column:
+    """Bit i is set if at least half of the tokens' SHA-256 prefixes have it; without tokens all are."""
+    hashes = F.transform(tokens, lambda t: _number(F.sha2(t, 256)))
+    bit = lambda h, i: F.shiftrightunsigned(h, i).bitwiseAND(F.lit(1).cast("long"))
+    # four counts of 15 bits in a long: a token adds to 64 counts with 16 sums; more tokens than fit are summed in parts
+    lane = lambda h, i: bit(h, i) + F.shiftleft(bit(h, i + 16), 16) + F.shiftleft(bit(h, i + 32), 32) + F.shiftleft(bit(h, i + 48), 48)
+    zero = F.lit(0).cast("long")
+
+    def counts(hs: Column) -> Column:
+        start = F.struct(*(zero.alias(f"c{i}") for i in range(16)))
+        return F.aggregate(hs, start, lambda acc, h: F.struct(*((acc[f"c{i}"] + lane(h, i)).alias(f"c{i}") for i in range(16))))
+
+    def total(parts: Column, i: int) -> Column:
+        of = F.shiftrightunsigned
+        return F.aggregate(parts, zero, lambda acc, c: acc + of(c[f"c{i % 16}"], 16 * (i // 16)).bitwiseAND(F.lit(0xFFFF).cast("long")))
+
+    def joined(parts: Column, n: Column) -> Column:
+        out = zero
+        for i in range(64):
+            out = out.bitwiseOR(F.when(2 * total(parts, i) >= n, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(zero))
+        return out
+
+    cut = F.transform(F.sequence(F.lit(0), F.floor(F.size(hashes) / 32000).cast("int")), lambda k: counts(F.slice(hashes, k * 32000 + 1, 32000)))
+    # an array of one stands for a name: the sums are made once
+    return F.element_at(F.transform(F.array(cut), lambda parts: joined(parts, F.size(tokens))), 1)
+
+
 def simhash64(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, simhash: bit i is set if at least half of the distinct tokens' SHA-256 prefixes have it; without tokens all are."""
-    exploded = rows.select(key, F.explode_outer(tokens(F.col(text))).alias("token"))
-    hashed = exploded.select(key, _number(F.sha2("token", 256)).alias("h"))
-    sums = hashed.groupBy(key).agg(*(F.sum(F.when(F.col("h").isNotNull(), F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1).cast("long")) * 2 - 1)).alias(f"b{i}") for i in range(64)))
-    out = F.lit(0).cast("long")
-    for i in range(64):
-        out = out.bitwiseOR(F.when(F.coalesce(f"b{i}", F.lit(0)) >= 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return sums.select(key, out.alias("simhash"))
+    """key, simhash of each row's distinct tokens."""
+    return rows.select(key, tokens(F.col(text)).alias("t")).select(key, fingerprint(F.col("t")).alias("simhash"))
 
 
 def classes(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -42,32 +63,60 @@ def classes(rows: DataFrame, key: str, text: str) -> DataFrame:
     return sets.groupBy("tokens").agg(F.min(key).alias(key), F.count("*").alias("copies"))
 
 
+def membership(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, class: the first row with the same token set; rows without tokens stand for themselves."""
+    sets = rows.select(key, F.to_json(F.array_sort(tokens(F.col(text)))).alias("set")).select(key, F.when(F.col("set") != "[]", F.sha2("set", 256)).alias("digest"))
+    firsts = sets.where("digest is not null").groupBy("digest").agg(F.min(key).alias("class"))
+    return sets.join(firsts, "digest", "left").select(key, F.coalesce("class", key).alias("class"))
+
+
+#: Rows of a band's value that meet in one task; more are dealt over blocks, each two of which meet.
+BAND_BLOCK = 512
+
+
 def near_pairs(rows: DataFrame, key: str, text: str, threshold: float = 0.9) -> DataFrame:
-    """a, b, jaccard: pairs of first rows of distinct token sets that share one of four 16-bit bands of the fingerprint and are as alike as the threshold."""
-    firsts = classes(rows, key, text).select(key, "tokens")
-    prints = simhash64(rows.join(firsts.select(key), key, "left_semi"), key, text)
-    bands = prints.select(key, F.posexplode(F.array(*(F.shiftrightunsigned("simhash", 16 * i).bitwiseAND(F.lit(0xFFFF).cast("long")) for i in range(4)))).alias("band", "value"))
-    met = bands.select(F.col(key).alias("a"), "band", "value").join(bands.select(F.col(key).alias("b"), "band", "value"), ["band", "value"]).where("a < b").select("a", "b").distinct()
-    left, right = firsts.select(F.col(key).alias("a"), F.col("tokens").alias("x")), firsts.select(F.col(key).alias("b"), F.col("tokens").alias("y"))
-    both = met.join(left, "a").join(right, "b").withColumn("jaccard", F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")))
+    """a, b, jaccard: pairs of first rows of distinct token sets that share one of four 16-bit bands of the fingerprint and are as alike as the threshold; membership() has the other rows of each set."""
+    firsts = reliable(classes(rows, key, text).select(key, "tokens", F.size("tokens").alias("n")))
+    prints = firsts.select(key, "n", fingerprint(F.col("tokens")).alias("simhash"))
+    bands = reliable(prints.select(key, "n", F.posexplode(F.array(*(F.shiftrightunsigned("simhash", 16 * i).bitwiseAND(F.lit(0xFFFF).cast("long")) for i in range(4)))).alias("band", "value")))
+    # values of many rows are dealt over blocks; of two blocks the one meets the other once
+    blocks = bands.groupBy("band", "value").agg(F.ceil(F.count("*") / BAND_BLOCK).cast("int").alias("blocks"))
+    dealt = bands.join(blocks, ["band", "value"]).withColumn("own", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "value", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), key, "n")
+    at = ["band", "value", "low", "high"]
+    left, right = (dealt.select(*at, F.col("own").alias(f"own_{x}"), F.col(key).alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    fits = (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & ((F.col("own_a") != F.col("own_b")) | (F.col("low") == F.col("high")))
+    met = left.join(right, at).where(F.col("a") < F.col("b")).where(fits).select("a", "b").distinct()
+    x, y = firsts.select(F.col(key).alias("a"), F.col("tokens").alias("x")), firsts.select(F.col(key).alias("b"), F.col("tokens").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    both = met.join(x, "a").join(y, "b").withColumn("jaccard", common / (F.size("x") + F.size("y") - common))
     return both.where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
 
 
+def reliable(frame: DataFrame) -> DataFrame:
+    """A checkpoint in the session's folder; without one in a temporary folder, which only a local master can use."""
+    context = frame.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="colloquy-"))
+    return frame.checkpoint()
+
+
 def greedy_filter(rows: DataFrame, key: str, text: str, threshold: float = 0.9) -> DataFrame:
     """key, kept: a row is dropped if it is near a row with a smaller key that is itself kept.
 
     Rows with the token set of an earlier row go at once. Among the others a round decides all rows whose earlier neighbours are
     decided: kept if all of those are dropped, dropped if one is kept. The smallest undecided row is decided in every round.
     """
-    context = rows.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="colloquy-"))
-    pairs = near_pairs(rows, key, text, threshold).select("a", "b").checkpoint()
-    state = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")).checkpoint()
+    pairs = reliable(near_pairs(rows, key, text, threshold).select("a", "b"))
+    state = reliable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
     while not state.where("kept is null").isEmpty():
         before = pairs.join(state.select(F.col("id").alias("a"), F.col("kept").alias("earlier")), "a").groupBy(F.col("b").alias("id")).agg(F.bool_or(F.coalesce("earlier", F.lit(False))).alias("near_kept"), F.bool_or(F.col("earlier").isNull()).alias("open"))
         decided = F.when(F.coalesce("near_kept", F.lit(False)), False).when(F.coalesce("open", F.lit(False)), None).otherwise(True)
-        state = state.join(before, "id", "left").select("id", F.coalesce("kept", decided).alias("kept")).checkpoint()
+        state = state.join(before, "id", "left").select("id", F.coalesce("kept", decided).alias("kept"))
+        state = reliable(state)
     firsts = classes(rows, key, text).select(F.col(key).alias("first"))
     empty = F.size(tokens(F.col(text))) == 0
     marked = rows.select(key, empty.alias("empty")).join(firsts, F.col(key) == F.col("first"), "left").join(state, F.col(key) == F.col("id"), "left")
@@ -76,7 +125,7 @@ def greedy_filter(rows: DataFrame, key: str, text: str, threshold: float = 0.9)
 
 def split_leakage(rows: DataFrame, split: str, *content: str) -> DataFrame:
     """digest, splits, copies: contents that stand in more than one split."""
-    digest = F.sha2(F.concat_ws("\u0001", *content), 256)
+    digest = F.sha2(F.to_json(F.array(*(F.col(c).cast("string") for c in content))), 256)
     seen = rows.groupBy(digest.alias("digest")).agg(F.array_join(F.array_sort(F.collect_set(split)), ",").alias("splits"), F.count("*").alias("copies"))
     return seen.where(F.col("splits").contains(","))
 

@@ -20,9 +20,9 @@ from colloquy.plans.scoring import MODEL, labelled, scored
 from colloquy.sources.tables import read
 
 
-@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 10 = 0")
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def parse_json_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").where("event_id % 10 = 0").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+    return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
 
 
 @query(f"""WITH {TURNS} SELECT conv_id, turn_index, concat_ws(',', CASE WHEN turn_index % 5 = 0 THEN 'response' END, CASE WHEN conv_id % 7 = 0 THEN 'prompt' END) AS problems FROM turns""")
@@ -54,9 +54,10 @@ def unsafe_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.lower("text").rlike(UNSAFE)).alias("unsafe"))
 
 
-@query("SELECT doc_id, list_aggregate(list_sort(list_distinct(regexp_extract_all(lower(text), 'licen[sc]e|version|password'))), 'string_agg', ',') AS terms FROM documents WHERE regexp_matches(lower(text), 'licen[sc]e|version|password')")
+@query("WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), 'licen[sc]e|version|password') AS xs FROM documents) SELECT doc_id, array_to_string([x for x, i in xs if list_position(xs, x) = i], ',') AS terms FROM t WHERE len(xs) > 0")
 def protected_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("licen[sc]e|version|password"), F.lit(0))))
+    """Each once, in order of appearance."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("licen[sc]e|version|password"), F.lit(0)))
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(found, ",").alias("terms")).where("terms <> ''")
 
 

@@ -44,10 +44,16 @@ def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SIMHASH}, s AS (SELECT doc_id, list_sort({TOKENS}) AS tokens FROM documents WHERE len({TOKENS}) > 0), c AS (SELECT tokens, min(doc_id) AS doc_id FROM s GROUP BY 1),
 k AS (SELECT p.doc_id, i, (p.simhash // CAST(power(65536, i) AS HUGEINT)) % 65536 AS v FROM p JOIN c USING (doc_id), range(4) r(i)),
 m AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM k x JOIN k y ON x.i = y.i AND x.v = y.v AND x.doc_id < y.doc_id),
-j AS (SELECT a, b, len(list_intersect(x.tokens, y.tokens)) / len(list_distinct(list_concat(x.tokens, y.tokens))) AS jaccard FROM m JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b)
-SELECT a, b, round(jaccard, 8) AS jaccard FROM j WHERE jaccard >= 0.8""")
+j AS (SELECT a, b, len(list_intersect(x.tokens, y.tokens)) / len(list_distinct(list_concat(x.tokens, y.tokens))) AS jaccard FROM m JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b),
+g AS (SELECT * FROM j WHERE jaccard >= 0.8),
+n AS (SELECT a, b, round(jaccard, 8) AS jaccard FROM g)
+SELECT 'pair' AS kind, a AS doc_id, b AS class, jaccard FROM n
+UNION ALL SELECT 'member', d.doc_id, coalesce(c.doc_id, d.doc_id), NULL FROM documents d LEFT JOIN c ON c.tokens = list_sort({TOKENS})""")
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.near_pairs(documents(spark, sf_dir), "doc_id", "text", 0.8).withColumn("jaccard", F.round("jaccard", 8))
+    """Pairs of class representatives, and each document's class (the first document with its token set)."""
+    rows = documents(spark, sf_dir)
+    pairs = D.near_pairs(rows, "doc_id", "text", 0.8).select(F.lit("pair").alias("kind"), F.col("a").alias("doc_id"), F.col("b").alias("class"), F.round("jaccard", 8).alias("jaccard"))
+    return pairs.unionByName(D.membership(rows, "doc_id", "text").select(F.lit("member").alias("kind"), "doc_id", "class", F.lit(None).cast("double").alias("jaccard")))
 
 
 @query()
@@ -62,7 +68,7 @@ def with_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).withColumn("split", F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train"))
 
 
-@query(f"WITH s AS ({SPLIT_SQL}) SELECT sha256(text) AS digest, string_agg(DISTINCT split, ',' ORDER BY split) AS splits, count(*) AS copies FROM s GROUP BY text HAVING count(DISTINCT split) > 1")
+@query(f"WITH s AS ({SPLIT_SQL}) SELECT sha256('[' || CAST(to_json(text) AS VARCHAR) || ']') AS digest, string_agg(DISTINCT split, ',' ORDER BY split) AS splits, count(*) AS copies FROM s GROUP BY text HAVING count(DISTINCT split) > 1")
 def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.split_leakage(with_split(spark, sf_dir), "split", "text")
 

@@ -124,11 +124,11 @@ def effect_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(X.effect_sizes(differences(spark, sf_dir), "axis", 1.0), "dz", "rank_biserial")
 
 
-@query(f"""WITH RECURSIVE {JUDGE}, {DIFFS}, c AS (SELECT axis, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d < 0) AS losses FROM d WHERE sample_id <= 200 GROUP BY 1),
+@query(f"""WITH RECURSIVE {JUDGE}, {DIFFS}, c AS (SELECT axis, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d < 0) AS losses FROM d GROUP BY 1),
 f AS (SELECT axis, wins + losses AS n, least(wins, losses) AS low, 0::BIGINT AS i, -(wins + losses) * ln(2.0::DOUBLE) AS lg FROM c UNION ALL SELECT axis, n, low, i + 1, lg + ln((n - i)::DOUBLE / (i + 1)) FROM f WHERE i < low)
 SELECT c.axis, any_value(wins) AS wins, any_value(losses) AS losses, round(least(1.0, 2 * sum(exp(lg))), 6) AS p FROM c JOIN f ON c.axis = f.axis GROUP BY 1""")
 def sign_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(X.sign_test(differences(spark, sf_dir).where("sample_id <= 200"), "axis"), "p")
+    return rounded(X.sign_test(differences(spark, sf_dir), "axis"), "p")
 
 
 @query(f"""WITH {JUDGE}, {DIFFS}, o AS (SELECT axis, abs(avg(d)) AS o FROM d GROUP BY 1), m AS (SELECT axis, g.k, abs(avg(d * CASE WHEN substr(md5('perm:' || g.k || ':' || sample_id), 1, 1) < '8' THEN 1.0 ELSE -1.0 END)) AS m FROM d, range(1, 51) g(k) GROUP BY 1, 2)

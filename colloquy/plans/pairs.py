@@ -136,9 +136,9 @@ def health_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(X.word_any(text, HEALTH)).alias("health"), F.count_if(X.word_any(text, RESPIRATORY)).alias("respiratory"), F.count_if(text.rlike(r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]+")).alias("with_mail"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\b(?:idiot|loser|scum)\b', '[word]', 'g'), '[0-9]{4,}', '[number]', 'g') AS text FROM documents WHERE lang = 'en' AND length(text) < 2000""")
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\b(?:idiot|loser|scum)\b', '[word]', 'g'), '[0-9]{4,}', '[number]', 'g') AS text FROM documents""")
 def sanitise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").where("lang = 'en' and length(text) < 2000").select("doc_id", X.sanitised(F.col("text"), ("idiot", "loser", "scum")).alias("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", X.sanitised(F.col("text"), ("idiot", "loser", "scum")).alias("text"))
 
 
 @query("""SELECT conv_id, turn, sha256('{"conv_id":' || conv_id || ',"role":"' || role || '","turn":' || turn || '}') AS digest FROM conversations""")
@@ -146,10 +146,10 @@ def canonical_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", X.canonical_hash("turn", "role", "conv_id").alias("digest"))
 
 
-@query(r"""WITH n AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '(?:^|[^0-9.])([0-9]+(?:\.[0-9]+)?)', 1)) AS xs FROM documents WHERE lang = 'en') SELECT doc_id, CAST(len(xs) AS INTEGER) AS n FROM n WHERE len(xs) > 0""")
+@query(r"""WITH n AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '(?:^|[^0-9.])([0-9]+(?:\.[0-9]+)?)', 1)) AS xs FROM documents) SELECT doc_id, CAST(len(xs) AS INTEGER) AS n FROM n WHERE len(xs) > 0""")
 def numeric_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers that a translation without any would miss."""
-    rows = read(spark, sf_dir, "documents").where("lang = 'en'")
+    rows = read(spark, sf_dir, "documents")
     return rows.select("doc_id", F.size(F.array_distinct(X.numerals(F.col("text")))).alias("n")).where("n > 0")
 
 
@@ -188,10 +188,9 @@ def likert_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(value).cast("long").alias("total"), F.count("*").alias("n"))
 
 
-@query(f"""WITH r AS (SELECT user_id, event_id, unnest(['A', 'B', 'C']) AS position, unnest([{LIKERT}, CAST(1 + (event_id + 1) % 7 AS INTEGER), CAST(1 + (event_id + 3) % 7 AS INTEGER)]) AS rating FROM events WHERE user_id % 10 = 0) SELECT event_id, user_id, position, rating FROM r""")
+@query(f"""WITH r AS (SELECT user_id, event_id, unnest(['A', 'B', 'C']) AS position, unnest([{LIKERT}, CAST(1 + (event_id + 1) % 7 AS INTEGER), CAST(1 + (event_id + 3) % 7 AS INTEGER)]) AS rating FROM events) SELECT event_id, user_id, position, rating FROM r""")
 def survey_export_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ratings(spark, sf_dir).where("user_id % 10 = 0")
-    return rows.select("event_id", "user_id", F.explode("ratings").alias("position", "rating"))
+    return ratings(spark, sf_dir).select("event_id", "user_id", F.explode("ratings").alias("position", "rating"))
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
