@@ -25,36 +25,26 @@ def _number(hexadecimal: Column) -> Column:
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
-def fingerprint(tokens: Column) -> Column:
-    """Bit i is set if at least half of the tokens' SHA-256 prefixes have it; without tokens all are."""
-    hashes = F.transform(tokens, lambda t: _number(F.sha2(t, 256)))
-    bit = lambda h, i: F.shiftrightunsigned(h, i).bitwiseAND(F.lit(1).cast("long"))
-    # four counts of 15 bits in a long: a token adds to 64 counts with 16 sums; more tokens than fit are summed in parts
-    lane = lambda h, i: bit(h, i) + F.shiftleft(bit(h, i + 16), 16) + F.shiftleft(bit(h, i + 32), 32) + F.shiftleft(bit(h, i + 48), 48)
-    zero = F.lit(0).cast("long")
+#: Counts that are kept in one long, of so many bits each.
+LANES, LANE_BITS = 22, 21
 
-    def counts(hs: Column) -> Column:
-        start = F.struct(*(zero.alias(f"c{i}") for i in range(16)))
-        return F.aggregate(hs, start, lambda acc, h: F.struct(*((acc[f"c{i}"] + lane(h, i)).alias(f"c{i}") for i in range(16))))
 
-    def total(parts: Column, i: int) -> Column:
-        of = F.shiftrightunsigned
-        return F.aggregate(parts, zero, lambda acc, c: acc + of(c[f"c{i % 16}"], 16 * (i // 16)).bitwiseAND(F.lit(0xFFFF).cast("long")))
-
-    def joined(parts: Column, n: Column) -> Column:
-        out = zero
-        for i in range(64):
-            out = out.bitwiseOR(F.when(2 * total(parts, i) >= n, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(zero))
-        return out
-
-    cut = F.transform(F.sequence(F.lit(0), F.floor(F.size(hashes) / 32000).cast("int")), lambda k: counts(F.slice(hashes, k * 32000 + 1, 32000)))
-    # an array of one stands for a name: the sums are made once
-    return F.element_at(F.transform(F.array(cut), lambda parts: joined(parts, F.size(tokens))), 1)
+def fingerprints(rows: DataFrame, key: str, tokens: str) -> DataFrame:
+    """key, simhash: bit i is set if at least half of the tokens' SHA-256 prefixes have it; without tokens all are. Three counts share a sum (up to two million tokens)."""
+    hashed = rows.select(key, F.explode_outer(tokens).alias("token")).select(key, F.when(F.col("token").isNotNull(), _number(F.sha2("token", 256))).alias("h"))
+    bit = lambda i: F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1).cast("long"))
+    lane = lambda i: sum((F.shiftleft(bit(j), LANE_BITS * (j // LANES)) for j in range(i + LANES, 64, LANES)), bit(i))
+    sums = hashed.groupBy(key).agg(F.count("h").alias("n"), *(F.coalesce(F.sum(lane(i)), F.lit(0)).alias(f"s{i}") for i in range(LANES)))
+    zero, out = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for i in range(64):
+        count = F.shiftrightunsigned(f"s{i % LANES}", LANE_BITS * (i // LANES)).bitwiseAND(F.lit((1 << LANE_BITS) - 1).cast("long"))
+        out = out.bitwiseOR(F.when(2 * count >= F.col("n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(zero))
+    return sums.select(key, out.alias("simhash"))
 
 
 def simhash64(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, simhash of each row's distinct tokens."""
-    return rows.select(key, tokens(F.col(text)).alias("t")).select(key, fingerprint(F.col("t")).alias("simhash"))
+    return fingerprints(rows.select(key, tokens(F.col(text)).alias("t")), key, "t")
 
 
 def classes(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -77,7 +67,7 @@ BAND_BLOCK = 512
 def near_pairs(rows: DataFrame, key: str, text: str, threshold: float = 0.9) -> DataFrame:
     """a, b, jaccard: pairs of first rows of distinct token sets that share one of four 16-bit bands of the fingerprint and are as alike as the threshold; membership() has the other rows of each set."""
     firsts = reliable(classes(rows, key, text).select(key, "tokens", F.size("tokens").alias("n")))
-    prints = firsts.select(key, "n", fingerprint(F.col("tokens")).alias("simhash"))
+    prints = fingerprints(firsts, key, "tokens").join(firsts.select(key, "n"), key)
     bands = reliable(prints.select(key, "n", F.posexplode(F.array(*(F.shiftrightunsigned("simhash", 16 * i).bitwiseAND(F.lit(0xFFFF).cast("long")) for i in range(4)))).alias("band", "value")))
     # values of many rows are dealt over blocks; of two blocks the one meets the other once
     blocks = bands.groupBy("band", "value").agg(F.ceil(F.count("*") / BAND_BLOCK).cast("int").alias("blocks"))
