@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -241,36 +238,26 @@ def confidence_bypass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(spark, sf_dir).groupBy(route.alias("route")).agg(F.count("*").alias("n"))
 
 
-def mmr(pool: pd.DataFrame, count: int, weight: float = 0.8) -> pd.DataFrame:
-    """pool: score, tokens, in input order. The best by score less the greatest likeness to what is chosen, the first winning ties."""
-    sets, redundancy = [set(x) for x in pool["tokens"]], [0.0] * len(pool)
-    left, chosen = list(range(len(pool))), []
-    while left and len(chosen) < count:
-        value = {i: weight * pool["score"].iloc[i] - (1 - weight) * redundancy[i] for i in left}
-        best = max(left, key=lambda i: (value[i], -i))
-        chosen.append((best, value[best]))
-        left.remove(best)
-        for i in left:
-            union = sets[i] | sets[best]
-            redundancy[i] = max(redundancy[i], len(sets[i] & sets[best]) / len(union) if union else 0.0)
-    out = pool.iloc[[i for i, _ in chosen]].copy()
-    out["mmr_score"] = [v for _, v in chosen]
-    return out
+def diverse_choice(rows: DataFrame, key: list[str], count: int, weight: float = 0.8) -> DataFrame:
+    """rows: key, score, tokens. One round for each choice: the row with the best score less its likeness to what is chosen, ties by score and key; then all others' likeness is brought up to date with it."""
+    chosen, left = [], D.reliable(rows.withColumn("likeness", F.lit(0.0)))
+    for _ in range(count):
+        value = weight * F.col("score") - (1 - weight) * F.col("likeness")
+        best = left.withColumn("value", value).orderBy(F.desc("value"), F.desc("score"), *key).first()
+        if best is None:
+            break
+        chosen.append((*(best[k] for k in key), best.value))
+        other = F.array(*map(F.lit, best.tokens)) if best.tokens else F.array().cast("array<string>")
+        same = [F.col(k) == best[k] for k in key]
+        left = D.reliable(left.where(~(same[0] & same[1])).withColumn("likeness", F.greatest("likeness", T.jaccard(F.col("tokens"), other))))
+    return rows.sparkSession.createDataFrame(chosen, "conv_id long, turn_index int, mmr_score double")
 
 
 @query()
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A diverse choice from a pool of fixed size, which is what is gathered in one task."""
+    """A diverse choice from all scored turns."""
     rows = scored(spark, sf_dir).select("conv_id", "turn_index", F.round("selection_score", 8).alias("score"), D.tokens(F.col("text")).alias("tokens"))
-    pool = rows.orderBy(F.desc("score"), "conv_id", "turn_index").limit(400).coalesce(1)
-
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = list(batches)
-        if held:
-            out = mmr(pd.concat(held).sort_values(["score", "conv_id", "turn_index"], ascending=[False, True, True]), 50)
-            yield out[["conv_id", "turn_index", "mmr_score"]]
-
-    return pool.mapInPandas(choose, "conv_id long, turn_index int, mmr_score double")
+    return diverse_choice(rows, ["conv_id", "turn_index"], 15)
 
 
 @query()

@@ -2,6 +2,8 @@
 
 import hashlib
 
+from pyspark.sql import functions as F
+
 from colloquy.operators import consultation as C
 from colloquy.operators import dedup as D
 
@@ -62,3 +64,17 @@ def test_near_pairs_and_membership(spark, monkeypatch):
     own = {r.doc_id: r["class"] for r in D.membership(docs, "doc_id", "text").collect()}
     assert own == {k: sets.index(s) if s else k for k, s in enumerate(sets)}
     assert all(abs(j - len(sets[a] & sets[b]) / len(sets[a] | sets[b])) < 1e-12 and own[a] == a and own[b] == b for a, b, j in plain)
+
+
+def test_diverse_choice(spark):
+    """Each choice is the best of what is left by score less likeness to the choices before."""
+    from colloquy.plans.audits import diverse_choice
+
+    rows = [(k, 0, (7 * k % 10) / 10, [f"w{j}" for j in range(k % 4)]) for k in range(12)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn_index int, score double, tokens array<string>")
+    got, taken = [r.conv_id for r in diverse_choice(frame, ["conv_id", "turn_index"], 4).orderBy(F.monotonically_increasing_id()).collect()], []
+    like = lambda a, b: len({*a} & {*b}) / len({*a} | {*b}) if a or b else 0.0
+    for _ in range(4):
+        worth = {r[0]: 0.8 * r[2] - 0.2 * max([like(r[3], rows[t][3]) for t in taken], default=0.0) for r in rows if r[0] not in taken}
+        taken.append(min(worth, key=lambda k: (-worth[k], -rows[k][2], k)))
+    assert got == taken
