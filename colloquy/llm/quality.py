@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import cache
 from operator import eq
 
 import numpy as np
@@ -38,7 +40,7 @@ def measures(data: bytes, words: list[bytes]) -> dict[str, float]:
         "capitals": capitals / max(1, capitals + lower),
         "word_length": (size - n) / max(1, n),
         "function_words": sum(map(FUNCTION_WORDS.__contains__, words)) / max(1, n),
-        "sentence_ends": sum(w[-1] in b".!?" for w in words) / max(1, n),
+        "sentence_ends": len(ENDS.findall(data)) / max(1, n),
         "length": float(n),
     }
 
@@ -61,14 +63,15 @@ def votes(m: dict[str, float]) -> tuple:
     )
 
 
+#: Letters and digits by class; other characters stand as they are.
+CLASSES = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
+RUNS = re.compile(rb"(.)\1\1+", re.DOTALL)
+ENDS = re.compile(rb"[.!?](?=[\x09-\x0D\x20]|\Z)")
+
+
 def shape(word: bytes) -> bytes:
-    """Letters and digits by class, runs shortened to two; other characters as they are."""
-    out = bytearray()
-    for b in word[:24]:
-        c = 65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b
-        if len(out) < 2 or out[-1] != c or out[-2] != c:
-            out.append(c)
-    return bytes(out)
+    """The classes of a whole word's characters, runs shortened to two."""
+    return RUNS.sub(rb"\1\1", word.translate(CLASSES))
 
 
 class Slots(dict):
@@ -82,11 +85,37 @@ class Slots(dict):
         return value
 
 
+class WordWeights(dict):
+    """Word to the sum of the weights of its features."""
+
+    def __init__(self, weights: np.ndarray) -> None:
+        self.weights, self.slots = weights, Slots()
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) >= CACHE_ENTRIES // 8:
+            self.clear()
+        own, form = self.slots.__missing__(word)
+        value = float(self.weights[own] + self.weights[form])
+        if len(word) <= 64:  # longer ones hardly come again
+            self[word] = value
+        return value
+
+
+def step(name: str, x: float) -> int:
+    """The measure's step of ten: tenths of shares, two letters of word length, powers of two of a number of words."""
+    return min(9, int(np.log2(1 + x) if name == "length" else x / 2 if name == "word_length" else 10 * x))
+
+
+@cache
+def step_slot(name: str, k: int) -> int:
+    return xxhash.xxh64_intdigest(f"{name}:{k}".encode(), 3) & ((1 << BITS) - 1)
+
+
 def features(data: bytes, words: list[bytes], m: dict[str, float], slots: Slots) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features and their values: shares of words and of shapes, and a flag for the decile of each measure."""
     found = np.array(list(map(slots.__getitem__, words)), np.int64).reshape(-1)
     at, counts = np.unique(found, return_counts=True)
-    own = [xxhash.xxh64_intdigest(f"{k}:{min(9, int(10 * x if k != 'length' and k != 'word_length' else x / 2 if k == 'word_length' else np.log2(1 + x)))}".encode(), 3) & ((1 << BITS) - 1) for k, x in m.items()]
+    own = [step_slot(k, step(k, x)) for k, x in m.items()]
     return np.concatenate([at, own]), np.concatenate([counts / max(1, len(words)), np.full(len(own), 0.5)])
 
 
@@ -110,12 +139,11 @@ class Model:
     def __init__(self, posteriors: dict[tuple, float], accuracies: list[dict], weights: np.ndarray) -> None:
         self.posteriors, self.accuracies, self.weights = posteriors, accuracies, weights
 
-    def judge(self, text: str | None, slots: Slots) -> tuple[float, float]:
+    def judge(self, text: str | None, known: WordWeights) -> tuple[float, float]:
         data = (text or "").encode()
         words = data.split()
         m = measures(data, words)
-        at, x = features(data, words, m, slots)
-        score = self.weights[at] @ x + self.weights[-1]
+        score = sum(map(known.__getitem__, words)) / max(1, len(words)) + 0.5 * sum(self.weights[step_slot(k, step(k, x))] for k, x in m.items()) + self.weights[-1]
         return self.posteriors.get(votes(m), 0.5), float(1 / (1 + np.exp(-np.clip(score, -40, 40))))
 
 
@@ -167,11 +195,12 @@ def quality(docs: DataFrame, threshold: float = 0.5, train_docs: int = TRAIN_DOC
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, train_docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, slots = shared.value, Slots()
+        model = shared.value
+        known = WordWeights(model.weights)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in sliced(texts):
-                judged = [model.judge(x, slots) for x in texts[a:b]]
+                judged = [model.judge(x, known) for x in texts[a:b]]
                 posterior, score = (np.array(x) for x in zip(*judged, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(posterior), pa.array(score), pa.array(score >= threshold)], ["doc_id", "label_posterior", "score", "keep"])
 
@@ -179,14 +208,19 @@ def quality(docs: DataFrame, threshold: float = 0.5, train_docs: int = TRAIN_DOC
 
 
 def good_documents(docs: DataFrame, threshold: float = 0.5, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """The rows of docs that the classifier keeps, with all their columns."""
+    """The rows of docs (text; any other columns) that the classifier keeps, with all their columns.
+
+    Each row is judged on its own text: null and empty texts go (the label model's and the scorer's choice on real tables, as one
+    labeller votes against them), repeated rows stay or go alike, null ids play no part, and an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, train_docs))
     column = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, slots = shared.value, Slots()
+        model = shared.value
+        known = WordWeights(model.weights)
         for batch in batches:
-            yield batch.filter(pa.array([model.judge(x.as_py(), slots)[1] >= threshold for x in batch.column(column)], pa.bool_()))
+            yield batch.filter(pa.array([model.judge(x.as_py(), known)[1] >= threshold for x in batch.column(column)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

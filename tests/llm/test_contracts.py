@@ -246,6 +246,98 @@ def test_op8(spark, sf):
     assert sum(right) / len(right) > 0.93
 
 
+def plain_quality(texts):
+    """Posterior and score of each text, in plain Python: counted words, Bayes' rule over votes, one weight at a time."""
+    common = set("the of and to in a is that it for on was be with as by at this an are or de la que el en los y se las un una del le et les des du est der die und das den von zu mit ist ein eine".encode().split())
+    symbols = {b for b in range(33, 127) if not (chr(b).isalnum() or chr(b) in ".,'\"-()+@:;?")}
+
+    def measured(data):
+        ws = data.split()
+        n, size = len(ws), max(1, len(data))
+        upper, lower = sum(65 <= b <= 90 for b in data), sum(97 <= b <= 122 for b in data)
+        return ws, {
+            "repetition": sum(ws[i] == ws[i - 1] for i in range(1, n)) / max(1, n), "variety": sum(len(set(ws[i : i + 100])) for i in range(0, n, 100)) / max(1, n),
+            "symbols": sum(b in symbols for b in data) / size, "capitals": upper / max(1, upper + lower), "word_length": (size - n) / max(1, n),
+            "function_words": sum(w in common for w in ws) / max(1, n), "sentence_ends": sum(w[-1:] in (b".", b"!", b"?") for w in ws) / max(1, n), "length": n,
+        }
+
+    def opinion(m):
+        n = m["length"]
+        if n < 8:
+            return (None,) * 7 + ((0,) if n == 0 else (None,))
+        outside = lambda x, poor, good: 0 if x > poor else 1 if x < good else None
+        length, ends, known = m["word_length"], m["sentence_ends"], m["function_words"]
+        return (
+            outside(m["repetition"], 0.15, 0.04), 0 if m["variety"] < 0.4 else 1 if m["variety"] > 0.55 else None, outside(m["symbols"], 0.05, 0.01), outside(m["capitals"], 0.3, 0.1),
+            0 if length < 2 or length > 9 else 1 if 3.5 <= length <= 6.5 else None, 0 if n >= 30 and known < 0.01 else 1 if known > 0.08 else None,
+            0 if ends > 0.6 or n >= 200 and ends < 0.005 else 1 if 0.02 <= ends <= 0.35 else None, 1 if n >= 40 else None,
+        )
+
+    docs = {t: measured((t or "").encode()) for t in texts}
+    said = {t: opinion(m) for t, (_, m) in docs.items()}
+    prior, right = 0.8, [{1: 0.02, 0: 0.3} for _ in range(8)]  # right[j][c]: chance of a vote 0 given class c
+    for _ in range(50):
+        post = {}
+        for t, v in said.items():
+            likely = {c: (prior if c else 1 - prior) * math.prod(right[j][c] if x == 0 else 1 - right[j][c] for j, x in enumerate(v) if x is not None) for c in (0, 1)}
+            post[t] = likely[1] / (likely[0] + likely[1])
+        prior = min(0.999, max(0.001, (sum(post[t] for t in texts) + 1) / (len(texts) + 2)))
+        for j in range(8):
+            for c in (0, 1):
+                weigh = lambda x: 1 + sum(post[t] if c else 1 - post[t] for t in texts if said[t][j] == x)  # noqa: E731, B023
+                right[j][c] = weigh(0) / (weigh(0) + weigh(1))
+
+    def form(w):
+        kinds = ["A" if 65 <= b <= 90 else "a" if 97 <= b <= 122 or b > 127 else "0" if 48 <= b <= 57 else chr(b) for b in w]
+        return "".join(k for i, k in enumerate(kinds) if kinds[max(0, i - 2) : i] != [k, k]).encode()
+
+    slot = lambda x, seed: xxhash.xxh64_intdigest(x, seed) % 65536
+
+    def described(t):
+        ws, m = docs[t]
+        c = collections.Counter(x for w in ws for x in (slot(w.lower(), 1), slot(form(w), 2)))
+        at = [(k, np.float32(c[k] / len(ws))) for k in sorted(c)]
+        for name, x in m.items():
+            k = math.floor(math.log2(1 + x)) if name == "length" else int(x / 2) if name == "word_length" else int(10 * x)
+            at.append((slot(f"{name}:{min(9, k)}".encode(), 3), 0.5))
+        return at
+
+    found = {t: described(t) for t in docs}
+    order = sorted(found, key=lambda t: (post[t], len(found[t]), [k for k, _ in found[t]]))
+    weights, seen = collections.defaultdict(float), collections.defaultdict(lambda: 1e-6)
+    total = lambda at: sum(weights[k] * float(x) for k, x in at)
+    chance = lambda z: 1 / (1 + math.exp(-max(-40, min(40, z))))
+    for k in range(8):
+        for i in np.random.default_rng(k).permutation(len(order)):
+            at = [*found[order[i]], (-1, 1.0)]
+            off = chance(total(at)) - post[order[i]]
+            now = {}
+            for f, x in at:  # where a slot stands twice, the last counts
+                g = off * float(x) + 1e-6 * weights[f]
+                now[f] = (seen[f] + g * g, weights[f], g)
+            for f, (s, w, g) in now.items():
+                seen[f], weights[f] = s, w - 0.5 * g / math.sqrt(s)
+    exact = {t: [(k, x if i >= len(found[t]) - 8 else float(x)) for i, (k, x) in enumerate(found[t])] for t in docs}
+    return {t: (post[t], chance(total(exact[t]) + weights[-1])) for t in docs}
+
+
+def test_op8_values(spark, sf, docs):
+    want = plain_quality([r["text"] for r in docs.values()])
+    got = collected(spark, sf, "op8_quality")
+    assert set(got) == set(docs)
+    for i, r in docs.items():
+        posterior, score = want[r["text"]]
+        assert got[i].label_posterior == pytest.approx(posterior, abs=1e-9)
+        assert got[i].score == pytest.approx(score, abs=1e-5) and got[i].keep == (got[i].score >= 0.5)
+
+
+def test_op8_long_words():
+    from colloquy.llm.quality import ENDS, shape
+
+    assert shape(b"Aaa111--" * 40) == b"Aaa00--" * 40 and shape("Éa!!!".encode()) == b"aa!!" and shape(b"") == b""
+    assert len(ENDS.findall(b"a. b.c d! e? .f g.")) == 4
+
+
 def test_op9(spark, sf, docs):
     got = collected(spark, sf, "op9_mix")
     size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for i, r in docs.items()}
