@@ -1,8 +1,9 @@
 """Exact top-k by inner product over vectors in descending length.
 
 Vectors are rotated by the eigenvectors of their second-moment matrix (the right singular vectors of the table), so that the
-leading coordinates carry most of a product. Blocks of candidates hold vectors of similar length. A block is skipped for a
-query whose length times the block's greatest length is below the query's bound; within a block, products over the leading
+leading coordinates carry most of a product. Blocks of candidates hold vectors of similar length, blocks of queries ones that
+need candidates of similar length (their bound over their own length). Two blocks meet only if the longest candidate reaches
+the least such need, which is found from a row a block, before any vector moves; within a block, products over the leading
 coordinates plus the product of the residual lengths (Cauchy-Schwarz) rule candidates out; the rest are scored exactly.
 """
 
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import checkpointed, table
@@ -21,7 +22,7 @@ from colloquy.llm.common import checkpointed, table
 BLOCK = 1024
 #: The longest vectors, which give each query its first bound (bounds what is broadcast).
 PILOT = 1024
-#: Blocks that one task takes for a block of queries.
+#: Blocks that one task takes for a block of queries, and that a task cuts from sorted rows.
 SLICE_BLOCKS = 16
 #: Leading coordinates of the rotated vectors, by turns.
 STEPS = (8, 16, 32)
@@ -58,6 +59,32 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return flat.reshape(-1, width)
 
 
+def in_blocks(rows: DataFrame, n: int, *order: Column) -> DataFrame:
+    """block, items (structs of the rows): the n rows in order, cut into runs of BLOCK at most. Rows are dealt out by ranges of the order, sorted and cut as they stream by."""
+    inner = ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in rows.schema)
+    parts = max(1, -(-n // (BLOCK * SLICE_BLOCKS)))
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), F.struct(*rows.columns).alias("item"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, k, part = [], 0, 0
+        for batch in batches:
+            if batch.num_rows:
+                part = batch.column(0)[0].as_py()
+            held.append(batch.column(1))
+            while sum(map(len, held)) >= BLOCK:
+                whole = pa.concat_arrays(held)
+                yield block_row(part, k, whole[:BLOCK])
+                held, k = [whole[BLOCK:]], k + 1
+        if sum(map(len, held)):
+            yield block_row(part, k, pa.concat_arrays(held))
+
+    return checkpointed(placed.mapInArrow(cut, f"block long, items array<struct<{inner}>>"))
+
+
+def block_row(part: int, k: int, items: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part << 32 | k]), pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)], ["block", "items"])
+
+
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k highest scores, ties to the smaller id."""
     return np.lexsort((ids, -scores))[:k]
@@ -126,7 +153,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     Both come from vectors(), which leaves out null ids, null vectors and null or non-finite components; v holds whole numbers.
     Ties go to the smaller vec_id. Rows that repeat a vec_id are candidates of their own; as queries they count once for each distinct vector.
-    Vectors of different lengths raise an error; an empty table gives no rows.
+    Vectors of different lengths raise an error; an empty table, or no queries, gives no rows. Vectors of length zero score zero.
     """
     spark = rows.sparkSession
     rows = checkpointed(rows.select("vec_id", "v", "norm"))
@@ -148,22 +175,19 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             bound = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(q), -np.inf)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(bound)], ["vec_id", "v", "norm", "bound"])
 
-    blocks = -(-n // BLOCK)
-    # candidates by length: quantiles of the lengths, a quantile of many equal ones dealt out further
-    cuts = rows.agg(F.percentile_approx("norm", [i / blocks for i in range(1, blocks)], 10_000).alias("cuts")).first().cuts if blocks > 1 else []
-    level = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col("norm"))) if cuts else F.lit(0)
-    placed = rows.withColumn("level", level)
-    sizes = {x.level: x["count"] for x in placed.groupBy("level").count().collect()}
-    parts = F.element_at(F.create_map(*(F.lit(x) for item in ((key, -(-c // BLOCK)) for key, c in sizes.items()) for x in item)), F.col("level"))
-    placed = placed.withColumn("share", F.pmod(F.xxhash64("vec_id", "v"), parts).cast("int"))
-    candidates = placed.groupBy("level", "share").agg(F.collect_list(F.struct("vec_id", "v")).alias("c"), F.max("norm").alias("longest"))
-    asked = -(-queries.count() // BLOCK)
-    own = queries.select("vec_id", "v", "norm").distinct().mapInArrow(bounded, "vec_id long, v array<double>, norm double, bound double")
-    own = own.withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(asked or 1)).cast("int")).groupBy("q_block").agg(F.collect_list(F.struct("vec_id", "v", "norm", "bound")).alias("q"))
-    # a block of queries meets the candidates in slices of SLICE_BLOCKS blocks, each in descending length
-    slices = -(-sum(-(-c // BLOCK) for c in sizes.values()) // SLICE_BLOCKS)
-    met = candidates.withColumn("slice", F.pmod(F.xxhash64("level", "share"), F.lit(slices))).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(max(0, asked - 1))))).join(own, "q_block")
-    met = met.select("c", "q", "longest", "q_block", "slice").repartition("q_block", "slice").sortWithinPartitions("q_block", "slice", F.desc("longest"))
+    candidates = in_blocks(rows, n, F.desc("norm"), F.col("vec_id"), F.xxhash64("v"))
+    asked = queries.select("vec_id", "v", "norm").distinct()
+    own = asked.mapInArrow(bounded, "vec_id long, v array<double>, norm double, bound double")
+    # the length a candidate must have: none where the bound is no more than nothing
+    own = checkpointed(own.withColumn("need", F.when(F.col("bound") > 0, F.col("bound") / F.col("norm")).otherwise(F.lit(0.0))))
+    own = in_blocks(own, own.count(), F.col("need"), F.col("vec_id"), F.xxhash64("v"))
+    # a row a block decides which blocks meet; the longest candidate and the least need come first in their blocks
+    c, q = candidates.select("block", F.col("items")[0]["norm"].alias("longest")), own.select(F.col("block").alias("q_block"), F.col("items")[0]["need"].alias("need"))
+    pairs = c.join(q, F.col("longest") * (1 + 1e-9) >= F.col("need")).select("block", "q_block", "longest")
+    # a block of queries meets the candidates in slices of SLICE_BLOCKS blocks or so, each in descending length
+    slices = -(-n // (BLOCK * SLICE_BLOCKS))
+    met = pairs.join(candidates, "block").join(own.select(F.col("block").alias("q_block"), F.col("items").alias("q")), "q_block")
+    met = met.select(F.col("items").alias("c"), "q", "longest", "q_block", F.pmod(F.xxhash64("block"), F.lit(slices)).alias("slice")).repartition("q_block", "slice").sortWithinPartitions("q_block", "slice", F.desc("longest"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, None

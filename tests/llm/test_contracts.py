@@ -148,6 +148,30 @@ def test_op6_edges(spark):
     assert top_k(few, few.where("vec_id = 0"), 5).count() == 2
 
 
+@pytest.mark.parametrize("skew", [0, 1])
+def test_op6_many_blocks(spark, monkeypatch, skew):
+    """Many small blocks, lengths that differ widely or are all alike, repeated rows, bounds below nothing: the answer of all products."""
+    from colloquy.llm import topk as T
+
+    monkeypatch.setattr(T, "BLOCK", 16)
+    monkeypatch.setattr(T, "PILOT", 8)
+    monkeypatch.setattr(T, "SLICE_BLOCKS", 2)
+    rng = np.random.default_rng(9)
+    v = np.floor(rng.normal(size=(300, 12)) * 8 * (np.exp(rng.normal(size=(300, 1))) if skew else 1))
+    v[200:240] = v[7]
+    v[250] = 0
+    points = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    rows_ = T.vectors(points, 1)
+    got = sorted(tuple(r) for r in T.top_k(rows_, rows_.where("vec_id % 5 = 0"), 6).collect())
+    want = []
+    for q in range(0, 300, 5):
+        order = sorted((i for i in range(300) if i != q), key=lambda i: (-int(v[i] @ v[q]), i))[:6]
+        want += [(q, k + 1, i, int(v[i] @ v[q])) for k, i in enumerate(order)]
+    assert got == want
+    assert T.top_k(rows_, rows_.where("vec_id < 0"), 6).count() == 0
+
+
+
 def test_op7(spark, sf, docs):
     words = {i: (r["text"] or "").encode().lower().split() + ["end"] for i, r in docs.items()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in docs}
