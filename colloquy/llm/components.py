@@ -11,8 +11,8 @@ from colloquy.llm.common import checkpointed
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: src, dst (long). Returns node, component (the component's smallest node) for each node with an edge.
 
-    A round takes each node's smallest neighbouring label, then follows labels one step further, so long chains take a
-    logarithmic number of rounds. Each round is checkpointed; only a flag reaches the driver. Joins on labels are plain
+    A round takes each node's smallest neighbouring label, then follows labels one step further, so chains with ids in order take a
+    logarithmic number of rounds, others up to their length. Each round is checkpointed; only a flag reaches the driver. Joins on labels are plain
     sort-merge joins between checkpointed frames, which adaptive execution can split where one component is large.
     """
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").distinct()

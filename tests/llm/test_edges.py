@@ -149,6 +149,22 @@ def near_families(families: int, members: int, seed: int) -> list[str]:
     return texts
 
 
+def test_components_of_a_star_and_random_links(spark):
+    from colloquy.llm.components import connected_components
+
+    rng = np.random.default_rng(5)
+    links = [(7, k) for k in range(8, 400)] + [(int(a) + 1000, int(b) + 1000) for a, b in rng.integers(0, 300, (90, 2))]
+    label = {x: x for link in links for x in link}
+    for _ in links:
+        before = dict(label)
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "src long, dst long")).collect()}
+    assert got == {x: label[x] for a, b in links if a != b for x in (a, b)}
+
+
 def exact_components(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Which pairs are near copies by comparing all, and each text's component."""
     sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in (t.encode().lower().split() for t in texts)]
