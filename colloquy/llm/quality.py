@@ -210,8 +210,8 @@ def quality(docs: DataFrame, threshold: float = 0.5, train_docs: int = TRAIN_DOC
 def good_documents(docs: DataFrame, threshold: float = 0.5, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """The rows of docs (text; any other columns) that the classifier keeps, with all their columns.
 
-    Each row is judged on its own text: null and empty texts go (the label model's and the scorer's choice on real tables, as one
-    labeller votes against them), repeated rows stay or go alike, null ids play no part, and an empty table stays empty.
+    Each row is judged on its own text: null and empty texts are judged alike, as texts without words, on which one labeller
+    votes against; repeated rows stay or go alike, null ids play no part, and an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, train_docs))
     column = docs.columns.index("text")
