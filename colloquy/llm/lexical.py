@@ -6,7 +6,8 @@ chooses the ends so that what the blocks' maxima claim beyond the postings' own
 least. A query is answered range by range, ranges being what lies between the block ends of its terms: where the maxima of the
 blocks add up to less than the score of the k-th best so far, the range is skipped. In the others pivots are chosen: the terms of
 the least maxima that together stay below that score can't carry a document alone, so only documents of the other terms are
-looked up and scored, exactly. The best of a task's former shards raise the bar for the next ones.
+looked up and scored, exactly. The score to reach starts from what k documents reach by one term alone; the best of a task's
+former shards raise it for the next ones.
 """
 
 from __future__ import annotations
@@ -80,8 +81,8 @@ def block_ends(values: np.ndarray, starts: np.ndarray, cost: int = BLOCK_COST, l
 class Shard:
     """Postings of some documents by term, in blocks with their largest values."""
 
-    def __init__(self, terms: np.ndarray, docs: np.ndarray, values: np.ndarray) -> None:
-        """A posting each: the term, the document (a number, ascending within a term), the value that its weight is multiplied with."""
+    def __init__(self, terms: np.ndarray, docs: np.ndarray, values: np.ndarray, k: int) -> None:
+        """A posting each: the term, the document (a number, ascending within a term), the value that its weight is multiplied with. k: results of a query."""
         self.terms, first = np.unique(terms, return_index=True)
         self.docs, self.values = docs, values
         starts = np.append(first, len(terms)).astype(np.int64)
@@ -89,6 +90,8 @@ class Shard:
         self.most = np.maximum.reduceat(values, np.concatenate([[0], ends[:-1]])) if len(ends) else values[:0]
         self.last = docs[ends - 1] if len(ends) else docs[:0]
         self.starts, self.blocks = starts, np.concatenate([[0], np.searchsorted(ends, starts[1:], side="right")])
+        # k documents reach a list's k-th value with this term alone
+        self.reached = np.array([np.partition(values[a:b], -k)[-k] if b - a >= k else 0 for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], np.int64)
 
     def answer(self, terms: np.ndarray, weights: np.ndarray, top: Best) -> tuple[int, int]:
         """Offers documents to top, which knows the score to reach; returns how many were scored, and how many hold a term."""
@@ -103,16 +106,17 @@ class Shard:
         bounds = np.zeros(len(edges), np.int64)
         for k in range(len(at)):
             bounds += claim(k, edges)
+        start = max(1, int((self.reached[at] * weights).max()))
         waiting, scored, take = np.argsort(-bounds, kind="stable"), 0, FIRST_RANGES
-        while len(waiting) and bounds[waiting[0]] >= max(1, top.bar):
+        while len(waiting) and bounds[waiting[0]] >= (bar := max(start, top.bar)):
             now, waiting, take = waiting[:take], waiting[take:], max(FIRST_RANGES, min(take * MORE, CLAIMS // len(at)))
-            now = np.sort(now[bounds[now] >= max(1, top.bar)])
-            scored += self._scored(at, weights, edges, np.stack([claim(k, edges[now]) for k in range(len(at))]), now, top)
+            now = np.sort(now[bounds[now] >= bar])
+            scored += self._scored(at, weights, edges, np.stack([claim(k, edges[now]) for k in range(len(at))]), now, bar, top)
         return scored, sum(int(self.starts[k + 1] - self.starts[k]) for k in at)
 
-    def _scored(self, at: np.ndarray, weights: np.ndarray, edges: np.ndarray, claims: np.ndarray, ranges: np.ndarray, top: Best) -> int:
+    def _scored(self, at: np.ndarray, weights: np.ndarray, edges: np.ndarray, claims: np.ndarray, ranges: np.ndarray, bar: int, top: Best) -> int:
         order = np.argsort(claims, axis=0, kind="stable")
-        reach = np.cumsum(np.take_along_axis(claims, order, axis=0), axis=0) >= max(1, top.bar)
+        reach = np.cumsum(np.take_along_axis(claims, order, axis=0), axis=0) >= bar
         pivot = np.empty(claims.shape, bool)
         np.put_along_axis(pivot, order, reach, axis=0)
         low = np.where(ranges > 0, edges[ranges - 1] + 1, 0)
@@ -209,7 +213,7 @@ def answered(found: DataFrame, queries: Broadcast, documents: int, terms: int, k
         m = norms(whole.column("n").to_numpy(), documents, terms)
         order = np.argsort(number, kind="stable")
         value = 1_000_000_000 * tf // (1000 * tf + 8 * m[own])
-        shard = Shard(number[order], own[order], value[order])
+        shard = Shard(number[order], own[order], value[order], k)
         for top, (_, own_terms, weights) in zip(tops, queries.value, strict=True):
             top.known = known
             shard.answer(own_terms, weights, top)
