@@ -32,9 +32,9 @@ TERM_RANKS = 200
 #: UTF-8 bytes of the terms of one automaton; its memory is some 20 times as much.
 AUTOMATON_BYTES = 12 << 20
 #: Entries of a task's tables before they are given out.
-HELD_TERMS, HELD_WORDS = 1 << 20, 1 << 22
-#: Terms of a bucket, numbers of a bucket's table of sources and terms, sources that a task compares with all others.
-BUCKET_TERMS, BUCKET_CELLS, TILE = 512, 1 << 20, 512
+HELD_TERMS, HELD_WORDS = 1 << 19, 1 << 21
+#: Terms of a bucket (a task gives a sum for each pair of sources of a language that it has a bucket of), numbers of a bucket's table of sources and terms, sources that a task compares with all others.
+BUCKET_TERMS, BUCKET_CELLS, TILE = 2048, 1 << 20, 512
 
 #: A-Z to a-z; other ASCII but letters separates terms; bytes of further characters stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -65,6 +65,8 @@ def kept_terms(texts: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
                     held.clear()
                     size = 0
         yield from counted(held)
+        held.clear()
+        pa.default_memory_pool().release_unused()
 
     def counted(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, own in held.items():
@@ -91,7 +93,7 @@ class Vocabulary:
             own = np.flatnonzero(codes == code)
             own = own[np.argsort(at[own])]
             self.number[lang], self.buckets[lang] = at[own], buckets[own]
-        self.automaton = ahocorasick.Automaton()
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for k, term in enumerate(self.terms):
             self.automaton.add_word(f" {term} ", k)
         if self.terms:
@@ -151,6 +153,7 @@ def recounted(texts: DataFrame, shared: Broadcast) -> DataFrame:
                         groups, keys, counts = {}, keys[:0], counts[:0]
         keys, counts = merged()
         yield from given(known, groups, keys, counts)
+        pa.default_memory_pool().release_unused()
 
     def given(known: Vocabulary, groups: dict, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         width = max(1, len(known.terms))
@@ -161,6 +164,8 @@ def recounted(texts: DataFrame, shared: Broadcast) -> DataFrame:
             at = np.minimum(np.searchsorted(numbers, own), len(numbers) - 1)
             kept = numbers[at] == own
             own, n, bucket = own[kept], n[kept], known.buckets[lang][at[kept]]
+            if not len(own):
+                continue
             order = np.argsort(bucket, kind="stable")
             own, n, bucket = own[order], n[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
