@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import checkpointed, table
+from colloquy.llm.common import FACTORS, Hashes, checkpointed, mixed, table, window_hashes, word_hashes
 from colloquy.llm.components import connected_components
 
 SEED = 42
@@ -107,8 +107,8 @@ class Anchors:
 
 
 def near(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray, max_bits: int) -> np.ndarray:
-    """Whether row i of a and row j of b (nodes, fingerprints) are different nodes within max_bits."""
-    return (np.bitwise_count(a[1][i] ^ b[1][j]) <= max_bits) & (a[0][i] != b[0][j])
+    """Whether row i of a and row j of b (nodes, fingerprints of one or more 64-bit columns) are different nodes within max_bits."""
+    return (sum(np.bitwise_count(x[i] ^ y[j]) for x, y in zip(a[1:], b[1:], strict=True)) <= max_bits) & (a[0][i] != b[0][j])
 
 
 class Cell:
@@ -171,12 +171,12 @@ def compare(max_bits: int) -> Callable:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            cols[3] = cols[3].view(np.uint64)
+            cols = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+            cols[4:] = [x.view(np.uint64) for x in cols[4:]]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
                 held = None
-            key, block, home, *rows = cols[0], cols[1], cols[4], *cols[2:4]
+            key, block, home, *rows = cols
             out: list = []
             edge = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
             starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
@@ -197,7 +197,7 @@ def compare(max_bits: int) -> Callable:
                 last -= 1
             yield from given(out + cells(starts[first : last + 1], ends[first : last + 1], home, rows))
         if held is not None:
-            yield from given(cells(np.array([0]), np.array([len(held[0])]), held[4], held[2:4]))
+            yield from given(cells(np.array([0]), np.array([len(held[0])]), held[2], held[3:]))
 
     def cells(starts: np.ndarray, ends: np.ndarray, home: np.ndarray, rows: list[np.ndarray]) -> list:
         out: list = []
@@ -249,16 +249,22 @@ def links(points: DataFrame, max_bits: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)]), *(batch.column(i).take(at) for i in range(2)), pa.array(home[k : k + (1 << 16)])], ["key", "node", "fp", "home"])
 
     points = points.select("node", "fp")
-    hot = points.select("fp").mapInArrow(home_rows, "key long").groupBy("key").count().where(f"count > {HOME_BLOCK}").select("key", F.ceil(F.col("count") / HOME_BLOCK).cast("int").alias("blocks"))
+    own = points.select("fp").mapInArrow(home_rows, "key long")
+    return met(points.mapInArrow(replicas, "key long, node long, fp long, home boolean"), own, max_bits)
+
+
+def met(rows: DataFrame, homes: DataFrame, max_bits: int) -> DataFrame:
+    """rows: key, node, columns of fingerprints, home; homes: the key of each row that is at home. Returns src, dst: in each cell (the rows of a key) those at home are compared with all."""
+    fps = [c for c in rows.columns if c not in ("key", "node", "home")]
+    hot = homes.groupBy("key").count().where(f"count > {HOME_BLOCK}").select("key", F.ceil(F.col("count") / HOME_BLOCK).cast("int").alias("blocks"))
     hot = checkpointed(hot)
-    rows = points.mapInArrow(replicas, "key long, node long, fp long, home boolean")
     if hot.isEmpty():
-        rows = rows.select("key", F.lit(0).alias("block"), "node", "fp", "home")
+        rows = rows.select("key", F.lit(0).alias("block"), "home", "node", *fps)
     else:  # a hot anchor's homes are dealt out; what is compared with them goes to each share
         rows = rows.join(hot, "key", "left")
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         rows = rows.withColumn("block", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-        rows = rows.select("key", "block", "node", "fp", (F.col("home") & (F.col("blocks").isNull() | (own == F.col("block")))).alias("home"))
+        rows = rows.select("key", "block", (F.col("home") & (F.col("blocks").isNull() | (own == F.col("block")))).alias("home"), "node", *fps)
     return rows.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("home")).mapInArrow(compare(max_bits), "src long, dst long")
 
 
@@ -288,8 +294,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Near copies share this many hundredths of their five-word shingles or more.
 COPY_WIDTH, COPY_SHARE = 5, 80
-#: Two texts are candidates if their fingerprints over distinct words or those over distinct pairs of words differ in so many bits or fewer.
-CANDIDATE_WIDTHS, CANDIDATE_BITS = (1, 2), 7
+#: Two texts meet if the first 64 bits of their fingerprints differ in ANCHOR_BITS or fewer, or if they share one of their PARTS shingles of
+#: least hash. What meets is a candidate if the whole fingerprints, 128 bits, differ in CANDIDATE_BITS or fewer: at a similarity of 0.8
+#: they differ in 19 with a deviation of 4, between texts that have nothing in common in 64 with a deviation of 6.
+ANCHOR_BITS, PARTS, CANDIDATE_BITS = 3, 6, 34
 #: Texts, and words of them, that stand in one block of a group of candidates.
 BLOCK_TEXTS, BLOCK_WORDS = 512, 1 << 19
 #: Bits of the broadcast filter of candidates (8 MB); where they are many it lets more texts through, which a join then leaves out.
@@ -301,22 +309,38 @@ def text_node(text: F.Column) -> F.Column:
     return F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
 
 
+def copy_print(text: str | None) -> tuple[int, int, int, np.ndarray]:
+    """Words, two halves of the fingerprint over the distinct shingles of COPY_WIDTH words (fewer words make one), the PARTS least hashes of these."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0, 0, 0, np.empty(0, np.uint64)
+    hashes = np.unique(window_hashes(word_hashes(words, _hashes), min(COPY_WIDTH, len(words))))
+    return len(words), majority_of(hashes), majority_of(mixed(hashes * FACTORS[0] + FACTORS[1])), hashes[:PARTS]
+
+
+#: Hashes of the words that this worker has met.
+_hashes = Hashes()
+
+
 def candidate_prints(rows: DataFrame) -> DataFrame:
-    """rows: doc_id, node, text. Returns doc_id, node, words, fp0, fp1: the fingerprints over distinct shingles of CANDIDATE_WIDTHS words."""
+    """rows: doc_id, node, text. Returns doc_id, node, words, fp0, fp1, parts: what copy_print gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, fps = [], []
-            for text in batch.column(2):
-                words = (text.as_py() or "").encode().lower().split()
-                sizes.append(len(words))
-                for width in CANDIDATE_WIDTHS:
-                    shingles = set(words) if width == 1 else set(map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))) or {b" ".join(words)}
-                    fps.append(majority_of(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))) if words else 0)
-            both = np.array(fps, np.uint64).view(np.int64).reshape(-1, len(CANDIDATE_WIDTHS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["doc_id", "node", "words", "fp0", "fp1"])
+            found = [copy_print(text.as_py()) for text in batch.column(2)]
+            numbers = [pa.array(np.array([f[k] for f in found], np.uint64).view(np.int64)) for k in range(3)]
+            parts = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(f[3]) for f in found)]), pa.int32()), pa.array(np.concatenate([f[3] for f in found]).view(np.int64) if found else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, parts], ["doc_id", "node", "words", "fp0", "fp1", "parts"])
+        _hashes.clear()
+
+    return rows.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node long, words long, fp0 long, fp1 long, parts array<long>")
+
 
-    return rows.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node long, words long, fp0 long, fp1 long")
+def candidates(points: DataFrame) -> DataFrame:
+    """points: node, fp0, fp1, parts of distinct texts. Returns src, dst: enough links to connect all candidates that meet at an anchor or by a part."""
+    near = links(points.select("node", F.col("fp0").alias("fp")), ANCHOR_BITS)
+    parted = points.select(F.explode("parts").alias("key"), "node", "fp0", "fp1", F.lit(True).alias("home"))
+    return near.unionByName(met(parted, parted.select("key"), CANDIDATE_BITS))
 
 
 def node_filter(nodes: DataFrame) -> np.ndarray:
@@ -358,7 +382,7 @@ def exact_links(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], side
     coded = offsets = present = None
     for i in np.flatnonzero(~side):
         others = np.arange(i + 1, n) if one else np.flatnonzero(side)
-        others = others[(np.bitwise_count(fps[others] ^ fps[i]) <= CANDIDATE_BITS).any(axis=1) & (root[others] != root[i])]
+        others = others[(np.bitwise_count(fps[others] ^ fps[i]).sum(axis=1, dtype=np.int64) <= CANDIDATE_BITS) & (root[others] != root[i])]
         least, most = np.minimum(lengths[others], lengths[i]), np.maximum(lengths[others], lengths[i])
         others = others[100 * least >= COPY_SHARE * most]
         if not len(others):
@@ -424,15 +448,14 @@ def verified(groups: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame) -> DataFrame:
     """node, first (its smallest doc_id), component of each distinct text of docs (doc_id, text): what pairs of a Jaccard similarity of COPY_SHARE hundredths or more connect.
 
-    Fingerprints only find groups of candidates; within a group candidates are compared by their whole sets of shingles. A
+    Fingerprints and parts only find groups of candidates; within a group candidates are compared by their whole sets of shingles. A
     group is cut into blocks of bounded size and each two blocks meet in one task, so that neither pairs nor sets pile up.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_node(text).alias("node"), text.alias("text"))
     prints = candidate_prints(rows)
-    points = checkpointed(prints.groupBy("node", "words", "fp0", "fp1").agg(F.min("doc_id").alias("first")))
-    met = [links(points.select("node", F.col(f"fp{k}").alias("fp")), CANDIDATE_BITS) for k in range(len(CANDIDATE_WIDTHS))]
-    parts = connected_components(met[0].unionByName(met[1]))
+    points = checkpointed(prints.groupBy("node", "words", "fp0", "fp1").agg(F.min("doc_id").alias("first"), F.first("parts").alias("parts")))
+    parts = connected_components(candidates(points))
     groups = checkpointed(points.where("words > 0").join(parts, "node").select("node", "words", "fp0", "fp1", "component"))
     blocks = F.greatest(F.ceil(F.sum("words") / BLOCK_WORDS), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int")
     sizes = groups.groupBy("component").agg(blocks.alias("blocks"))
@@ -449,8 +472,8 @@ def without_copies(docs: DataFrame) -> DataFrame:
 
     Near copies share 0.8 of their five-word shingles or more, counted exactly; groups are what such pairs connect. At that
     similarity the fingerprints over five words differ in about 10 of 64 bits, which no covering code of use reaches, so
-    candidates come from those over distinct words and over distinct pairs of words, of which an edit touches fewer. Null,
-    empty and white texts are copies of each other. A row without a doc_id stands behind those with one; where no row of a
+    texts also meet where they share one of a few shingles of least hash; of six, one is shared but for one pair in ten
+    thousand. Null, empty and white texts are copies of each other. A row without a doc_id stands behind those with one; where no row of a
     group has one, one row stays. Rows with one doc_id and different texts are judged each on its own text; of equal ones the
     first by their other columns stays. An empty table gives no rows.
     """

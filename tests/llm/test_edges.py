@@ -132,7 +132,7 @@ def test_exact_links():
     assert simhash.exact_links(np.array([1, 2, 3]), zero, sets, np.zeros(3, bool)) == [(1, 2), (2, 3)]
     assert simhash.exact_links(np.array([1, 3]), zero[:2], [sets[0], sets[2]], np.zeros(2, bool)) == []
     assert simhash.exact_links(np.array([1, 2, 3]), zero, sets, np.array([False, False, True])) == [(2, 3)]
-    far = np.array([[0, 0], [255, 255], [127, 255]], np.uint64)  # within 7 bits by one fingerprint is enough
+    far = np.array([[0, 0], [(1 << 20) - 1] * 2, [1023, (1 << 20) - 1]], np.uint64)  # 40, 30 and 10 bits apart
     assert simhash.exact_links(np.array([1, 2, 3]), far, [sets[0]] * 3, np.zeros(3, bool)) == [(1, 3), (2, 3)]
 
 
@@ -215,6 +215,52 @@ def test_recall_of_near_copies(spark):
         assert len({int(label[k]) for k, c in own.items() if c == component}) == 1
 
 
+def edited(words: list[str], other: list[str], kind: str, share: float) -> list[str]:
+    """words with an edit that leaves about share of the five-word shingles in common."""
+    n = len(words)
+    k = max(1, round(n * (1 - share)))
+    if kind == "cut":
+        return words[: n - k]
+    if kind == "appended":
+        return words + other[: max(1, round(n * (1 / share - 1)))]
+    k = max(1, round(n * (1 - share) / (1 + share)))
+    if kind == "end replaced":
+        return words[: n - k] + other[:k]
+    if kind == "middle replaced":
+        return words[: n // 3] + other[:k] + words[n // 3 + k :]
+    out = list(words)
+    for j in np.random.default_rng(n).choice(n, max(1, round(k / 5)), replace=False):
+        out[int(j)] = other[int(j) % len(other)]
+    return out
+
+
+def test_recall_of_block_edits(spark):
+    """Pairs of texts of which one is edited in a block or in single words: in each band of similarity, kind of edit and length 0.9 or more are joined."""
+    texts = [r.text.split() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select("text").collect()]
+    stock = [w for t in texts for w in t]
+    rng, pairs = np.random.default_rng(8), []
+    for length in (30, 60, 150, 500, 1000):
+        for kind in ("cut", "appended", "end replaced", "middle replaced", "spread"):
+            for low in (0.8, 0.85, 0.9, 0.95):
+                for k in range(24):
+                    a, b = (int(x) for x in rng.integers(0, len(stock) - 2000, 2))
+                    words = stock[a : a + length]
+                    other = edited(words, stock[b : b + length], kind, low + 0.05 * k / 24)
+                    x, y = ({tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in ([w.lower() for w in words], [w.lower() for w in other]))
+                    alike = len(x & y) / len(x | y)
+                    if 0.8 <= alike < 1:
+                        pairs.append((length, kind, min(int(alike * 20), 19), " ".join(words), " ".join(other)))
+    docs = spark.createDataFrame([(2 * k + side, p[3 + side]) for k, p in enumerate(pairs) for side in (0, 1)], "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.without_copies(docs).select("doc_id").collect()}
+    assert all(2 * k in kept or 2 * k + 1 not in kept for k in range(len(pairs)))
+    met = {}
+    for k, (length, kind, band, *_) in enumerate(pairs):
+        for cell in ((length, kind), (kind, band), (length, band)):
+            met.setdefault(cell, []).append(2 * k + 1 not in kept)
+    print({c: (round(float(np.mean(v)), 3), len(v)) for c, v in met.items()})
+    assert len(pairs) > 1500 and min(np.mean(v) for v in met.values() if len(v) >= 20) >= 0.9
+
+
 def test_recompression(odd):
     got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in recompress.remove_repeats(odd).collect()]
     assert (7, 30, 30, "") in got and (8, 31, 30, "tail") in got and (None, 30, 0, SAME) in got
