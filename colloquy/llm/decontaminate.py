@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +17,10 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from colloquy.llm.common import Hashes, checkpointed, sliced, table, window_hashes, word_hashes
 
 WIDTH = 13
-#: Windows that are broadcast at once; a larger benchmark is searched in several passes over the documents.
-BROADCAST_WINDOWS = 1 << 20
+#: Bytes of windows that are broadcast at once; a larger benchmark is searched in several passes over the documents.
+BROADCAST_BYTES = 96 << 20
+#: What a window takes beside its words and its items' ids.
+WINDOW_BYTES = 24
 
 #: A-Z to a-z; other ASCII but digits and letters separates words; bytes of further letters stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -37,45 +39,59 @@ def text_digest(text: str | None) -> bytes:
 
 
 class Windows:
-    """Windows of the items by hash, with their words, so that a hit can be verified."""
+    """Windows of the items in flat arrays, sorted by width and hash, with their words, so that a hit can be verified."""
 
-    def __init__(self, rows: list) -> None:
-        self.words: dict[tuple[int, int], dict[tuple, set]] = {}
-        cache = Hashes()
-        for item, words in rows:
-            words = tuple(words)
-            found = int(window_hashes(word_hashes(list(words), cache), len(words))[0])
-            own = self.words.setdefault((len(words), found), {}).setdefault(words, set())
-            if item is not None:
-                own.add(item)
-        self.sorted = {n: np.sort(np.array([h for m, h in self.words if m == n], np.uint64)) for n in {m for m, _ in self.words}}
+    def __init__(self, rows: pa.Table) -> None:
+        """rows: width, hash, words, items (ids, none of them null)."""
+        width, hashes = rows.column("width").to_numpy(), rows.column("hash").to_numpy().view(np.uint64)
+        order = np.lexsort((hashes, width))
+        rows = rows.take(pa.array(order)).combine_chunks()
+        # the columns of an empty table have no chunk
+        words, items = (pa.concat_arrays(rows.column(c).chunks) if rows.num_rows else pa.array([], rows.schema.field(c).type) for c in ("words", "items"))
+        self.words, self.word_ends = b"".join(map(bytes, (x.as_buffer() for x in words))), np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False), dtype=np.int64)
+        self.items, self.item_ends = items.flatten().to_numpy(), np.cumsum(items.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+        self.hashes = hashes[order]
+        #: Width, first and last (exclusive) window of it.
+        self.widths = [(int(n), *np.searchsorted(width[order], [n, n + 1]).tolist()) for n in np.unique(width)]
+
+    def equal(self, k: int, words: bytes) -> bool:
+        return self.words[self.word_ends[k - 1] if k else 0 : self.word_ends[k]] == words
+
+    def own(self, k: int) -> list[int]:
+        return self.items[self.item_ends[k - 1] if k else 0 : self.item_ends[k]].tolist()
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """item_id, words: each window of width words; an item of fewer, but not none, is one window. Null: no words."""
+    """width, hash, words, items (ids) of each different window of width words; an item of fewer, but not none, is one window. Null: no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = Hashes()
         for batch in batches:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = folded(text)
                 if words:
-                    windows = {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))}
-                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(windows), pa.int64()), pa.array([b" ".join(w) for w in windows], pa.binary())], ["item_id", "words"])
+                    n = min(width, len(words))
+                    first = {b" ".join(words[k : k + n]): k for k in range(len(words) - n, -1, -1)}
+                    found = window_hashes(word_hashes(words, cache), n)[list(first.values())].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(first), pa.int64()), pa.array([n] * len(first), pa.int32()), pa.array(found), pa.array(list(first), pa.binary())], ["item_id", "width", "hash", "words"])
 
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "item_id long, words binary")
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "item_id long, width int, hash long, words binary")
+    return rows.groupBy("width", "hash", "words").agg(F.collect_set("item_id").alias("items"))
 
 
 def hit_words(words: list[bytes], hashes: np.ndarray, windows: Windows) -> tuple[np.ndarray, set]:
     """Which words stand in a window of an item, and the items."""
     hit, items = np.zeros(len(words), bool), set()
-    for n, wanted in windows.sorted.items():
-        found = window_hashes(hashes, n)
+    for n, first, last in windows.widths:
+        wanted, found = windows.hashes[first:last], window_hashes(hashes, n)
         at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
         for k in np.flatnonzero(wanted[at] == found):
-            own = windows.words[n, int(found[k])].get(tuple(words[k : k + n]))
-            if own is not None:
-                hit[k : k + n] = True
-                items |= own
+            own, e = b" ".join(words[k : k + n]), int(at[k])
+            while e < len(wanted) and wanted[e] == found[k]:  # windows of one hash stand side by side
+                if windows.equal(first + e, own):
+                    hit[k : k + n] = True
+                    items.update(windows.own(first + e))
+                e += 1
     return hit, items
 
 
@@ -107,12 +123,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
 def _windows(benchmark: DataFrame, width: int) -> tuple[DataFrame, int]:
     """The windows of all items, and in how many slices they are searched."""
     found = checkpointed(item_windows(benchmark, width))
-    return found, max(1, -(-found.count() // BROADCAST_WINDOWS))
+    size = found.agg(F.coalesce(F.sum(F.octet_length("words") + 8 * F.size("items") + WINDOW_BYTES), F.lit(0))).first()[0]
+    return found, max(1, -(-size // BROADCAST_BYTES))
 
 
 def _shared(windows: DataFrame) -> Broadcast:
-    """windows: no more than about BROADCAST_WINDOWS."""
-    return windows.sparkSession.sparkContext.broadcast([(x.item_id, bytes(x.words).split(b" ")) for x in windows.toLocalIterator()])
+    """windows: of no more than about BROADCAST_BYTES."""
+    return windows.sparkSession.sparkContext.broadcast(Windows(windows.toArrow()))
 
 
 def _in_passes(docs: DataFrame, found: DataFrame, slices: int) -> Iterator[DataFrame]:
@@ -124,23 +141,11 @@ def _in_passes(docs: DataFrame, found: DataFrame, slices: int) -> Iterator[DataF
         yield marked
 
 
-#: The last broadcast set of each worker process, by its number, so that its tables are made once.
-_built: dict[int, Windows] = {}
-
-
-def _built_from(shared: Broadcast, number: int) -> Windows:
-    if number not in _built:
-        _built.clear()
-        _built[number] = Windows(shared.value)
-    return _built[number]
-
-
 def _marked(docs: DataFrame, shared: Broadcast) -> DataFrame:
     """doc_id, digest, n_words, hit (positions), items."""
-    number = uuid.uuid4().int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, cache = _built_from(shared, number), Hashes()
+        wanted, cache = shared.value, Hashes()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in sliced(texts):
@@ -198,10 +203,10 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -
         return pa.RecordBatch.from_arrays(columns, batch.schema.names[:width]).filter(pa.array(keep, pa.bool_()))
 
     if slices == 1:
-        shared, number = _shared(found), uuid.uuid4().int
+        shared = _shared(found)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            wanted, cache = _built_from(shared, number), Hashes()
+            wanted, cache = shared.value, Hashes()
 
             def hits(batch: pa.RecordBatch) -> Iterator[np.ndarray | None]:
                 for value in batch.column(column):

@@ -332,10 +332,54 @@ def test_contamination(odd, bench, monkeypatch):
     assert (True, 7, 30, 30, [1]) in once and (True, 9, 2, 2, [2]) in once and (True, 3, 1, 1, []) in once
     kept = decontaminate.clean_documents(odd, bench)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {0, 1, 2, 4, 5, 6, 10, 11, None}
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 5)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 200)
     assert marks() == once  # in several passes
 
 
+def test_windows_of_one_hash(monkeypatch):
+    """Windows with one hash are told apart by their words."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(decontaminate, "window_hashes", lambda hashes, n: np.full(max(0, len(hashes) - n + 1), 7, np.uint64))
+    known = decontaminate.Windows(pa.table({"width": pa.array([2, 2, 1], pa.int32()), "hash": pa.array([7, 7, 7], pa.int64()), "words": pa.array([b"a b", b"b c", b"d"], pa.binary()), "items": pa.array([[1], [2, 3], []], pa.list_(pa.int64()))}))
+    hit, items = decontaminate.hit_words([b"a", b"x", b"b", b"c", b"d"], np.zeros(5, np.uint64), known)
+    assert hit.tolist() == [False, False, True, True, True] and items == {2, 3}
+
+
+MEASURE = """
+import os, pickle, resource, sys
+import numpy as np, pyarrow as pa
+from colloquy.llm import decontaminate
+n = 1 << 20
+rng = np.random.default_rng(1)
+words = [b" ".join(b"%06d" % k for k in row) for row in rng.integers(0, 10**6, (n, 13)).tolist()]
+size = sum(map(len, words)) + (8 + decontaminate.WINDOW_BYTES) * n
+rows = pa.table({"width": pa.array(np.full(n, 13, np.int32)), "hash": pa.array(rng.integers(0, 1 << 62, n)), "words": pa.array(words, pa.binary()), "items": pa.ListArray.from_arrays(pa.array(np.arange(n + 1), pa.int32()), pa.array(np.arange(n)))})
+with open(sys.argv[1], "wb") as f:
+    pickle.dump(decontaminate.Windows(rows), f, 5)
+print(size)
+"""
+HOLD = """
+import pickle, resource, sys
+from colloquy.llm import decontaminate
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+with open(sys.argv[1], "rb") as f:
+    held = pickle.load(f)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+
+
+def test_memory_of_windows(tmp_path):
+    """A worker holds 2^20 windows in less than 300 MB, which is about what the bound of a broadcast counts for them."""
+    import subprocess
+    import sys
+
+    run = lambda code: int(subprocess.run([sys.executable, "-c", code, str(tmp_path / "windows")], capture_output=True, text=True, check=True).stdout)
+    counted = run(MEASURE)
+    held = run(HOLD) * 1024
+    assert held < 300e6 and held < 2 * counted
+
+
 def test_clean_documents_lose_spans(spark, bench, monkeypatch):
     """Below a twentieth of its words a document stays and loses the passage, in one pass as in several."""
     before, after = " ".join(f"b{k}" for k in range(400)), " ".join(f"c{k}." for k in range(400))
@@ -343,7 +387,7 @@ def test_clean_documents_lose_spans(spark, bench, monkeypatch):
     want = sorted([(1, f"{before}; {after}", len(before) + 2 + len(after)), (2, f"{before} é {after}", 9), (None, None, None), (4, "", 0)], key=repr)
     assert sorted((tuple(r) for r in decontaminate.clean_documents(docs, bench).collect()), key=repr) == want
     assert decontaminate.clean_documents(docs, bench.limit(0)).count() == 4 and decontaminate.clean_documents(docs.limit(0), bench).count() == 0
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 5)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 200)
     assert sorted((tuple(r) for r in decontaminate.clean_documents(docs, bench).collect()), key=repr) == want
 
 
@@ -358,7 +402,7 @@ def test_clean_documents_in_passes(spark, odd, bench, monkeypatch):
     """A large benchmark changes no verdict: rows without a doc_id go, clean rows stay beside a contaminated one of their doc_id."""
     kept = lambda: sorted(map(repr, decontaminate.clean_documents(odd, bench).collect()))
     once = kept()
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 5)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 200)
     assert kept() == once
     rows = [(r.doc_id, r.text) for r in decontaminate.clean_documents(odd, bench).collect()]
     assert (None, SAME) not in rows and (6, "other words") in rows and (6, SAME) not in rows
