@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ TERM_RANKS = 200
 #: UTF-8 bytes of the terms of one automaton; its memory is some 20 times as much.
 AUTOMATON_BYTES = 12 << 20
 #: Entries of a task's tables before they are given out.
-HELD_TERMS, HELD_WORDS = 1 << 19, 1 << 21
+HELD_TERMS, HELD_WORDS = 1 << 18, 1 << 20
 #: Terms of a bucket (a task gives a sum for each pair of sources of a language that it has a bucket of), numbers of a bucket's table of sources and terms, sources that a task compares with all others.
 BUCKET_TERMS, BUCKET_CELLS, TILE = 2048, 1 << 20, 512
 
@@ -83,26 +84,27 @@ class Vocabulary:
     """An automaton over padded terms, and which of them each language keeps."""
 
     def __init__(self, kept: pa.Table) -> None:
-        names, at = np.unique(np.array(kept.column("term").to_pylist(), object), return_inverse=True)
-        self.terms = names.tolist()
-        self.buckets = {}
+        """kept: lang, term, bucket. Terms stay an Arrow array, in order; their places are the automaton's values."""
+        terms = pc.unique(kept.column("term"))
+        self.terms = terms.take(pc.sort_indices(terms))
+        at = pc.index_in(kept.column("term"), value_set=self.terms).to_numpy()
+        langs, buckets = pa.chunked_array(kept.column("lang").chunks, pa.string()).combine_chunks(), kept.column("bucket").to_numpy()
         self.number: dict[str, np.ndarray] = {}
-        langs, buckets = kept.column("lang").combine_chunks().dictionary_encode(), kept.column("bucket").to_numpy()
-        codes = langs.indices.to_numpy()
-        for code, lang in enumerate(langs.dictionary.to_pylist()):
-            own = np.flatnonzero(codes == code)
+        self.buckets: dict[str, np.ndarray] = {}
+        for lang in pc.unique(langs).to_pylist():
+            own = np.flatnonzero(pc.equal(langs, lang).to_numpy(zero_copy_only=False))
             own = own[np.argsort(at[own])]
             self.number[lang], self.buckets[lang] = at[own], buckets[own]
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for k, term in enumerate(self.terms):
-            self.automaton.add_word(f" {term} ", k)
-        if self.terms:
+            self.automaton.add_word(f" {term.as_py()} ", k)
+        if len(self.terms):
             self.automaton.make_automaton()
 
     def found(self, text: str | None) -> np.ndarray:
         """The numbers of the terms that the text holds, one for each occurrence."""
         padded = f" {b' '.join(terms_of(text)).decode()} "
-        return np.fromiter((k for _, k in self.automaton.iter(padded)), np.int64) if self.terms else np.empty(0, np.int64)
+        return np.fromiter((k for _, k in self.automaton.iter(padded)), np.int64) if len(self.terms) else np.empty(0, np.int64)
 
 
 #: The last vocabulary of each worker process, by its number, so that it is made once.
@@ -148,7 +150,7 @@ def recounted(texts: DataFrame, shared: Broadcast) -> DataFrame:
                 if size > HELD_WORDS:
                     keys, counts = merged()
                     parts, size = [], 0
-                    if len(keys) > HELD_TERMS:
+                    if len(keys) > 4 * HELD_TERMS:
                         yield from given(known, groups, keys, counts)
                         groups, keys, counts = {}, keys[:0], counts[:0]
         keys, counts = merged()
@@ -169,7 +171,7 @@ def recounted(texts: DataFrame, shared: Broadcast) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             own, n, bucket = own[order], n[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            rows = [(bucket[a], " ".join(map(known.terms.__getitem__, own[a:b])), n[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(own)], strict=True)]
+            rows = [(bucket[a], " ".join(known.terms.take(pa.array(own[a:b])).to_pylist()), n[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(own)], strict=True)]
             for j in range(0, len(rows), 1024):
                 buckets, terms, packed = zip(*rows[j : j + 1024], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(terms), pa.string()), pa.array(buckets, pa.int32()), pa.array([source] * len(terms), pa.string()), pa.array(terms, pa.string()), pa.array(packed, pa.binary())], ["lang", "bucket", "source", "terms", "counts"])
