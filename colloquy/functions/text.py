@@ -7,7 +7,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import StringType
 
 
 def collapse(text: Column) -> Column:
@@ -74,11 +74,3 @@ def jaccard(a: Column, b: Column) -> Column:
 def name_key(names: pd.Series) -> pd.Series:
     """NFKC, one space between words, case folded: no built-in function normalises."""
     return names.str.normalize("NFKC").str.split().str.join(" ").str.casefold()
-
-
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of matching blocks of two texts, 1 for equal ones."""
-    from difflib import SequenceMatcher
-
-    return pd.Series([SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])

@@ -36,13 +36,6 @@ def name_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", F.sha2(T.name_key("c_name"), 256).alias("key"))
 
 
-@query()
-def text_distinctness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = turns(spark, sf_dir)
-    own = Window.partitionBy("conv_id").orderBy("turn_index")
-    return rows.withColumn("before", F.lag("text", 2).over(own)).where("before is not null").select("conv_id", "turn_index", F.round(T.sequence_ratio("text", "before"), 6).alias("ratio"))
-
-
 UNSAFE = r"(?:stop|skip|double) (?:the|your) dose|no need for a doctor"
 
 

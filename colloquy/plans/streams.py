@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,24 +19,36 @@ from colloquy.streaming import jobs
 
 def folder(spark: SparkSession) -> str:
     """A folder for a stream's state and output: in the shared one, or where that is unset (local tests) a temporary one."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="colloquy-")
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="colloquy-")
     return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """State of arbitrary operators needs this store."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before:
+            spark.conf.set(name, before)
+        else:
+            spark.conf.unset(name)
+
+
 def run(rows: DataFrame, job, parts: int = 3) -> DataFrame:
     """Lays rows down as part files, takes them as a stream in micro-batches, and returns the output."""
     spark, top = rows.sparkSession, folder(rows.sparkSession)
     rows.repartition(parts, "conv_id").write.parquet(f"{top}/in")
-    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with rocksdb(spark):
         out = job(jobs.read_parts(spark, f"{top}/in", rows.schema))
         out.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        if provider:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
-        else:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     return spark.read.schema(out.schema).parquet(f"{top}/out")
 
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -20,12 +21,20 @@ def read_parts(spark: SparkSession, path: str, schema: T.StructType, files_per_b
 class CappedSelection(StatefulProcessor):
     """Passes on the first turns of a conversation that qualify, each turn once; what counts is the selected, whatever becomes of them."""
 
-    def __init__(self, cap: int) -> None:
-        self.cap = cap
+    def __init__(self, cap: int, ttl_seconds: int | None = None) -> None:
+        self.cap, self.ttl = cap, 1000 * ttl_seconds if ttl_seconds else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "turn_index int", "selected boolean")
-        self.count = handle.getValueState("count", "n int")
+        self.seen = handle.getMapState("seen", "turn_index int", "selected boolean", self.ttl)
+        self.count = handle.getValueState("count", "n int", self.ttl)
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:  # noqa: N802, N803
+        """initialState: rows of selection_state for the conversation."""
+        n = 0
+        for row in initialState.itertuples():
+            self.seen.updateValue((int(row.turn_index),), (bool(row.selected),))
+            n += bool(row.selected)
+        self.count.update((n,))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         n = self.count.get()[0] if self.count.exists() else 0
@@ -46,9 +55,20 @@ class CappedSelection(StatefulProcessor):
         pass
 
 
-def capped_selection(turns: DataFrame, cap: int) -> DataFrame:
-    """turns: a stream of conv_id, turn_index, qualifies. State is kept for each conversation for good."""
-    return turns.groupBy("conv_id").transformWithStateInPandas(CappedSelection(cap), T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn_index", T.IntegerType())]), "Append", "None")
+def selection_state(selected: DataFrame, ledger: DataFrame) -> DataFrame:
+    """What a selection knew, from what it has left: conv_id, turn_index, selected of each turn in its output (selected) or its ledger of turns looked at. Rows without a conversation or turn are left out."""
+    both = selected.select("conv_id", "turn_index", F.lit(True).alias("selected")).unionByName(ledger.select("conv_id", "turn_index", F.lit(False).alias("selected")))
+    return both.where("conv_id is not null and turn_index is not null").groupBy("conv_id", "turn_index").agg(F.max("selected").alias("selected"))
+
+
+def capped_selection(turns: DataFrame, cap: int, before: DataFrame | None = None, ttl_seconds: int | None = None) -> DataFrame:
+    """turns: a stream of conv_id, turn_index, qualifies. before: the state to begin with (selection_state), where a checkpoint is lost.
+
+    Without ttl_seconds the state of each conversation is kept for good; with it, a turn that comes again later than that counts as new.
+    """
+    schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn_index", T.IntegerType())])
+    start = before.groupBy("conv_id") if before is not None else None
+    return turns.groupBy("conv_id").transformWithStateInPandas(CappedSelection(cap, ttl_seconds), schema, "Append", "ProcessingTime" if ttl_seconds else "None", start)
 
 
 class OnlineFilter(StatefulProcessor):
