@@ -95,7 +95,7 @@ def stream_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.repartition(2, "conv_id").write.parquet(f"{top}/second")
     with rocksdb(spark):
         def run(name: str, before: DataFrame | None) -> DataFrame:
-            out = jobs.capped_selection(jobs.read_parts(spark, f"{top}/{name}", rows.schema), 2, before, ttl_seconds=30 * 86_400)
+            out = jobs.capped_selection(jobs.read_parts(spark, f"{top}/{name}", rows.schema), 2, before)
             out.writeStream.format("parquet").option("path", f"{top}/out-{name}").option("checkpointLocation", f"{top}/state-{name}").trigger(availableNow=True).start().awaitTermination()
             return spark.read.schema(out.schema).parquet(f"{top}/out-{name}")
 

@@ -64,7 +64,8 @@ def selection_state(selected: DataFrame, ledger: DataFrame) -> DataFrame:
 def capped_selection(turns: DataFrame, cap: int, before: DataFrame | None = None, ttl_seconds: int | None = None) -> DataFrame:
     """turns: a stream of conv_id, turn_index, qualifies. before: the state to begin with (selection_state), where a checkpoint is lost.
 
-    Without ttl_seconds the state of each conversation is kept for good; with it, a turn that comes again later than that counts as new.
+    Without ttl_seconds the state of each conversation is kept for good; with it, a turn that comes again later than that counts as
+    new, and the query runs until it is stopped: state that ages asks for batches without data, so availableNow doesn't end.
     """
     schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn_index", T.IntegerType())])
     start = before.groupBy("conv_id") if before is not None else None

@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,10 +102,19 @@ def test_state_is_restored(spark, tmp_path):
         stream = jobs.read_parts(spark, str(tmp_path / "in"), T._parse_datatype_string(schema))
         selected = spark.createDataFrame([(0, 0), (1, 1), (1, 3), (1, 3)], "conv_id long, turn_index int")
         ledger = spark.createDataFrame([(0, 0), (0, 2), (2, None), (3, 1), (9, 4)], "conv_id long, turn_index int")
-        out = jobs.capped_selection(stream, 2, jobs.selection_state(selected, ledger), ttl_seconds=3600)
-        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
-        got = sorted(map(tuple, spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect()))
         # 0: one before, turn 2 looked at; 1: full; 2: none before; 3: turn 1 looked at
-        assert got == [(0, 4), (2, 0), (2, 2), (3, 3), (3, 5)]
+        want = [(0, 4), (2, 0), (2, 2), (3, 3), (3, 5)]
+        for name, ttl in (("kept", None), ("aged", 3600)):
+            out = jobs.capped_selection(stream, 2, jobs.selection_state(selected, ledger), ttl)
+            writer = out.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"state-{name}"))
+            read = lambda: sorted(map(tuple, spark.read.schema(out.schema).parquet(str(tmp_path / name)).collect()))  # noqa: B023, E731
+            if ttl:
+                query, end = writer.start(), time.time() + 90
+                while time.time() < end and not ((tmp_path / name / "_spark_metadata" / "0").exists() and read() == want):
+                    time.sleep(1)
+                query.stop()
+            else:
+                writer.trigger(availableNow=True).start().awaitTermination()
+            assert read() == want
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
