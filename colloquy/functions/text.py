@@ -74,3 +74,9 @@ def jaccard(a: Column, b: Column) -> Column:
 def name_key(names: pd.Series) -> pd.Series:
     """NFKC, one space between words, case folded: no built-in function normalises."""
     return names.str.normalize("NFKC").str.split().str.join(" ").str.casefold()
+
+
+@F.pandas_udf(StringType())
+def nfkc(texts: pd.Series) -> pd.Series:
+    """Compatibility forms composed: no built-in function normalises."""
+    return texts.str.normalize("NFKC")

@@ -25,15 +25,18 @@ def _number(hexadecimal: Column) -> Column:
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
-#: Counts that are kept in one long, of so many bits each.
-LANES, LANE_BITS = 22, 21
+#: Sums, each of which holds a count in its low bits and another above so many.
+LANES, LANE_BITS = 32, 31
 
 
 def fingerprints(rows: DataFrame, key: str, tokens: str) -> DataFrame:
-    """key, simhash: bit i is set if at least half of the tokens' SHA-256 prefixes have it; without tokens all are. Three counts share a sum (up to two million tokens)."""
+    """key (unique), simhash: bit i is set if at least half of the tokens' SHA-256 prefixes have it; without tokens all are.
+
+    Two counts share a sum; an array holds no more tokens than a lane counts to, so that no count reaches its neighbour.
+    """
     hashed = rows.select(key, F.explode_outer(tokens).alias("token")).select(key, F.when(F.col("token").isNotNull(), _number(F.sha2("token", 256))).alias("h"))
     bit = lambda i: F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1).cast("long"))
-    lane = lambda i: sum((F.shiftleft(bit(j), LANE_BITS * (j // LANES)) for j in range(i + LANES, 64, LANES)), bit(i))
+    lane = lambda i: bit(i) + F.shiftleft(bit(i + LANES), LANE_BITS)
     sums = hashed.groupBy(key).agg(F.count("h").alias("n"), *(F.coalesce(F.sum(lane(i)), F.lit(0)).alias(f"s{i}") for i in range(LANES)))
     zero, out = F.lit(0).cast("long"), F.lit(0).cast("long")
     for i in range(64):

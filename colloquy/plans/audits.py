@@ -36,14 +36,6 @@ def name_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", F.sha2(T.name_key("c_name"), 256).alias("key"))
 
 
-UNSAFE = r"(?:stop|skip|double) (?:the|your) dose|no need for a doctor"
-
-
-@query(f"SELECT lang, count(*) AS n, count(*) FILTER (regexp_matches(lower(text), '{UNSAFE}')) AS unsafe FROM documents GROUP BY 1")
-def unsafe_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.lower("text").rlike(UNSAFE)).alias("unsafe"))
-
-
 @query("WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), 'licen[sc]e|version|password') AS xs FROM documents) SELECT doc_id, array_to_string([x for x, i in xs if list_position(xs, x) = i], ',') AS terms FROM t WHERE len(xs) > 0")
 def protected_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each once, in order of appearance."""

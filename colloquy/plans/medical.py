@@ -2,20 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.operators import consultation as C
 from colloquy.plans.registry import query
 from colloquy.sources.tables import read
 
-#: Words that stand for the health domain in the tables' prose.
-DOMAIN = ("the", "of the", "on")
+#: Word lists of the queries, and what users say in the conversations of each kind (conv_id modulo six): first, and in later turns.
+LISTS = C.HealthLists(("cough", "fever", "asthma", "chest pain"), ("cough", "asthma"), ("since yesterday",), ("damn",), (r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}",))
+FIRST = ("I have had a cough since Monday and my chest hurts", "What is asthma and how is it treated", "Please write a short story about a fever", "Tell me about trains", "My head aches, mail me at ann.lee@example.org", "Damn fever, should I see a doctor")
+LATER = ("It is worse at night for me", "ok")
 
 
-@query()
+def consultations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's conversations with other words: users speak by the kind of conversation, others as they did."""
+    rows = read(spark, sf_dir, "conversations")
+    nth = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn"))
+    kind = lambda texts: F.element_at(F.array(*map(F.lit, texts)), (F.col("conv_id") % len(texts)).cast("int") + 1)
+    said = F.when(F.col("role") != "user", F.lit("I see.")).when(F.col("nth") == 1, kind(FIRST)).otherwise(kind(LATER))
+    return rows.withColumn("nth", nth).select("conv_id", "turn", "role", said.alias("text"))
+
+
+@query("SELECT conv_id, bool_or(role = 'user') AND conv_id % 6 IN (0, 5) AS consultation FROM conversations GROUP BY conv_id")
 def personal_consultation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.personal_consultation(read(spark, sf_dir, "conversations"), "conv_id", "turn", DOMAIN)
+    return C.personal_consultation(consultations(spark, sf_dir), "conv_id", "turn", LISTS.domain)
+
+
+@query("""WITH u AS (SELECT conv_id, count(*) FILTER (role = 'user') AS n, conv_id % 6 AS k FROM conversations GROUP BY conv_id)
+SELECT conv_id, n > 0 AND k IN (0, 1, 2, 5) AS health, n > 0 AND k IN (0, 1) AS respiratory, n > 0 AND k IN (0, 5) AS personal, n > 1 AND k % 2 = 0 AS followup_information,
+n > 0 AND k IN (1, 3) AS single_knowledge, n > 0 AND k = 4 AS explicit_pii, n > 0 AND k = 5 AS toxic_text FROM u""")
+def health_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.health_flags(consultations(spark, sf_dir), "conv_id", "turn", LISTS)
+
+
+#: What assistants say, by turn modulo ten; all but the first two are unsafe.
+ADVICE = ("Do not stop taking notes of your dose diary.", "Please take 5 apples and see a doctor.", "Just double your insulin", "Fine! Take 500 mg now", "So you must take 2.5 ml of it", "You definitely have it", "You don't need to visit a hospital", "薬は今日から中止しましょう", "50mgを毎日飲んでください", "受診は必要ありません")
+
+
+@query("SELECT conv_id, turn, turn % 10 >= 2 AS unsafe FROM conversations WHERE role = 'assistant'")
+def unsafe_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").where("role = 'assistant'")
+    said = F.element_at(F.array(*map(F.lit, ADVICE)), (F.col("turn") % len(ADVICE)).cast("int") + 1)
+    return rows.select("conv_id", "turn", C.unsafe_advice(said).alias("unsafe"))
 
 
 INTENT = "CASE WHEN length(text) % 3 = 0 THEN 'Inquire' WHEN length(text) % 3 = 1 THEN 'inform ' END"

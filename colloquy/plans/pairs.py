@@ -13,7 +13,6 @@ from colloquy.sources.tables import read
 
 #: Terms that occur in the tables' invented prose.
 GENERAL, MATHS, CONFUSION = ("the", "of"), ("ing", "tion"), ("tha", "ent")
-HEALTH, RESPIRATORY = ("the", "that", "with"), ("of", "on")
 
 SCORES = "(('0x' || substr(md5('{}:' || o_orderkey), 1, 6))::BIGINT % 1000) / 1000.0"
 PAIRS = f"""pairs AS (SELECT o_orderkey, o_custkey, 'p' || (o_custkey % 300) AS prompt, 'r' || o_orderkey AS response, {SCORES.format('c')} AS score_chosen, {SCORES.format('r')} AS score_rejected, {SCORES.format('p')} AS posterior FROM orders)"""
@@ -130,12 +129,6 @@ def domain_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").groupBy("lang").agg(*(F.count_if(X.contains_any(F.col("text"), terms)).alias(name) for name, terms in flags.items()))
 
 
-@query(r"""SELECT lang, count(*) FILTER (regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:the|that|with)(?:[^\p{L}\p{N}_]|$)')) AS health, count(*) FILTER (regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:of|on)(?:[^\p{L}\p{N}_]|$)')) AS respiratory, count(*) FILTER (regexp_matches(text, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]+')) AS with_mail FROM documents GROUP BY 1""")
-def health_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    return read(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(X.word_any(text, HEALTH)).alias("health"), F.count_if(X.word_any(text, RESPIRATORY)).alias("respiratory"), F.count_if(text.rlike(r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]+")).alias("with_mail"))
-
-
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\b(?:idiot|loser|scum)\b', '[word]', 'g'), '[0-9]{4,}', '[number]', 'g') AS text FROM documents""")
 def sanitise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", X.sanitised(F.col("text"), ("idiot", "loser", "scum")).alias("text"))

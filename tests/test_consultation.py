@@ -33,11 +33,30 @@ def test_personal_consultation(spark):
         12: user("I " + "z " * 120 + " have a cough, it is fair to say"),  # too far apart
         13: [("user", None)],
         14: user("coughing painfully I have had rash"),  # whole words only
+        15: user("no no no no cough I have"),  # four different words: no, cough, i, have
+        16: user("my my my cough"),  # two
+        17: user("Ｉ ｈａｖｅ had a ｃｏｕｇｈ"),  # wide forms
     })
-    assert got == {k: k in (1, 2, 6, 10) for k in range(1, 15)}
+    assert got == {k: k in (1, 2, 6, 10, 15, 17) for k in range(1, 18)}
     assert decided(spark, {1: user("")}) == {1: False}
 
 
+def test_health_flags(spark):
+    lists = C.HealthLists(("cough", "c++"), ("cough",), ("since",), ("damn it",), (r"\d{3}-\d{4}",))
+    said = {
+        1: [("user", "c++ is fun"), ("assistant", "DAMN  it"), ("user", "worse since then ok")],
+        2: [("user", " Explain a cough"), ("user", "since since"), ("user", None)],
+        3: [("user", "x" * 2000 + " cough"), ("user", "555-1234")],
+        4: [("assistant", "cough")],
+        5: [("user", None), ("user", "cough and no more")],
+    }
+    rows = [(k, i, role, text) for k, turns in said.items() for i, (role, text) in enumerate(turns)]
+    got = {r.conv: tuple(r)[1:] for r in C.health_flags(spark.createDataFrame(rows, "conv long, turn int, role string, text string"), "conv", "turn", lists).collect()}
+    names = ("health", "respiratory", "personal", "followup_information", "single_knowledge", "explicit_pii", "toxic_text")
+    want = {1: {"health", "followup_information", "toxic_text"}, 2: {"health", "respiratory", "single_knowledge"}, 3: {"explicit_pii"}, 4: set(), 5: {"health", "respiratory", "followup_information"}}
+    assert {k: {n for n, v in zip(names, x, strict=True) if v} for k, x in got.items()} == want
+
+
 def test_official_splits(spark):
     groups = spark.createDataFrame([(f"d{k}", k % 5 == 0) for k in range(30)], "digest string, outside boolean")
     got = {r.digest: r.split for r in C.official_splits(groups, "digest", "outside", "3", (10, 4)).collect()}
