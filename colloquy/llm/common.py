@@ -22,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (local tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and the master is local (tests) a temporary one; elsewhere a ValueError."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     made = spark.conf.get("colloquy.local.shared", None)
     if not made:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         made = "file://" + tempfile.mkdtemp(prefix="colloquy-")
         spark.conf.set("colloquy.local.shared", made)
     return made
