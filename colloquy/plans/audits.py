@@ -212,11 +212,6 @@ def slot_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("observation").alias("a"), "b").agg(F.count("*").alias("n"), F.min("part").alias("earliest")).orderBy(F.desc("n"), "a", "b").limit(100)
 
 
-@query()
-def model_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([("model", len(MODEL.problems()))], "name string, problems int")
-
-
 @query(f"""WITH {LABELLED} SELECT CASE WHEN 0.5 + (length(text) % 5) / 10.0 >= 0.8 THEN 'bypass' ELSE 'second_opinion' END AS route, count(*) AS n FROM labelled GROUP BY 1""")
 def confidence_bypass(spark: SparkSession, sf_dir: str) -> DataFrame:
     route = F.when(0.5 + (F.length("text") % 5) / 10.0 >= 0.8, "bypass").otherwise("second_opinion")

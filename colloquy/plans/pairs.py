@@ -98,10 +98,23 @@ def dpo_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n", F.round("loss", 6).alias("loss"), F.round("accuracy", 6).alias("accuracy"))
 
 
-@query(f"WITH {PAIRS} SELECT CASE WHEN posterior < 0.2 THEN 'model_fail' WHEN score_chosen < 0.78 THEN 'overall' WHEN score_rejected < 0.3 THEN 'contrast' ELSE 'pass' END AS verdict, count(*) AS n FROM pairs GROUP BY 1")
+#: The four minima of an audit.
+MINIMA = {"quality": 0.78, "chosen_alignment": 0.70, "rejected_contrast": 0.65, "naturalness": 0.75}
+
+
+@query(f"""WITH {PAIRS}, v AS (SELECT o_orderkey, posterior >= 0.2 AS model_pass, score_chosen AS quality, greatest(posterior, score_chosen) AS chosen_alignment, 1 - score_rejected AS rejected_contrast, (score_chosen + posterior) / 2 + 0.3 AS naturalness FROM pairs)
+SELECT o_orderkey, model_pass AND quality >= 0.78 AND chosen_alignment >= 0.70 AND rejected_contrast >= 0.65 AND naturalness >= 0.75 AS passed,
+concat_ws(',', CASE WHEN NOT model_pass THEN 'model' END, CASE WHEN quality < 0.78 THEN 'quality' END, CASE WHEN chosen_alignment < 0.70 THEN 'chosen_alignment' END, CASE WHEN rejected_contrast < 0.65 THEN 'rejected_contrast' END, CASE WHEN naturalness < 0.75 THEN 'naturalness' END) AS short FROM v""")
 def audit_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdict = F.when(F.col("posterior") < 0.2, "model_fail").when(F.col("score_chosen") < 0.78, "overall").when(F.col("score_rejected") < 0.3, "contrast").otherwise("pass")
-    return scored_pairs(spark, sf_dir).groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
+    """A pair passes if the auditor lets it and no score is short of its minimum; what it falls short of, in order."""
+    c = F.col
+    rows = scored_pairs(spark, sf_dir).select(
+        "o_orderkey", (c("posterior") >= 0.2).alias("model"), c("score_chosen").alias("quality"), F.greatest("posterior", "score_chosen").alias("chosen_alignment"),
+        (1 - c("score_rejected")).alias("rejected_contrast"), ((c("score_chosen") + c("posterior")) / 2 + 0.3).alias("naturalness"),
+    )
+    short = [F.when(~c("model"), "model"), *(F.when(c(name) < least, name) for name, least in MINIMA.items())]
+    out = rows.select("o_orderkey", F.concat_ws(",", *short).alias("short"))
+    return out.select("o_orderkey", (c("short") == "").alias("passed"), "short")
 
 
 @query(f"""WITH {PAIRS}, v AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE response END AS chosen, CASE WHEN o_orderkey % 5 = 0 THEN response ELSE 'x' || response END AS rejected, prompt FROM pairs)
