@@ -9,10 +9,11 @@ from pyspark.sql import types as T
 from colloquy.functions.fidelity import fidelity_errors
 from colloquy.operators import matching, sampling
 from colloquy.plans.conversations import turns
+from colloquy.plans.judging import JUDGE, judge
 from colloquy.plans.registry import TURNS, query
 from colloquy.plans.streams import folder, rocksdb
 from colloquy.sources.tables import parse_lines, read
-from colloquy.streaming import jobs, lines
+from colloquy.streaming import jobs, lines, progress
 
 STRATA, COUNT, CAP, SEED, RESERVE = ("en", "fr", "de", "es"), 50, 3, 7, 20
 
@@ -121,3 +122,19 @@ def medical_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turns(spark, sf_dir).select("conv_id", "turn_index", fidelity_errors(said, rendered).alias("e"))
     kinds = ("numbers", "negation", "temporal_expression", "units", "medications", "symptoms")
     return rows.select("conv_id", "turn_index", *(F.array_join(f"e.{k}", ",").alias(k) for k in kinds))
+
+
+@query(f"""WITH {JUDGE}, w AS (SELECT sample_id, axis, max(value) FILTER (model_name = 'basis') AS a, max(value) FILTER (model_name = 'base') AS b FROM judge GROUP BY 1, 2)
+SELECT axis, count(*) AS n, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(avg(a) - avg(b), 6) AS gap, round(count(*) FILTER (a > b) / count(*), 6) AS wins_rate, round(count(*) FILTER (a = b) / count(*), 6) AS ties_rate, round(count(*) FILTER (a < b) / count(*), 6) AS losses_rate
+FROM w WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1""")
+def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgments of two models as they come, some of them twice; what stands in the table after the last batch."""
+    top = folder(spark)
+    of = lambda m: F.max(F.when(F.col("model_name") == m, F.col("value")))
+    rows = judge(spark, sf_dir).groupBy("sample_id", "axis").agg(of("basis").alias("a"), of("base").alias("b")).where("a is not null and b is not null")
+    rows = rows.select("sample_id", "axis", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("sample_id") % 60).alias("at"), "a", "b")
+    rows.unionByName(rows.where("sample_id % 3 = 0")).repartition(3).write.parquet(f"{top}/in")
+    summary = progress.running_summary(jobs.read_parts(spark, f"{top}/in", rows.schema))
+    summary.writeStream.outputMode("update").foreachBatch(progress.keep_latest(f"{top}/summary", ["axis"])).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
+    found = progress.rates(progress.latest(spark, f"{top}/summary", summary.schema))
+    return found.select("axis", "n", *(F.round(c, 6).alias(c) for c in found.columns[2:]))
