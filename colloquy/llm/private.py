@@ -1,9 +1,10 @@
 """Personal data in texts, with DataFrame functions only.
 
 Four kinds of spans come from fixed patterns and checks: email, ip, card, phone. A label model adds spans of a further kind,
-secret: tokens that hold a digit and lie outside the former. Three labellers vote on each such token: a pattern (a long
-run of hexadecimal or mixed digits and letters), a gazetteer (a word such as password or token stands in front or in it) and the
-context (it follows an equals sign, colon or quotation mark, or a key's usual prefix). Expectation-maximisation over the vote
+secret: tokens that hold a digit and lie outside the former. Four labellers vote on each such token: a pattern (a long
+run of hexadecimal or mixed digits and letters), a gazetteer (a word such as password or token stands close in front or in it), the
+context (it follows an equals sign, colon or quotation mark, or a key's usual prefix) and a second gazetteer of what is public (a
+checksum, an order, a file or the like is announced, or has its form). Expectation-maximisation over the vote
 patterns gives each pattern a posterior; a naive Bayes classifier of the token's shape, length and surroundings is trained on
 the posteriors of all candidates and decides which become spans.
 """
@@ -32,6 +33,10 @@ BEFORE, AFTER = 24, 2
 
 #: Words that announce a secret.
 GAZETTEER = r"(?i)(?:password|passwd|pwd|passphrase|secret|token|api[ _-]?key|apikey|auth|bearer|credential)"
+#: The same close in front of a candidate and not denied; words and forms that announce something public.
+ANNOUNCED = GAZETTEER.replace("(?i)", r"(?i)(?<!\bno )(?<!without )") + r"[^.!?\n]{0,12}$"
+PUBLIC = r"(?i)(?:\b(?:commit|sha(?:-?[0-9]{1,3})?|md5|checksum|digest|uuid|guid|file|image|img|id|order|invoice|version|build|isbn|model|part|page|room|no|number|nr)\b|#)[\s.:=#_-]*$"
+PUBLIC_FORM = r"(?i)^(?:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|(?:img|image|file|dsc|scan|photo|screenshot|page|fig)[_-].*|[0-9-]+)$"
 KEY_PREFIX = r"^(?:AKIA|ASIA|ghp_|gho_|sk-|sk_|pk_|xox[abpr]-|AIza)"
 
 SPAN = "array<struct<kind:int,s:int,e:int>>"
@@ -116,14 +121,20 @@ def candidates(text: Column) -> Column:
     return matches(text, CANDIDATE, text.rlike("[0-9]"), lambda out, m, s, e, b, a: F.when(F.length(m) >= 6, F.concat(out, F.array(row(m, s, e, b, a)).cast(CANDIDATES))).otherwise(out), CANDIDATES)
 
 
+def public(m: Column, b: Column) -> Column:
+    """A form or announcement of what is no secret; a colon alone between a name with a digit and a checksum, as in sha256:, is one too."""
+    return b.rlike(PUBLIC) | m.rlike(PUBLIC_FORM) | ((b == ":") & m.rlike("^[0-9a-f]{32,}$"))
+
+
 def ballot(c: Column) -> Column:
-    """The three votes as a string: 1 for, 0 against, - to abstain."""
+    """The four votes as a string: 1 for, 0 against, - to abstain."""
     m, b = c["m"], c["b"]
     mixed_text = m.rlike("[0-9].*[A-Za-z]|[A-Za-z].*[0-9]")
     pattern = F.when((F.length(m) >= 16) & mixed_text, "1").when(F.length(m) < 10, "0").otherwise("-")
-    gazetteer = F.when(b.rlike(GAZETTEER) | m.rlike(GAZETTEER), "1").otherwise("0")
-    context = F.when(b.rlike(r"[=:]\s*[\"']?$") | m.rlike(KEY_PREFIX), "1").when(b.rlike(r"[\s(]$") & ~mixed_text, "0").otherwise("-")
-    return F.concat(pattern, gazetteer, context)
+    gazetteer = F.when(b.rlike(ANNOUNCED) | m.rlike(GAZETTEER), "1").otherwise("0")
+    context = F.when((b.rlike(r"[=:]\s*[\"']?$") & ~public(m, b)) | m.rlike(KEY_PREFIX), "1").when(b.rlike(r"[\s(]$") & ~mixed_text, "0").otherwise("-")
+    known = F.when(public(m, b), "0").when(m.rlike(KEY_PREFIX) | b.rlike(ANNOUNCED), "1").otherwise("-")
+    return F.concat(pattern, gazetteer, context, known)
 
 
 def traits(c: Column) -> Column:
@@ -133,9 +144,10 @@ def traits(c: Column) -> Column:
     return F.array(
         F.concat(F.lit("form:"), form),
         F.concat(F.lit("length:"), F.least(F.floor(F.length(m) / 4), F.lit(10)).cast("string")),
-        F.concat(F.lit("before:"), F.when(b.rlike(r"[=:]\s*[\"']?$"), "sign").when(b.rlike(r"\s$"), "space").when(b == "", "start").otherwise("other")),
+        F.concat(F.lit("before:"), F.when(public(m, b), "public").when(b.rlike(r"[=:]\s*[\"']?$"), "sign").when(b.rlike(r"\s$"), "space").when(b == "", "start").otherwise("other")),
         F.concat(F.lit("after:"), F.when(a.rlike("^[\"']"), "quote").when(a.rlike(r"^\s"), "space").when(a == "", "end").otherwise("other")),
-        F.concat(F.lit("word:"), b.rlike(GAZETTEER).cast("string")),
+        F.concat(F.lit("word:"), b.rlike(ANNOUNCED).cast("string")),
+        F.concat(F.lit("public:"), public(m, b).cast("string")),
         F.concat(F.lit("prefix:"), m.rlike(KEY_PREFIX).cast("string")),
         F.concat(F.lit("share:"), F.floor(4 * F.length(digits(m)) / F.length(m)).cast("string")),
     )
@@ -145,7 +157,7 @@ def find_spans(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, base (spans of the four kinds: kind 0 to 3, s, e), secrets (added spans s, e) of every row of docs (doc_id, text).
 
     A null text is empty. Rows are judged on their own, so repeated and null doc_ids keep their rows; an empty table gives none.
-    The label model and the classifier take all candidates of all documents; only their vote patterns (27 at most) and
+    The label model and the classifier take all candidates of all documents; only their vote patterns (81 at most) and
     the traits' sums (some dozens) reach the driver.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
