@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -228,9 +230,9 @@ def diverse_choice(rows: DataFrame, key: list[str], count: int, weight: float =
             break
         chosen.append((*(best[k] for k in key), best.value))
         other = F.array(*map(F.lit, best.tokens)) if best.tokens else F.array().cast("array<string>")
-        same = [F.col(k) == best[k] for k in key]
-        left = D.reliable(left.where(~(same[0] & same[1])).withColumn("likeness", F.greatest("likeness", T.jaccard(F.col("tokens"), other))))
-    return rows.sparkSession.createDataFrame(chosen, "conv_id long, turn_index int, mmr_score double")
+        same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.lit(best[k])) for k in key))
+        left = D.reliable(left.where(~same).withColumn("likeness", F.greatest("likeness", T.jaccard(F.col("tokens"), other))))
+    return rows.sparkSession.createDataFrame(chosen, ", ".join(f"`{k}` {kind}" for k, kind in rows.select(*key).dtypes) + ", mmr_score double")
 
 
 @query()

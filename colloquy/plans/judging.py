@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import stats as X
+from colloquy.operators.dedup import reliable
 from colloquy.plans.registry import query
 from colloquy.sources.tables import read
 
@@ -293,8 +294,8 @@ def compare_scorers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ordinal(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """name: the row's place by descending value, then k."""
-    dealt = rows.repartitionByRange(F.desc(value), "k").withColumn("_part", F.spark_partition_id())
+    """name: the row's place by descending value, then k. The ranges are checkpointed, so that both branches see the same."""
+    dealt = reliable(rows.repartitionByRange(F.desc(value), "k").withColumn("_part", F.spark_partition_id()))
     dealt = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(F.desc(value), "k")))
     before = dealt.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return dealt.join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_n", "_before")

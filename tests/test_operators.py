@@ -1,6 +1,7 @@
 """Operators on small cases, against plain Python."""
 
 import math
+from fractions import Fraction
 from itertools import product
 
 import pytest
@@ -114,6 +115,17 @@ def test_sign_test(spark):
     assert got["g"] == pytest.approx(2 * sum(math.comb(12, i) for i in range(4)) / 2**12) and got["z"] == 1.0
 
 
+@pytest.mark.parametrize(("wins", "losses"), [(1, 0), (5, 5), (0, 9), (700, 640), (20_000, 19_700), (3000, 10)])
+def test_sign_test_of_many(spark, wins, losses):
+    df = spark.range(wins + losses).select(F.lit("g").alias("g"), F.when(F.col("id") < wins, 1.0).otherwise(-1.0).alias("d"))
+    n, low = wins + losses, min(wins, losses)
+    term = total = 1
+    for i in range(low):
+        term = term * (n - i) // (i + 1)
+        total += term
+    assert X.sign_test(df, "g").first().p == pytest.approx(min(1.0, 2 * float(Fraction(total, 2**n))), rel=1e-7, abs=1e-300)
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("take 2.50 or 007 and 1.2.3", "take 2.5 or 7", "Ａｎｎ  Lee", "ann lee")], "a string, b string, c string, d string")
     r = df.select(T.missing_numerals(F.col("a"), F.col("b")).alias("m"), (T.name_key("c") == T.name_key("d")).alias("same")).first()
