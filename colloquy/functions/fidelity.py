@@ -24,7 +24,7 @@ BEFORE, AFTER = 120, 80
 
 @dataclass(frozen=True)
 class Lists:
-    """Patterns, and for what has several names the names that count."""
+    """Patterns, and for what has several names the names that count. The defaults are fixed values too."""
 
     negation: tuple[str, str] = (
         r"(?i)\b(?:no|not|never|without|denies?|negative for|doesn't|don't|isn't|hasn't|haven't)\b",
