@@ -100,6 +100,23 @@ def test_match_ratio(spark):
     assert got == {k: pytest.approx(difflib.SequenceMatcher(None, a or "", b or "", autojunk=False).ratio()) for k, a, b in pairs}
 
 
+def test_long_texts_are_compared_in_boxes(spark, monkeypatch):
+    """Runs of equals found are far fewer than the product of the texts' lengths; copies of a pair cost nothing."""
+    rng, syllables = np.random.default_rng(2), [a + b for a in "tnrs" for b in "aeiou"] + [" ", " ", ". "]
+    a, b = ("".join(syllables[k] for k in rng.integers(0, len(syllables), 500)) for _ in range(2))
+    found, plain = [], matching.common_runs
+
+    def counted(*args):
+        runs = plain(*args)
+        found.append(runs.count())
+        return runs
+
+    monkeypatch.setattr(matching, "common_runs", counted)
+    got = matching.match_ratio(spark.createDataFrame([(k, a, b) for k in range(20)], "id long, a string, b string")).collect()
+    assert [r.ratio for r in got] == [pytest.approx(difflib.SequenceMatcher(None, a, b, autojunk=False).ratio())] * 20
+    assert sum(found) < len(a) * len(b) / 20
+
+
 def test_distinctness(spark):
     rows = [(1, "The  CAT\n sat", "the cat sat", "A dog"), (2, None, "", "x"), (3, "ΣΑΣ straße", "σας STRASSE", "b")]
     got = {r.k: r for r in matching.distinctness(spark.createDataFrame(rows, "k long, base string, basis string, random string"), ["k"], ["base", "basis", "random"]).collect()}
