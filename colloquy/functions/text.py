@@ -61,8 +61,9 @@ def canonical_hash(*columns: str) -> Column:
 def bigrams(text: Column) -> Column:
     """Distinct pairs of neighbouring characters, spaces left out."""
     bare = F.regexp_replace(text, r"\s+", "")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare) - 1, F.lit(1))), lambda i: F.substring(bare, i, F.lit(2)))
-    return F.when(F.length(bare) >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    # pieces of two from the first and from the second character on: all pairs, in time linear in the text
+    pieces = lambda c: F.regexp_extract_all(c, F.lit("(?s).."), F.lit(0))
+    return F.coalesce(F.array_distinct(F.concat(pieces(bare), pieces(F.substring(bare, 2, 1 << 30)))), F.array().cast("array<string>"))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -1,6 +1,7 @@
 """Operators on small cases, against plain Python."""
 
 import math
+import time
 from fractions import Fraction
 from itertools import product
 
@@ -145,3 +146,15 @@ def test_lenient_and_strict_lines(spark, tmp_path):
     assert rows.where("_corrupt is not null").count() == 1 and rows.where("_corrupt is null").count() == 2
     with pytest.raises(Exception):  # noqa: B017
         read_jsonl(spark, str(tmp_path / "x.jsonl"), RECORD, strict=True).collect()
+
+
+def test_bigrams_of_a_long_text(spark):
+    """All neighbouring pairs once, also beyond the basic plane, and in time linear in the text."""
+    texts = [None, "", "a", " a b ", "aaa", "abab", "😀x😀\n日本", "the cat sat " * 12_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1)
+    began = time.perf_counter()
+    got = {r.k: r.xs for r in rows.select("k", T.bigrams(F.col("t")).alias("xs")).collect()}
+    assert time.perf_counter() - began < 15
+    for k, t in enumerate(texts):
+        bare = "".join((t or "").split())
+        assert sorted(got[k]) == sorted({bare[i : i + 2] for i in range(len(bare) - 1)})
