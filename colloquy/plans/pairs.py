@@ -165,7 +165,8 @@ SELECT conv_id, turn_index, round(s, 6) AS similarity FROM p""")
 def question_duplication(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likeness of a turn to the same speaker's turn before, by pairs of characters."""
     own = Window.partitionBy("conv_id").orderBy("turn_index")
-    rows = turns(spark, sf_dir).withColumn("xs", X.bigrams(F.col("text"))).withColumn("before", F.lag("xs", 2).over(own)).where("before is not null")
+    rows = turns(spark, sf_dir).select("conv_id", "turn_index", "text", F.lag(F.struct("text"), 2).over(own).alias("before")).where("before is not null")
+    rows = rows.select("conv_id", "turn_index", X.bigrams(F.col("text")).alias("xs"), X.bigrams(F.col("before.text")).alias("before"))
     return rows.select("conv_id", "turn_index", F.round(X.jaccard(F.col("xs"), F.col("before")), 6).alias("similarity"))
 
 
