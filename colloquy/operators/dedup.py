@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,38 +30,46 @@ def _number(hexadecimal: Column) -> Column:
 
 #: Sums, each of which holds a count in its low bits and another above so many.
 LANES, LANE_BITS = 32, 31
+#: Longs of a sketch, 512 bits in all.
+SKETCH = [f"s{k}" for k in range(8)]
 
 
 def fingerprints(rows: DataFrame, key: str, tokens: str) -> DataFrame:
-    """key (unique), simhash: bit i is set if at least half of the tokens' SHA-256 prefixes have it; without tokens all are.
+    """key (unique), simhash: bit i is set if at least half of the tokens' SHA-256 prefixes have it; without tokens all are. Also the columns of a sketch, of which a bit is set if an odd number of tokens hash to it: two sets' sketches differ in no more bits than the sets in tokens.
 
     Two counts share a sum; an array holds no more tokens than a lane counts to, so that no count reaches its neighbour.
     """
     hashed = rows.select(key, F.explode_outer(tokens).alias("token")).select(key, F.when(F.col("token").isNotNull(), _number(F.sha2("token", 256))).alias("h"))
     bit = lambda i: F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1).cast("long"))
     lane = lambda i: bit(i) + F.shiftleft(bit(i + LANES), LANE_BITS)
-    sums = hashed.groupBy(key).agg(F.count("h").alias("n"), *(F.coalesce(F.sum(lane(i)), F.lit(0)).alias(f"s{i}") for i in range(LANES)))
+    # places by the upper bits, which are mixed anew
+    place = F.xxhash64("h")
+    flipped = lambda k: F.when(F.col("h").isNotNull() & (F.shiftrightunsigned(place, 6).bitwiseAND(F.lit(7).cast("long")) == k), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63).cast("long")).cast("int")))
+    odd = [F.coalesce(F.bit_xor(flipped(k)), F.lit(0).cast("long")).alias(c) for k, c in enumerate(SKETCH)]
+    sums = hashed.groupBy(key).agg(*odd, F.count("h").alias("n"), *(F.coalesce(F.sum(lane(i)), F.lit(0)).alias(f"lane{i}") for i in range(LANES)))
     zero, out = F.lit(0).cast("long"), F.lit(0).cast("long")
     for i in range(64):
-        count = F.shiftrightunsigned(f"s{i % LANES}", LANE_BITS * (i // LANES)).bitwiseAND(F.lit((1 << LANE_BITS) - 1).cast("long"))
+        count = F.shiftrightunsigned(f"lane{i % LANES}", LANE_BITS * (i // LANES)).bitwiseAND(F.lit((1 << LANE_BITS) - 1).cast("long"))
         out = out.bitwiseOR(F.when(2 * count >= F.col("n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(zero))
-    return sums.select(key, out.alias("simhash"))
+    return sums.select(key, out.alias("simhash"), *SKETCH)
 
 
 def simhash64(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, simhash of each row's distinct tokens."""
-    return fingerprints(rows.select(key, tokens(F.col(text)).alias("t")), key, "t")
+    return fingerprints(rows.select(key, tokens(F.col(text)).alias("t")), key, "t").select(key, "simhash")
 
 
 def classes(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, tokens of the first row of each distinct token set that isn't empty, and copies."""
-    sets = rows.select(key, F.array_sort(tokens(F.col(text))).alias("tokens")).where(F.size("tokens") > 0)
+    # asked of the text, so that its tokens are taken once
+    some = F.coalesce(F.lower(text).rlike("[a-z0-9]"), F.lit(False))
+    sets = rows.where(some).select(key, F.sort_array(tokens(F.col(text))).alias("tokens"))
     return sets.groupBy("tokens").agg(F.min(key).alias(key), F.count("*").alias("copies"))
 
 
 def membership(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, class: the first row with the same token set; rows without tokens stand for themselves."""
-    sets = rows.select(key, F.to_json(F.array_sort(tokens(F.col(text)))).alias("set")).select(key, F.when(F.col("set") != "[]", F.sha2("set", 256)).alias("digest"))
+    sets = rows.select(key, F.to_json(F.sort_array(tokens(F.col(text)))).alias("set")).select(key, F.when(F.col("set") != "[]", F.sha2("set", 256)).alias("digest"))
     firsts = sets.where("digest is not null").groupBy("digest").agg(F.min(key).alias("class"))
     return sets.join(firsts, "digest", "left").select(key, F.coalesce("class", key).alias("class"))
 
@@ -66,23 +77,34 @@ def membership(rows: DataFrame, key: str, text: str) -> DataFrame:
 #: Rows of a band's value that meet in one task; more are dealt over blocks, each two of which meet.
 BAND_BLOCK = 512
 
-
 def near_pairs(rows: DataFrame, key: str, text: str, threshold: float = 0.9) -> DataFrame:
-    """a, b, jaccard: pairs of first rows of distinct token sets that share one of four 16-bit bands of the fingerprint and are as alike as the threshold; membership() has the other rows of each set."""
+    """a, b, jaccard: pairs of first rows of distinct token sets that share one of four 16-bit bands of the fingerprint and are as alike as the threshold; membership() has the other rows of each set.
+
+    Only rows whose numbers of tokens are of one class or of neighbouring ones meet, and only pairs whose sketches allow the
+    threshold get their tokens; neither loses a pair. Rows exploded are many more than they are taken for: none is broadcast.
+    """
     firsts = reliable(classes(rows, key, text).select(key, "tokens", F.size("tokens").alias("n")))
-    prints = fingerprints(firsts, key, "tokens").join(firsts.select(key, "n"), key)
-    bands = reliable(prints.select(key, "n", F.posexplode(F.array(*(F.shiftrightunsigned("simhash", 16 * i).bitwiseAND(F.lit(0xFFFF).cast("long")) for i in range(4)))).alias("band", "value")))
+    prints = fingerprints(firsts, key, "tokens").join(firsts.select(key, "n").hint("merge"), key)
+    # of alike sets the larger is at most 1 / threshold times the smaller, so less than one class apart
+    size = F.floor(F.ln(F.col("n").cast("double")) / F.lit(math.log(1.01 / threshold))).cast("int")
+    bands = prints.select(key, "n", *SKETCH, size.alias("size"), F.posexplode(F.array(*(F.shiftrightunsigned("simhash", 16 * i).bitwiseAND(F.lit(0xFFFF).cast("long")) for i in range(4)))).alias("band", "value"))
+    # classes g and g + 1 meet at g
+    bands = reliable(bands.withColumn("g", F.explode(F.array(F.col("size") - 1, F.col("size")))))
     # values of many rows are dealt over blocks; of two blocks the one meets the other once
-    blocks = bands.groupBy("band", "value").agg(F.ceil(F.count("*") / BAND_BLOCK).cast("int").alias("blocks"))
-    dealt = bands.join(blocks, ["band", "value"]).withColumn("own", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", "value", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), key, "n")
-    at = ["band", "value", "low", "high"]
-    left, right = (dealt.select(*at, F.col("own").alias(f"own_{x}"), F.col(key).alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    fits = (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & ((F.col("own_a") != F.col("own_b")) | (F.col("low") == F.col("high")))
-    met = left.join(right, at).where(F.col("a") < F.col("b")).where(fits).select("a", "b").distinct()
+    blocks = bands.groupBy("band", "value", "g").agg(F.ceil(F.count("*") / BAND_BLOCK).cast("int").alias("blocks"))
+    dealt = bands.join(blocks.hint("merge"), ["band", "value", "g"]).withColumn("own", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "value", "g", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", key, "n", "size", *SKETCH)
+    at = ["band", "value", "g", "low", "high"]
+    left, right = (dealt.select(*at, *(F.col(c).alias(f"{c}_{x}") for c in ("own", "n", "size", *SKETCH)), F.col(key).alias(x)) for x in "ab")
+    n = F.col("n_a") + F.col("n_b")
+    apart = reduce(add, (F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SKETCH))
+    # jaccard is (n - d) / (n + d) for d tokens that one of the sets has
+    fits = (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (apart * (1 + threshold) <= n * (1 - threshold) + 1e-6)
+    once = (F.least("size_a", "size_b") == F.col("g")) & ((F.col("own_a") != F.col("own_b")) | (F.col("low") == F.col("high")))
+    met = left.join(right.hint("merge"), at).where(F.col("a") < F.col("b")).where(once & fits).select("a", "b").distinct()
     x, y = firsts.select(F.col(key).alias("a"), F.col("tokens").alias("x")), firsts.select(F.col(key).alias("b"), F.col("tokens").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    both = met.join(x, "a").join(y, "b").withColumn("jaccard", common / (F.size("x") + F.size("y") - common))
+    both = met.join(x.hint("merge"), "a").join(y.hint("merge"), "b").withColumn("jaccard", common / (F.size("x") + F.size("y") - common))
     return both.where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
 
 

@@ -158,3 +158,28 @@ def test_bigrams_of_a_long_text(spark):
     for k, t in enumerate(texts):
         bare = "".join((t or "").split())
         assert sorted(got[k]) == sorted({bare[i : i + 2] for i in range(len(bare) - 1)})
+
+
+def test_near_pairs_of_all_sizes(spark, monkeypatch):
+    """All pairs that share a band and are alike, whatever the number of tokens; few others get their tokens."""
+    import numpy as np
+
+    rng, rows = np.random.default_rng(5), []
+    for n in (1, 2, 3, 4, 5, 8, 10, 40, 200):
+        for _ in range(12):
+            words = [f"w{x}" for x in rng.choice(300 if n < 100 else 600, n, replace=False)]
+            for drop in (0, 1, n // 9, n // 5, n // 3):
+                rows.append((len(rows), " ".join(words[drop:] + [f"v{x}" for x in rng.integers(0, 40, drop // 3)])))
+    frame = spark.createDataFrame(rows, "k long, t string")
+    sets, first = {k: frozenset(t.split()) for k, t in rows}, {}
+    for k, x in sorted(sets.items()):
+        if x:
+            first.setdefault(x, k)
+    prints = {r.k: r.simhash & (1 << 64) - 1 for r in D.simhash64(frame, "k", "t").collect()}
+    band = lambda a, b: any(not (prints[a] ^ prints[b]) >> 16 * i & 0xFFFF for i in range(4))
+    for threshold in (0.5, 0.8):
+        want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in product(first.values(), repeat=2) if a < b and band(a, b)}
+        got = {(r.a, r.b): r.jaccard for r in D.near_pairs(frame, "k", "t", threshold).collect()}
+        assert got == pytest.approx({p: j for p, j in want.items() if j >= threshold}) and len(got) > 30
+    plan = D.near_pairs(frame, "k", "t", 0.8)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "bit_count" in plan
