@@ -11,7 +11,7 @@ from colloquy.operators import matching, sampling
 from colloquy.plans.conversations import turns
 from colloquy.plans.judging import JUDGE, judge
 from colloquy.plans.registry import TURNS, query
-from colloquy.plans.streams import folder, rocksdb
+from colloquy.plans.streams import folder, qualifying, rocksdb
 from colloquy.sources.tables import parse_lines, read
 from colloquy.streaming import jobs, lines, progress
 
@@ -90,11 +90,11 @@ def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The capped selection, stopped after the first turns of each conversation; its checkpoint is lost and its state comes from what it wrote. All turns come again."""
     top = folder(spark)
-    rows = turns(spark, sf_dir).where("role = 'assistant'").select("conv_id", "turn_index", (F.length("text") >= 60).alias("qualifies"))
-    early = F.col("turn_index") < 3
-    rows.where(early).repartition(2, "conv_id").write.parquet(f"{top}/first")
+    rows = qualifying(spark, sf_dir)
     rows.repartition(2, "conv_id").write.parquet(f"{top}/second")
-    with rocksdb(spark):
+    laid = spark.read.schema(rows.schema).parquet(f"{top}/second")
+    laid.where("turn_index < 3").repartition(2, "conv_id").write.parquet(f"{top}/first")
+    with rocksdb(spark, laid.count()):
         def run(name: str, before: DataFrame | None) -> DataFrame:
             out = jobs.capped_selection(jobs.read_parts(spark, f"{top}/{name}", rows.schema), 2, before)
             out.writeStream.format("parquet").option("path", f"{top}/out-{name}").option("checkpointLocation", f"{top}/state-{name}").trigger(availableNow=True).start().awaitTermination()

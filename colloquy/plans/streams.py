@@ -10,10 +10,11 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colloquy.plans.conversations import turns
+from colloquy.operators.turns import from_conversations
 from colloquy.plans.registry import TURNS, query
 from colloquy.plans.pairs import PAIRS, accepted, scored_pairs
 from colloquy.plans.scoring import MODEL, filter_sql, labelled
+from colloquy.sources.tables import read
 from colloquy.streaming import jobs
 
 
@@ -27,26 +28,42 @@ def folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+#: Rows of a stream for which a part of its state is made: each part costs a worker and a store in every batch, however little it holds.
+STATE_ROWS = 1 << 16
+
+
 @contextmanager
-def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """State of arbitrary operators needs this store."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def rocksdb(spark: SparkSession, rows: int) -> Iterator[None]:
+    """State of arbitrary operators needs this store; its parts follow the rows, one for each core at least, and are no more than the session's."""
+    parts = max(spark.sparkContext.defaultParallelism, -(-rows // STATE_ROWS))
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.shuffle.partitions": str(min(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))),
+    }
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before:
-            spark.conf.set(name, before)
-        else:
-            spark.conf.unset(name)
+        for name, value in before.items():
+            if value:
+                spark.conf.set(name, value)
+            else:
+                spark.conf.unset(name)
+
+
+def qualifying(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assistant's turns and whether they are long enough. Lengths are taken first, so that no text is sorted."""
+    lengths = read(spark, sf_dir, "conversations").withColumn("text", F.length("text"))
+    return from_conversations(lengths).where("role = 'assistant'").select("conv_id", "turn_index", (F.col("text") >= 60).alias("qualifies"))
 
 
 def run(rows: DataFrame, job, parts: int = 3) -> DataFrame:
     """Lays rows down as part files, takes them as a stream in micro-batches, and returns the output."""
     spark, top = rows.sparkSession, folder(rows.sparkSession)
     rows.repartition(parts, "conv_id").write.parquet(f"{top}/in")
-    with rocksdb(spark):
+    with rocksdb(spark, spark.read.schema(rows.schema).parquet(f"{top}/in").count()):
         out = job(jobs.read_parts(spark, f"{top}/in", rows.schema))
         out.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{top}/out")
@@ -54,8 +71,7 @@ def run(rows: DataFrame, job, parts: int = 3) -> DataFrame:
 
 @query(f"WITH {TURNS} SELECT conv_id, turn_index FROM turns WHERE role = 'assistant' AND length(text) >= 60 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn_index) <= 2")
 def stream_capped_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = turns(spark, sf_dir).where("role = 'assistant'").select("conv_id", "turn_index", (F.length("text") >= 60).alias("qualifies"))
-    return run(rows, lambda stream: jobs.capped_selection(stream, 2))
+    return run(qualifying(spark, sf_dir), lambda stream: jobs.capped_selection(stream, 2))
 
 
 @query(filter_sql() + " SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn_index) - 1 AS INTEGER) AS nth, round(posterior, 8) AS posterior FROM scored")
