@@ -68,29 +68,27 @@ def coverage_sample(labels: DataFrame, count: int, seed: int) -> DataFrame:
 
     Labels take turns, those of the first kind before others, then rare before common ones; each takes the next item of its
     own drawn order that none has taken. Who takes an item is found for all at once: each label is asked at which turn it would
-    come to each of its items if others took what they now seem to, the earliest gets it, and so on until nothing changes.
-    What happens before some moment is settled when all before it is, so this ends, and in what taking turns gives. Of a
-    label's list the first count items suffice.
+    come to each of its items if others took what they now seem to, the earliest gets it, and so on until nothing changes up to
+    the moment (turn and label) of the last item wanted. If two rounds agree up to a moment, so does what taking turns gives:
+    a label's items before that moment are then its own in both, and what it passed over was taken earlier. Later moments
+    are not waited for. Of a label's list the first count items suffice.
     """
-    labels = labels.groupBy("item", "label").agg(F.max("first").alias("first"))
+    labels = labels.where("label is not null").groupBy("item", "label").agg(F.max("first").alias("first"))
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"), F.max("first").alias("first"))
     slots = sizes.select("label", F.row_number().over(Window.orderBy(F.desc("first"), "n", "label")).alias("slot"))  # a row a label
     listed = Window.partitionBy("label").orderBy(drawn(seed, "item"), "item")
     lists = labels.withColumn("at", F.row_number().over(listed)).where(F.col("at") <= count).join(slots, "label")
-    lists = reliable(lists.select("item", "label", "slot", "at"))
+    lists = reliable(lists.select("item", "label", "first", "slot", "at"))  # with first, so that sizes and lists read the same shuffle
     owner = reliable(lists.groupBy("item").agg(F.min(F.struct("at", "slot")).alias("best")))
     before = Window.partitionBy("slot").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     while True:
-        known = lists.join(owner.select("item", F.col("best.slot").alias("own")), "item")
-        turn = 1 + F.coalesce(F.sum((F.col("own") == F.col("slot")).cast("int")).over(before), F.lit(0))
-        asked = known.select("item", F.struct(turn.cast("int").alias("at"), "slot").alias("offer"))
-        new = reliable(asked.groupBy("item").agg(F.min("offer").alias("best")))
-        settled = new.join(owner.withColumnRenamed("best", "was"), "item").where("best <> was").isEmpty()
-        owner = new
-        if settled:
+        known = lists.select("item", "slot", "at").join(owner.select("item", F.col("best").alias("was")), "item")
+        turn = 1 + F.coalesce(F.sum((F.col("was.slot") == F.col("slot")).cast("int")).over(before), F.lit(0))
+        asked = known.select("item", "was", F.struct(turn.cast("int").alias("at"), "slot").alias("offer"))
+        owner = reliable(asked.groupBy("item").agg(F.min("offer").alias("best"), F.first("was").alias("was")))
+        last = owner.orderBy("best").limit(count).agg(F.max("best").alias("last"))
+        if owner.where("best <> was").crossJoin(F.broadcast(last)).where("least(best, was) <= last").isEmpty():
             break
     chosen = owner.select("item", F.col("best.at").alias("turn"), F.col("best.slot").alias("slot")).orderBy("turn", "slot").limit(count)
     place = F.row_number().over(Window.orderBy("turn", "slot"))  # count rows
-    return chosen.join(slots, "slot").select("item", "label", "turn", place.alias("place"))
-
-
+    return chosen.join(lists.select("item", "slot", "label"), ["item", "slot"]).select("item", "label", "turn", place.alias("place"))
